@@ -1,0 +1,23 @@
+"""Spreading small inputs over the cores; large inputs are left as the scan splits them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Size the optimizer reports for the plan (file size for a plain scan)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> DataFrame:
+    """Round-robin a small scan before row-wise work that costs much more than moving the rows.
+
+    A small file is often one row group, hence one task.  Above the limit there
+    are enough splits and the frame is returned as it is, without a shuffle.
+    """
+    if estimated_bytes(df) > limit:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
