@@ -21,7 +21,8 @@ def lookup_join(
 
     Facts of one key are spread over `salts` partitions by a hash of the row
     and the smaller `dim` side is repeated once per salt, so a key with a third
-    of the facts is shared by several tasks, whatever operator follows.
+    of the facts is shared by several tasks.  The salted key never fits a later
+    grouping on `on`, so AQE stays free to split a skewed partition further.
     """
     on = list(on)
     plain = [c for c, kind in facts.dtypes if "map<" not in kind]

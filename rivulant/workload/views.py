@@ -152,3 +152,59 @@ store AS (
     count(*) FILTER (WHERE negative) AS failure_count,
     coalesce(max_by(verified, seq) FILTER (WHERE ok), false) AS verified
   FROM accepted GROUP BY 1)"""
+
+
+def iteration_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Error lines with the number of the day among the run's active days, from 0."""
+    from rivulant.plans.scan import running
+
+    days = table(spark, sf, "events").select(
+        F.col("user_id").alias("run"), F.to_date("ts").alias("day")
+    ).distinct()
+    numbered = running(
+        days, ["run"], ["day"], F.date_trunc("year", "day"),
+        sums={"iteration": F.lit(1).cast("bigint")}, exclusive=True,
+    )
+    logged = err_log(spark, sf)
+    return numbered.join(logged, ["run", "day"], "left").select("run", "iteration", "event_id", "raw")
+
+
+ITERATIONS = f"""{ERR_LOG},
+days AS (SELECT DISTINCT user_id AS run, CAST(ts AS DATE) AS day FROM events),
+numbered AS (SELECT run, day, row_number() OVER (PARTITION BY run ORDER BY day) - 1 AS iteration FROM days),
+iter_err AS (
+  SELECT n.run, n.iteration, e.event_id, e.raw, regexp_replace(e.raw, '^[A-Za-z0-9_./-]+:[0-9]+:[0-9]+:\\s*', '') AS err
+  FROM numbered n LEFT JOIN err_log e ON e.run = n.run AND e.day = n.day),
+iters AS (
+  SELECT run, iteration, count(raw) AS n_errors,
+    CASE WHEN count(raw) > 0 THEN substring(sha256(string_agg(DISTINCT err, chr(10) ORDER BY err)), 1, 16) END AS error_set
+  FROM iter_err GROUP BY 1, 2)"""
+
+
+def iterations(spark: SparkSession, sf: str) -> DataFrame:
+    """(run, iteration, n_errors, error_set) per active day of a user."""
+    from rivulant.operators.diagnostics import iteration_sets
+
+    rows = iteration_errors(spark, sf)
+    failed = iteration_sets(rows.filter("raw IS NOT NULL"))
+    return rows.select("run", "iteration").distinct().join(failed, ["run", "iteration"], "left").select(
+        "run", "iteration", F.coalesce("n_errors", F.lit(0)).alias("n_errors"), "error_set"
+    )
+
+
+DIAGS = f"""{ERR_LOG},
+typed AS (
+  SELECT run, event_id AS seq, raw, regexp_extract(raw, '^([^ :]+):([0-9]+):([0-9]+):', 1) AS file,
+    CAST(event_id % 90 + 1 AS INTEGER) AS line, CAST(event_id % 40 + 1 AS INTEGER) AS col,
+    CASE event_id % 4 WHEN 0 THEN 'undeclared' WHEN 1 THEN 'unknown-type' WHEN 2 THEN 'missing-include' ELSE 'unknown' END AS kind,
+    CASE WHEN event_id % 4 < 3 THEN regexp_extract(raw, '''([a-z0-9.]+)''', 1) ELSE '' END AS symbol, '' AS owner
+  FROM err_log),
+diags AS (
+  SELECT run, kind, symbol, owner, line, min(seq) AS seq, arg_min(raw, seq) AS raw, arg_min(file, seq) AS file, arg_min(col, seq) AS col
+  FROM typed GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    from rivulant.operators.diagnostics import parse_diagnostics
+
+    return parse_diagnostics(err_log(spark, sf), ["run"], "event_id")
