@@ -151,7 +151,22 @@ def depth_summary(spark, sf):
     return quality.depth_summary(quality.bracket_depth(_pages(spark, sf), "(", ")"), ["path"])
 
 
-@query("W1_region_lines")
+@query(
+    "W1_region_lines",
+    f"""WITH RECURSIVE pl AS (SELECT page_id AS path, string_split({_PAGE}, chr(10)) AS ls FROM pages),
+    l AS (SELECT path, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS text, len(ls) AS n FROM pl),
+    m AS (SELECT path, line, n, regexp_matches(text, '<style>|<script>') AS hit, len(regexp_extract_all(text, '[{{]')) AS o, len(regexp_extract_all(text, '[}}]')) AS c FROM l),
+    walk(path, line, n, start, depth, seen, done) AS (
+      SELECT path, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, CAST(0 AS BIGINT) FROM pl
+      UNION ALL
+      SELECT path, line, n, CASE WHEN inside AND NOT closes THEN start ELSE 0 END, CASE WHEN inside AND NOT closes THEN depth ELSE 0 END,
+        inside AND NOT closes AND seen, CASE WHEN closes OR (inside AND line = n) THEN start ELSE 0 END
+      FROM (SELECT *, inside AND seen AND depth <= 0 AS closes FROM (
+        SELECT m.path, m.line, m.n, w.start > 0 OR m.hit AS inside, CASE WHEN w.start > 0 THEN w.start ELSE m.line END AS start,
+          w.depth + m.o - m.c AS depth, w.seen OR m.o > 0 AS seen
+        FROM walk w JOIN m ON m.path = w.path AND m.line = w.line + 1)))
+    SELECT path, CAST(done AS INTEGER) AS start, CAST(line AS INTEGER) AS "end" FROM walk WHERE done > 0""",
+)
 def region_lines(spark, sf):
     return quality.region_lines(_pages(spark, sf), "<style>|<script>")
 

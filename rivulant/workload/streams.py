@@ -1 +1,121 @@
-"""Queries of this group."""
+"""Streaming queries: T1-T6.  Each runs to the end of its input and returns what it wrote."""
+
+from pyspark.sql import functions as F
+
+from rivulant.plans.scratch import scratch_path
+from rivulant.rules.portable import TEXT_RULES
+from rivulant.sources.events import read_events
+from rivulant.sources.store import read_version
+from rivulant.streaming import monitors, watch
+from rivulant.workload import views as v
+from rivulant.workload.files import stage_texts
+from rivulant.workload.logs import _TREND
+from rivulant.workload.registry import query
+
+
+def _stream(spark, sf, name):
+    """A table's file as a stream of its rows."""
+    schema = v.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _in_pieces(df, column, pieces, path):
+    """Write `df` as one file set per range of `column`, oldest first, so that a stream reads them in order."""
+    for i in range(pieces):
+        df.filter(column == i).coalesce(1).write.mode("append").parquet(path)
+
+
+@query(
+    "T1_watch_corpus",
+    """SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY 1""",
+)
+def watch_corpus(spark, sf):
+    arriving = watch.watch_corpus(spark, stage_texts(spark, sf), "*.txt", max_files=64)
+    sizes = arriving.select(
+        F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.length("source").cast("bigint").alias("chars")
+    )
+    out = scratch_path(spark, "watched")
+    sizes.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "cp")).trigger(
+        availableNow=True
+    ).start(out).awaitTermination()
+    return spark.read.schema(sizes.schema).parquet(out).groupBy("source").agg(F.sum("chars").alias("chars"))
+
+
+@query(
+    "T2_process_pending",
+    """WITH d AS (SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY 1)
+    SELECT source, chars, CAST(1 AS BIGINT) AS passes FROM d""",
+)
+def process_pending(spark, sf):
+    folder, state = stage_texts(spark, sf), scratch_path(spark, "state")
+
+    def measure(files):
+        return files.select("path", F.lit("ok").alias("status"), F.length("source").cast("string").alias("result"))
+
+    for batch in range(2):  # the second pass finds nothing to do
+        watch.process_pending(spark, folder, state, measure, "*.txt", batch)
+    done = watch.current_state(spark, state)
+    return done.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(
+        F.sum(F.col("result").cast("bigint")).alias("chars"),
+        (F.max("batch") + 1).alias("passes"),
+    )
+
+
+@query(
+    "T3_stream_rule_counts",
+    f"""WITH {v.RULES}, {v.HITS} SELECT r.rule, CAST(coalesce(sum(h.n), 0) AS BIGINT) AS n_matches,
+      (SELECT count(*) FROM documents) AS scanned FROM rules r LEFT JOIN hits h ON h.rule = r.rule GROUP BY 1""",
+)
+def stream_rule_counts(spark, sf):
+    docs = _stream(spark, sf, "documents").select(F.col("text").alias("source"))
+    out = scratch_path(spark, "counts")
+    monitors.to_versions(
+        monitors.stream_rule_counts(docs, TEXT_RULES), out, scratch_path(spark, "cp")
+    ).awaitTermination()
+    return monitors.latest_version(spark, out)
+
+
+@query("T4_stream_events", "SELECT event_id AS seq, user_id AS run, event_type AS event, value FROM events")
+def stream_events(spark, sf):
+    events = _stream(spark, sf, "events").select(
+        F.col("user_id").alias("run"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("event"), "value"
+    )
+    out = scratch_path(spark, "events")
+    watch.stream_events(events, out, scratch_path(spark, "cp")).awaitTermination()
+    return read_events(spark, out).select("seq", "run", "event", "value")
+
+
+@query(
+    "T5_stream_merge_store",
+    f"WITH {v.STORE} SELECT signature, verified_fix, confidence, failure_count, verified FROM store",
+)
+def stream_merge_store(spark, sf):
+    batch = v.store_batch(spark, sf)
+    source, target = scratch_path(spark, "batches"), scratch_path(spark, "store")
+    span = batch.agg(F.max("seq")).first()[0] + 1
+    _in_pieces(batch, F.floor(F.col("seq") * 3 / span), 3, source)
+    arriving = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = monitors.stream_merge_store(arriving, target, scratch_path(spark, "cp"))
+    q.awaitTermination()
+    last = q.lastProgress.batchId + 1
+    return read_version(spark, target, last).select(
+        "signature", "verified_fix", "confidence", "failure_count", "verified"
+    )
+
+
+@query(
+    "T6_stream_stagnation",
+    f"""WITH {_TREND} SELECT *, CASE WHEN stagnation >= 4 THEN 'stagnant' WHEN plateau >= 2 THEN 'plateau'
+      WHEN delta > 0 THEN 'improving' ELSE 'slow' END AS state FROM trend""",
+)
+def stream_stagnation(spark, sf):
+    rows = v.iterations(spark, sf)
+    source, out = scratch_path(spark, "iterations"), scratch_path(spark, "trend")
+    span = rows.agg(F.max("iteration")).first()[0] + 1
+    _in_pieces(rows, F.floor(F.col("iteration") * 3 / span), 3, source)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    trend = monitors.stream_stagnation(arriving)
+    trend.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "cp")).trigger(
+        availableNow=True
+    ).start(out).awaitTermination()
+    return spark.read.schema(trend.schema).parquet(out)
