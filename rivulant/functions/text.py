@@ -21,7 +21,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(col: Column) -> Column:
     """Drop leading and trailing white space of every kind (`trim` drops spaces only)."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(" \t\n\x0b\f\r"))
 
 
 def is_blank(col: Column) -> Column:

@@ -114,9 +114,15 @@ def failure_signature(diags: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def structural_signature(errors: DataFrame, keys: Sequence[str], text: str = "error") -> DataFrame:
     """A15 for attempts a structural gate stopped: digest over the sorted error texts."""
-    joined = F.array_join(F.array_sort(F.collect_list(text)), "|")
-    return errors.groupBy(*keys).agg(
-        F.concat(F.lit("structural:"), short_digest(joined, 12)).alias("failure_signature")
+    # Equal texts travel once, with their count.
+    counted = errors.groupBy(*keys, F.col(text).alias("_e")).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    repeated = F.transform(
+        F.array_sort(F.collect_list(F.struct("_e", "_n"))), lambda p: F.array_repeat(p["_e"], p["_n"])
+    )
+    return counted.groupBy(*keys).agg(
+        F.concat(
+            F.lit("structural:"), short_digest(F.array_join(F.flatten(repeated), "|"), 12)
+        ).alias("failure_signature")
     )
 
 
@@ -217,7 +223,7 @@ def resolve(
     old = defs_old.groupBy(key, F.col("name").alias("symbol")).agg(ranked.alias("old_kind"))
     new = defs_new.select(key, "name").distinct()
     near = best_match(
-        diags.filter(F.col("symbol") != "").select(key, F.col("symbol").alias("name")).distinct(),
+        diags.select(key, F.col("symbol").alias("name")).distinct(),
         defs_old.select(key, "name").distinct(),
         [key],
         near_threshold,

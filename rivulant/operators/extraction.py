@@ -41,6 +41,20 @@ def window_bounds(
     one before `patience` non-code lines in a row; blank lines count for neither.
     One fold with a handful of numbers as state.
     """
+    # Each pattern is tried once per line; the fold then works on flags.
+    flags = F.transform(
+        lines,
+        lambda line: let(
+            strip(line),
+            lambda bare: F.struct(
+                line.rlike(anchor).alias("anchor"),
+                line.rlike(fence).alias("fence"),
+                (bare == "").alias("blank"),
+                ((bare == "") | strict(bare)).alias("opens"),
+                bare.rlike(lenient).alias("code"),
+            ),
+        ),
+    )
     zero = F.struct(
         F.lit(0).alias("i"), F.lit(False).alias("anchored"), F.lit(False).alias("done"),
         F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("prose"),
@@ -48,19 +62,16 @@ def window_bounds(
 
     def step(acc: Column, line: Column) -> Column:
         i = acc["i"] + 1
-        bare = strip(line)
-        blank = bare == ""
-        anchored = acc["anchored"] | line.rlike(anchor)
+        anchored = acc["anchored"] | line["anchor"]
         # the fence is looked for in the text from the anchor line on
-        done = acc["done"] | (anchored & line.rlike(fence))
+        done = acc["done"] | (anchored & line["fence"])
         live = anchored & ~done
-        first = F.when(live & (acc["first"] == 0) & (blank | strict(bare)), i).otherwise(acc["first"])
-        inside = live & (first > 0) & ~blank
-        code = bare.rlike(lenient)
+        first = F.when(live & (acc["first"] == 0) & line["opens"], i).otherwise(acc["first"])
+        inside = live & (first > 0) & ~line["blank"]
         prose = (
-            F.when(~inside, acc["prose"]).when(code, F.lit(0)).otherwise(acc["prose"] + 1)
+            F.when(~inside, acc["prose"]).when(line["code"], F.lit(0)).otherwise(acc["prose"] + 1)
         )
-        last = F.when(inside & code, i).otherwise(acc["last"])
+        last = F.when(inside & line["code"], i).otherwise(acc["last"])
         return F.struct(
             i.alias("i"), anchored.alias("anchored"),
             (done | ((prose >= patience) & (last > 0))).alias("done"),
@@ -70,7 +81,7 @@ def window_bounds(
     def finish(acc: Column) -> Column:
         return F.when(acc["last"] > 0, F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
-    return F.aggregate(lines, zero, step, finish)
+    return F.aggregate(flags, zero, step, finish)
 
 
 def code_window(df: DataFrame, text: str = "text", **tests) -> DataFrame:

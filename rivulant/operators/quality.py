@@ -56,9 +56,11 @@ SOURCE_GATE = GateRules(
 )
 
 
-def prose_kind(line: Column, prose: Sequence[tuple[str, str, bool]]) -> Column:
+def prose_kind(
+    line: Column, prose: Sequence[tuple[str, str, bool]], bare: Column | None = None
+) -> Column:
     """Name of the first kind that fits the line, null if none; flagged kinds look at the stripped line."""
-    bare = strip(line)
+    bare = strip(line) if bare is None else bare
     out = None
     for name, pattern, stripped in prose:
         hit = (bare if stripped else line).rlike(pattern)
@@ -87,17 +89,24 @@ def code_score_of(
 ) -> Column:
     """F8 as a column: code lines over code and prose lines, a bonus for a strong marker."""
 
-    def score(said: Column) -> Column:
-        is_code = lambda x: strip(x).rlike(code)
-        is_prose = lambda x: ~is_code(x) & (
-            strip(x).rlike(lead) | x.rlike(bullet) | strip(x).rlike(sentence)
+    def line_mark(x: Column) -> Column:
+        """1 for code, 2 for prose, 0 for neither."""
+        return let(
+            strip(x),
+            lambda bare: F.when(bare.rlike(code), F.lit(1))
+            .when(bare.rlike(lead) | x.rlike(bullet) | bare.rlike(sentence), F.lit(2))
+            .otherwise(F.lit(0)),
         )
-        n_code, n_prose = F.size(F.filter(said, is_code)), F.size(F.filter(said, is_prose))
+
+    def score(marks: Column) -> Column:
+        n_code = F.size(F.filter(marks, lambda m: m == 1))
+        n_prose = F.size(F.filter(marks, lambda m: m == 2))
         base = n_code / (n_code + n_prose)
         lifted = F.when(text.rlike(bonus), F.least(F.lit(1.0), base + 0.15)).otherwise(base)
         return F.when(n_code + n_prose > 0, lifted).otherwise(F.lit(0.0))
 
-    return let(F.filter(lines_of(text), lambda x: ~is_blank(x)), score)
+    said = F.filter(lines_of(text), lambda x: ~is_blank(x))
+    return let(F.transform(said, line_mark), score)
 
 
 def code_score(df: DataFrame, text: str = "source", **patterns) -> DataFrame:
@@ -117,13 +126,17 @@ def lexical_gate(corpus: DataFrame, rules: GateRules = SOURCE_GATE, text: str =
     def line_rows(raw: Column) -> Column:
         def one(pair: Column, i: Column) -> Column:
             seen = F.when(is_blank(pair["m"]), pair["r"]).otherwise(pair["m"])
-            code = strip(pair["r"]).rlike(rules.code)
-            return F.struct(
-                (i + 1).alias("line"),
-                F.substring(strip(pair["r"]), 1, 120).alias("text"),
-                is_blank(pair["r"]).alias("blank"),
-                code.alias("code"),
-                F.when(~is_blank(pair["r"]) & ~code, prose_kind(seen, rules.prose)).alias("kind"),
+            return let(
+                F.struct(strip(pair["r"]).alias("r"), seen.alias("m"), strip(seen).alias("b")),
+                lambda t: F.struct(
+                    (i + 1).alias("line"),
+                    F.substring(t["r"], 1, 120).alias("text"),
+                    (t["r"] == "").alias("blank"),
+                    F.when(t["r"] == "", F.lit(None).cast("string"))
+                    .when(t["r"].rlike(rules.code), F.lit("code"))
+                    .otherwise(prose_kind(t["m"], rules.prose, t["b"]))
+                    .alias("kind"),
+                ),
             )
 
         masked_lines = raw if rules.mask is None else lines_of(F.col("_masked"))
@@ -132,13 +145,13 @@ def lexical_gate(corpus: DataFrame, rules: GateRules = SOURCE_GATE, text: str =
 
     keep = [c for c in corpus.columns if c != text]
     staged = corpus.withColumn("_masked", masked).withColumn("_lines", let(lines_of(src), line_rows))
-    staged = staged.withColumn("_prose", F.filter("_lines", lambda r: r["kind"].isNotNull()))
+    staged = staged.withColumn("_prose", F.filter("_lines", lambda r: r["kind"] != "code"))
 
     def n_of(names: Sequence[str]) -> Column:
         return F.size(F.filter("_prose", lambda r: r["kind"].isin(list(names)))) if names else F.lit(0)
 
     non_empty = F.size("_lines")
-    n_code = F.size(F.filter("_lines", lambda r: r["code"]))
+    n_code = F.size(F.filter("_lines", lambda r: r["kind"] == "code"))
     n_prose = F.size("_prose")
     reason = F.when(is_blank(src), F.lit("empty extraction"))
     for name, pattern in rules.rejects:
@@ -239,14 +252,22 @@ def region_bounds(lines: Column, start_pattern: str, opener: str = "{", closer:
         F.lit(False).alias("seen"), F.array().cast(kind).alias("out"),
     )
 
+    flags = F.transform(
+        lines,
+        lambda line: F.struct(
+            line.rlike(start_pattern).alias("hit"),
+            count_of(line, opener).alias("opens"),
+            count_of(line, closer).alias("closes"),
+        ),
+    )
+
     def step(acc: Column, line: Column) -> Column:
         i = acc["i"] + 1
-        opens = count_of(line, opener)
-        begins = (acc["start"] == 0) & line.rlike(start_pattern)
+        begins = (acc["start"] == 0) & line["hit"]
         inside = begins | (acc["start"] > 0)
         start = F.when(begins, i).otherwise(acc["start"])
-        depth = F.when(begins, F.lit(0)).otherwise(acc["depth"]) + opens - count_of(line, closer)
-        seen = (~begins & acc["seen"]) | (opens > 0)
+        depth = F.when(begins, F.lit(0)).otherwise(acc["depth"]) + line["opens"] - line["closes"]
+        seen = (~begins & acc["seen"]) | (line["opens"] > 0)
         closes = inside & seen & (depth <= 0)
         bound = F.array(F.struct(start.alias("start"), i.alias("end"))).cast(kind)
         return F.struct(
@@ -261,7 +282,7 @@ def region_bounds(lines: Column, start_pattern: str, opener: str = "{", closer:
         tail = F.array(F.struct(acc["start"].alias("start"), acc["i"].alias("end"))).cast(kind)
         return F.when(acc["start"] > 0, F.concat(acc["out"], tail)).otherwise(acc["out"])
 
-    return F.aggregate(lines, zero, step, finish)
+    return F.aggregate(flags, zero, step, finish)
 
 
 def region_lines(

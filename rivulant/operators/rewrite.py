@@ -4,43 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulant.functions.text import let
 from rivulant.rules import Rename, Term
 
 
+def _apply(state: Column, rule: Rename) -> Column:
+    """One rule on struct<t: text, n: counts so far>."""
+
+    def body(s: Column) -> Column:
+        hit = F.struct(
+            F.regexp_replace(s["t"], rule.pattern, rule.replacement).alias("t"),
+            F.concat(
+                s["n"], F.array(F.regexp_count(s["t"], F.lit(rule.pattern)).cast("bigint"))
+            ).alias("n"),
+        )
+        miss = F.struct(
+            s["t"].alias("t"), F.concat(s["n"], F.array(F.lit(0).cast("bigint"))).alias("n")
+        )
+        return F.when(s["t"].rlike(rule.pattern), hit).otherwise(miss)
+
+    return let(state, body)
+
+
 def rewrite(corpus: DataFrame, renames: Sequence[Rename], text: str = "source") -> DataFrame:
     """apply an ordered rename table; `changes` lists the rules that fired with their counts.
 
-    One projection per rule, in order: each rule sees the text the rules before
-    it left.  Spark keeps the steps apart because both the count and the
-    replacement read the step before; all of them run in one pass over the rows.
+    Each rule sees the text the rules before it left.  The steps are nested
+    bindings in one expression: its size grows with the number of rules, and a
+    filter on the result that the optimizer moves down repeats it once, where a
+    chain of projections would multiply with every step.
     """
-    out = corpus.withColumn("_t", F.col(text)).withColumn("_n", F.array().cast("array<bigint>"))
+    state = F.struct(F.col(text).alias("t"), F.array().cast("array<bigint>").alias("n"))
     for rule in renames:
-        # `_t` is replaced last, so the count reads the text before this rule.
-        out = out.select(
-            *corpus.columns,
-            F.when(
-                F.col("_t").rlike(rule.pattern), F.regexp_replace("_t", rule.pattern, rule.replacement)
-            ).otherwise(F.col("_t")).alias("_t"),
-            F.concat(
-                "_n", F.array(F.regexp_count("_t", F.lit(rule.pattern)).cast("bigint"))
-            ).alias("_n"),
-        )
+        state = _apply(state, rule)
     labels = F.array(*[F.lit(r.label) for r in renames])
     log = F.filter(
-        F.zip_with(labels, "_n", lambda label, n: F.struct(label.alias("label"), n.alias("n"))),
+        F.zip_with(labels, F.col("_s.n"), lambda label, n: F.struct(label.alias("label"), n.alias("n"))),
         lambda c: c["n"] > 0,
     )
     keep = [c for c in corpus.columns if c != text]
-    return out.select(*keep, F.col("_t").alias("new_source"), log.alias("changes"))
+    return corpus.select(*keep, state.alias("_s")).select(
+        *keep, F.col("_s.t").alias("new_source"), log.alias("changes")
+    )
 
 
 def change_counts(rewritten: DataFrame) -> DataFrame:
     """Replacements and changed texts per rule."""
-    return rewritten.select(F.inline("changes")).groupBy("label").agg(
+    # The outer form keeps the optimizer from testing `changes` once more below.
+    each = rewritten.select(F.inline_outer("changes")).filter("label IS NOT NULL")
+    return each.groupBy("label").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")
     )
 

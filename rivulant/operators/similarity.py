@@ -9,26 +9,47 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulant.functions.text import fold_name
+from rivulant.functions.text import fold_name, let
 from rivulant.plans.scratch import settle
 
 
-@F.pandas_udf("double")
-def matcher_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+
+
+def matcher_ratio(left: Column, right: Column) -> Column:
     """Ratcliff-Obershelp ratio, which no built-in function computes."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)])
+    return F.pandas_udf(_ratios, "double")(left, right)
 
 
-def _tokens(folded: Column, short_limit: int) -> Column:
-    """Blocking tokens of a folded name: its letter pairs, and its letters if it is short."""
-    n = F.length(folded)
-    pairs = F.when(
-        n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(folded, i, F.lit(2)))
-    ).otherwise(F.array().cast("array<string>"))
-    letters = F.when(n <= short_limit, F.filter(F.split(folded, ""), lambda c: c != "")).otherwise(
-        F.array().cast("array<string>")
+def _codes(folded: Column) -> Column:
+    """Code points of a text as an array of long integers."""
+    return F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+
+
+def letters(folded: Column) -> Column:
+    """The letters of a text, each numbered among its repeats, so that sets compare like bags."""
+    return let(
+        F.array_sort(_codes(folded)),
+        lambda cs: F.transform(cs, lambda c, i: c * F.lit(1 << 32) + i - F.array_position(cs, c)),
     )
-    return F.array_distinct(F.concat(pairs, letters))
+
+
+def _tokens(folded: Column, short_limit: int) -> Column:
+    """Blocking tokens of a folded name: its letter pairs, its letters if short, -1 if empty."""
+
+    def build(cs: Column) -> Column:
+        n = F.size(cs)
+        pairs = F.zip_with(
+            F.slice(cs, F.lit(1), F.greatest(n - 1, F.lit(0))),
+            F.slice(cs, F.lit(2), F.greatest(n - 1, F.lit(0))),
+            lambda x, y: (x + 1) * F.lit(1 << 32) + y,
+        )
+        singles = F.when(n <= short_limit, cs).otherwise(F.array().cast("array<bigint>"))
+        empty = F.array(F.lit(-1).cast("bigint"))
+        return F.when(n == 0, empty).otherwise(F.array_distinct(F.concat(pairs, singles)))
+
+    return let(_codes(folded), build)
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], threshold: float) -> DataFrame:
@@ -48,26 +69,27 @@ def similar_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], threshol
 
     def prepared(df: DataFrame, name: str, folded: str) -> DataFrame:
         base = df.select(*on, F.col("name").alias(name), fold_name(F.col("name")).alias(folded))
-        return base.withColumn("_tok", F.explode(_tokens(F.col(folded), short_limit)))
+        tokens = _tokens(F.col(folded), short_limit)
+        return base.withColumns({f"{folded}_t": tokens, f"{folded}_l": letters(F.col(folded))}).withColumn(
+            "_tok", F.explode_outer(f"{folded}_t")
+        ).filter("_tok IS NOT NULL")
 
     a, b = prepared(left, "name", "_fa"), prepared(right, "match", "_fb")
     la, lb = F.length("_fa"), F.length("_fb")
     near_length = F.least(la, lb) >= F.lit(band) * F.greatest(la, lb) - F.lit(1e-9)
-    both_empty = (
-        left.select(*on, "name").filter(fold_name(F.col("name")) == "")
-        .join(right.select(*on, F.col("name").alias("match")).filter(fold_name(F.col("match")) == ""), on)
-        .select(*on, "name", "match", F.lit(1.0).alias("similarity"))
-    )
-    pairs = (
+    # A pair is kept at the first of its shared tokens only, so it is seen once.
+    once = F.col("_tok") == F.get(F.array_intersect("_fa_t", "_fb_t"), F.lit(0))
+    # No more letters can match than both names have in common.
+    in_common = 2 * F.size(F.array_intersect("_fa_l", "_fb_l")) >= F.lit(threshold) * (la + lb) - F.lit(1e-9)
+    return (
         a.join(b, [*on, "_tok"])
         .filter(near_length)
-        .select(*on, "name", "match", "_fa", "_fb")
-        .distinct()
-        .withColumn("similarity", matcher_ratio("_fa", "_fb"))
+        .filter(once)
+        .filter(in_common)
+        .withColumn("similarity", matcher_ratio(F.col("_fa"), F.col("_fb")))
         .filter(F.col("similarity") >= threshold)
         .select(*on, "name", "match", "similarity")
     )
-    return pairs.unionByName(both_empty)
 
 
 def best_match(left: DataFrame, right: DataFrame, on: Sequence[str], threshold: float) -> DataFrame:

@@ -246,7 +246,7 @@ def signature_params(
     names = F.regexp_extract_all(src, F.lit(pattern), F.lit(1))
     lists = F.regexp_extract_all(src, F.lit(pattern), F.lit(2))
     functions = corpus.select(*keep, F.arrays_zip(names.alias("function"), lists.alias("params")).alias("_f"))
-    functions = functions.select(*keep, F.posexplode("_f").alias("function_no", "_f")).select(
+    functions = functions.select(*keep, F.posexplode_outer("_f").alias("function_no", "_f")).filter("function_no IS NOT NULL").select(
         *keep, "function_no", F.col("_f.function").alias("function"), F.col("_f.params").alias("_ps")
     )
     said = F.filter(F.split("_ps", ","), lambda p: ~is_blank(p))

@@ -51,7 +51,7 @@ def good_specs(specs: DataFrame) -> DataFrame:
 def spec_params(specs: DataFrame, *keys: str) -> DataFrame:
     """One row per parameter with its 1-based position."""
     keys = keys or ("kernel_name",)
-    return specs.select(*keys, F.posexplode("params").alias("_i", "p")).select(
+    return specs.select(*keys, F.posexplode_outer("params").alias("_i", "p")).filter("_i IS NOT NULL").select(
         *keys, (F.col("_i") + 1).alias("position"), "p.*"
     )
 

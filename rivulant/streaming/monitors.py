@@ -67,8 +67,11 @@ def stream_merge_store(
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        save_version(merge_store(read_version(spark, store_path, number), batch), store_path, number + 1)
+        # the merge reads its batch more than once
+        held = batch.persist()
+        current = read_version(batch.sparkSession, store_path, number)
+        save_version(merge_store(current, held), store_path, number + 1)
+        held.unpersist()
 
     return (
         stream.writeStream.foreachBatch(merge)

@@ -62,11 +62,12 @@ sig AS (SELECT {keys}, 'compile:' || substring(sha256(string_agg(kind || ':' ||
 
 @query(
     "A15_failure_signature",
-    f"""WITH {v.ITERATIONS}, typed AS (
-      SELECT run, iteration, raw, CASE event_id % 4 WHEN 0 THEN 'undeclared' WHEN 1 THEN 'unknown-type'
+    f"""WITH {v.ITERATIONS}, every AS (
+      SELECT run, iteration, event_id, raw, CASE event_id % 4 WHEN 0 THEN 'undeclared' WHEN 1 THEN 'unknown-type'
           WHEN 2 THEN 'missing-include' ELSE 'unknown' END AS kind,
         CASE WHEN event_id % 4 < 3 THEN regexp_extract(raw, '''([a-z0-9.]+)''', 1) ELSE '' END AS symbol
-      FROM iter_err WHERE raw IS NOT NULL),{_IDENTITY.format(keys='run, iteration', source='typed')}
+      FROM iter_err WHERE raw IS NOT NULL),
+    typed AS (SELECT run, iteration, kind, symbol, arg_min(raw, event_id) AS raw FROM every GROUP BY run, iteration, kind, symbol, event_id % 90),{_IDENTITY.format(keys='run, iteration', source='typed')}
     SELECT * FROM sig""",
 )
 def failure_signature(spark, sf):

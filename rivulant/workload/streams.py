@@ -19,10 +19,17 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def _in_pieces(df, column, pieces, path):
-    """Write `df` as one file set per range of `column`, oldest first, so that a stream reads them in order."""
+def _in_pieces(df, column, pieces):
+    """Stage `df` as one file set per range of `column`, lowest first; a stream reads them in that order."""
+    spark = df.sparkSession
+    whole, path = scratch_path(spark, "whole"), scratch_path(spark, "pieces")
+    df.write.parquet(whole)
+    staged = spark.read.schema(df.schema).parquet(whole)
+    span = staged.agg(F.max(column)).first()[0] + 1
+    piece = F.floor(F.col(column) * pieces / span)
     for i in range(pieces):
-        df.filter(column == i).coalesce(1).write.mode("append").parquet(path)
+        staged.filter(piece == i).coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
 @query(
@@ -91,9 +98,7 @@ def stream_events(spark, sf):
 )
 def stream_merge_store(spark, sf):
     batch = v.store_batch(spark, sf)
-    source, target = scratch_path(spark, "batches"), scratch_path(spark, "store")
-    span = batch.agg(F.max("seq")).first()[0] + 1
-    _in_pieces(batch, F.floor(F.col("seq") * 3 / span), 3, source)
+    source, target = _in_pieces(batch, "seq", 3), scratch_path(spark, "store")
     arriving = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(source)
     q = monitors.stream_merge_store(arriving, target, scratch_path(spark, "cp"))
     q.awaitTermination()
@@ -110,9 +115,7 @@ def stream_merge_store(spark, sf):
 )
 def stream_stagnation(spark, sf):
     rows = v.iterations(spark, sf)
-    source, out = scratch_path(spark, "iterations"), scratch_path(spark, "trend")
-    span = rows.agg(F.max("iteration")).first()[0] + 1
-    _in_pieces(rows, F.floor(F.col("iteration") * 3 / span), 3, source)
+    source, out = _in_pieces(rows, "iteration", 3), scratch_path(spark, "trend")
     arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     trend = monitors.stream_stagnation(arriving)
     trend.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "cp")).trigger(
