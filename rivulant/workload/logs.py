@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rivulant.functions.text import normalize_error, normalize_unknown
 from rivulant.operators import diagnostics as ops
+from rivulant.plans.scratch import settle
 from rivulant.workload import views as v
 from rivulant.workload.registry import query
 
@@ -155,7 +156,7 @@ def _resolved(spark, sf):
         F.col("user_id").alias("run"), "event_type", kind.alias("kind"), F.concat(letter, k % 7).alias("name")
     )
     return ops.resolve(
-        v.diagnostics(spark, sf),
+        settle(v.diagnostics(spark, sf)),
         defs.filter("event_type = 'click'"),
         defs.filter("event_type = 'purchase'"),
         {"h0.h": "<h/zero.h>"},

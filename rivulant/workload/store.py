@@ -41,7 +41,7 @@ def parse_signature(spark, sf):
       confidence, failure_count, verified FROM store""",
 )
 def merge_store(spark, sf):
-    merged = ops.merge_store(None, v.store_batch(spark, sf))
+    merged = ops.merge_store(None, v.store_batch(spark, sf, v.staged_signatures(spark, sf)))
     return merged.select("signature", "sig_id", "verified_fix", "confidence", "failure_count", "verified")
 
 
@@ -54,7 +54,7 @@ def merge_store(spark, sf):
     SELECT signature, key, max_by(value, seq) AS value FROM said GROUP BY 1, 2""",
 )
 def merge_store_metadata(spark, sf):
-    merged = ops.merge_store(None, v.store_batch(spark, sf), seq_per_chunk=64)
+    merged = ops.merge_store(None, v.store_batch(spark, sf, v.staged_signatures(spark, sf)), seq_per_chunk=64)
     return merged.select("signature", F.explode("metadata"))
 
 
@@ -67,8 +67,9 @@ looked AS (
 
 @query("J1_lookup", f"WITH {_LOOKUP} SELECT path, signature, hit, fix, fix_confidence FROM looked")
 def lookup(spark, sf):
-    store = ops.merge_store(None, v.store_batch(spark, sf))
-    return ops.lookup(v.store_requests(spark, sf), store)
+    sigs = v.staged_signatures(spark, sf)
+    store = ops.merge_store(None, v.store_batch(spark, sf, sigs))
+    return ops.lookup(v.store_requests(spark, sf, sigs), store)
 
 
 @query(
@@ -77,8 +78,9 @@ def lookup(spark, sf):
       FROM store s LEFT JOIN (SELECT * FROM looked WHERE hit) l ON l.signature = s.signature GROUP BY 1""",
 )
 def count_retrievals(spark, sf):
-    store = ops.merge_store(None, v.store_batch(spark, sf))
-    found = ops.lookup(v.store_requests(spark, sf), store)
+    sigs = v.staged_signatures(spark, sf)
+    store = ops.merge_store(None, v.store_batch(spark, sf, sigs))
+    found = ops.lookup(v.store_requests(spark, sf, sigs), store)
     return ops.count_retrievals(store, found).select("signature", "times_retrieved")
 
 
@@ -93,5 +95,6 @@ def count_retrievals(spark, sf):
     SELECT * FROM a, b""",
 )
 def store_stats(spark, sf):
-    store = ops.merge_store(None, v.store_batch(spark, sf))
-    return ops.store_stats(store, ops.lookup(v.store_requests(spark, sf), store))
+    sigs = v.staged_signatures(spark, sf)
+    store = ops.merge_store(None, v.store_batch(spark, sf, sigs))
+    return ops.store_stats(store, ops.lookup(v.store_requests(spark, sf, sigs), store))

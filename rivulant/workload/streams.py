@@ -97,7 +97,7 @@ def stream_events(spark, sf):
     f"WITH {v.STORE} SELECT signature, verified_fix, confidence, failure_count, verified FROM store",
 )
 def stream_merge_store(spark, sf):
-    batch = v.store_batch(spark, sf)
+    batch = v.store_batch(spark, sf, v.staged_signatures(spark, sf))
     source, target = _in_pieces(batch, "seq", 3), scratch_path(spark, "store")
     arriving = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(source)
     q = monitors.stream_merge_store(arriving, target, scratch_path(spark, "cp"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rivulant.operators.store import signature_of_corpus
 from rivulant.plans.partitioning import spread
+from rivulant.plans.scratch import settle
 from rivulant.rules.portable import TEXT_RULES
 
 
@@ -106,10 +107,15 @@ def signatures(spark: SparkSession, sf: str) -> DataFrame:
     return signature_of_corpus(corpus(spark, sf), TEXT_RULES)
 
 
-def store_batch(spark: SparkSession, sf: str) -> DataFrame:
+def staged_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """Signatures materialised once: the texts are read and matched a single time, later steps read short keys."""
+    return settle(signatures(spark, sf).select("path", "signature"))
+
+
+def store_batch(spark: SparkSession, sf: str, sigs: DataFrame) -> DataFrame:
     """Labelled documents as ordered store writes; toxic ones report a failed attempt."""
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "path")
-    return signatures(spark, sf).join(labels, "path").select(
+    return sigs.join(labels, "path").select(
         "signature",
         F.col("path").alias("seq"),
         (F.col("toxic") == 1).alias("negative"),
@@ -124,9 +130,9 @@ def store_batch(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def store_requests(spark: SparkSession, sf: str) -> DataFrame:
+def store_requests(spark: SparkSession, sf: str, sigs: DataFrame) -> DataFrame:
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("path"))
-    return signatures(spark, sf).join(labels, "path", "left_anti").select("path", "signature")
+    return sigs.join(labels, "path", "left_anti").select("path", "signature")
 
 
 # The ordered merge as an inclusive fold: row k is accepted when (verified, confidence) is not
@@ -182,14 +188,15 @@ iters AS (
 
 
 def iterations(spark: SparkSession, sf: str) -> DataFrame:
-    """(run, iteration, n_errors, error_set) per active day of a user."""
+    """(run, iteration, n_errors, error_set) per active day of a user, materialised once."""
     from rivulant.operators.diagnostics import iteration_sets
 
     rows = iteration_errors(spark, sf)
     failed = iteration_sets(rows.filter("raw IS NOT NULL"))
-    return rows.select("run", "iteration").distinct().join(failed, ["run", "iteration"], "left").select(
+    out = rows.select("run", "iteration").distinct().join(failed, ["run", "iteration"], "left").select(
         "run", "iteration", F.coalesce("n_errors", F.lit(0)).alias("n_errors"), "error_set"
     )
+    return settle(out)
 
 
 DIAGS = f"""{ERR_LOG},
