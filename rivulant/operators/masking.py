@@ -17,6 +17,10 @@ SOURCE_LITERAL = (
 CLOSED_LITERAL = (
     r'^"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"$' r"|^'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'$"
 )
+# In prose an apostrophe is no literal: a character literal holds at most four characters.
+PROSE_LITERAL = (
+    r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"?' r"|'(?:\\[^\n]|[^'\\\n]){0,4}'"
+)
 MARKUP_COMMENT = r"<!--(?:[\s\S]*?-->|[\s\S]*+)"
 MARKUP_LITERAL = r'"[^"]*+"?'
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rivulant.functions.text import count_of, is_blank, let, lines_of, running_total, strip
 from rivulant.operators.diagnostics import first_n
-from rivulant.operators.masking import mask_text
+from rivulant.operators.masking import PROSE_LITERAL, mask_text
 from rivulant.operators.symbols import function_names
 from rivulant.rules import device
 from rivulant.rules import lines as kinds
@@ -52,7 +52,7 @@ SOURCE_GATE = GateRules(
     single_hit=("reasoning", "section-heading"),
     listed=("bullet-list", "numbered-list"),
     strong=r"#include|__(?:global|device|host)__",
-    mask={},
+    mask={"literal": PROSE_LITERAL},
 )
 
 

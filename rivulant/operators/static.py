@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulant.functions.text import let, lines_of, strip
+from rivulant.functions.text import let, lines_of, newlines, strip
 from rivulant.operators.findings import match_lines
 from rivulant.operators.masking import mask_text
 from rivulant.operators.quality import duplicates, malformed_declarations, unreachable_lines
@@ -29,10 +29,11 @@ def source_rules() -> list[tuple[Rule, str]]:
             "directives",
         )
     )
-    out += [
-        (Rule("residual-cuda-symbol", rf"\b{name}\b", "error", f"'{name}' is not defined on the target"), "masked")
-        for name in device.RESIDUAL_SYMBOLS
-    ]
+    # one pattern for all leftover symbols: the message takes the symbol from the match
+    names = "|".join(device.RESIDUAL_SYMBOLS)
+    out.append(
+        (Rule("residual-cuda-symbol", rf"\b(?:{names})\b", "error", "'{}' is not defined on the target"), "masked")
+    )
     out += [
         (Rule("global-non-void", device.GLOBAL_NON_VOID, "error", "a __global__ function must return void"), "masked"),
         (Rule("warp-mask-32", device.LANE_MASK_32, "warning", "32-bit lane mask reaches half of 64 lanes"), "masked"),
@@ -47,7 +48,10 @@ def static_findings(
     masks: dict | None = None,
     text: str = "source",
 ) -> DataFrame:
-    """(keys, rule, severity, line, message, evidence), one row per match, map-only."""
+    """(keys, rule, severity, line, message, evidence), one row per match, map-only.
+
+    `{}` in a description stands for the matched text.
+    """
     rules = source_rules() if rules is None else rules
     keep = [c for c in corpus.columns if c != text]
     staged = corpus.select(
@@ -64,7 +68,7 @@ def static_findings(
                 F.lit(rule.name).alias("rule"),
                 F.lit(rule.severity).alias("severity"),
                 m["line"].alias("line"),
-                F.lit(rule.description).alias("message"),
+                F.replace(F.lit(rule.description), F.lit("{}"), m["hit"]).alias("message"),
             ),
         )
 
@@ -93,10 +97,14 @@ def all_source_findings(corpus: DataFrame, key: str = "path") -> DataFrame:
         F.lit("declaration ends without a terminator or a body").alias("message"), "evidence",
     )
     masked = mask_text(F.col("source"))
+    # the definition counts where its name stands, which may be below the start of the match
+    head = lambda hit: F.regexp_replace(hit, r"\s*\([^;{]*\)\s*(?:const\s*)?\{$", "")
     named = F.zip_with(
         match_lines(masked, FUNCTION_NAMES),
         F.regexp_extract_all(masked, F.lit(FUNCTION_NAMES), F.lit(1)),
-        lambda m, name: F.struct(name.alias("name"), m["line"].alias("line")),
+        lambda m, name: F.struct(
+            name.alias("name"), (m["line"] + newlines(head(m["hit"]))).alias("line")
+        ),
     )
     symbols = corpus.select(key, F.inline(named)).filter(~F.col("name").isin(*CONTROL_WORDS))
     twice = duplicates(symbols, [key]).select(
