@@ -129,7 +129,8 @@ def stream_stagnation(stream: DataFrame, idle_ms: int | None = None) -> DataFram
     """The trend of each run as its iterations arrive in order; equals the batch trend.
 
     `stream` has (run, iteration, n_errors, error_set).  With `idle_ms`, the
-    state of a run without news for that long is dropped.
+    state of a run without news for that long is dropped; such a query keeps
+    ticking, so start it with a processing-time trigger, not with availableNow.
     """
 
     def advance(key, frames, state):

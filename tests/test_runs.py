@@ -155,8 +155,21 @@ def test_idle_runs_leave_the_state(spark, tmp_path):
     stream = spark.readStream.schema(monitors_schema()).parquet(folder)
     out = str(tmp_path / "out")
     trend = monitors.stream_stagnation(stream, idle_ms=60_000)
-    trend.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out).awaitTermination()
-    rows = spark.read.schema(trend.schema).parquet(out).orderBy("iteration").collect()
+    query = (
+        trend.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(processingTime="1 second").start(out)
+    )
+    try:
+        rows = []
+        for _ in range(60):
+            if os.path.isdir(f"{out}/_spark_metadata"):
+                rows = spark.read.schema(trend.schema).parquet(out).orderBy("iteration").collect()
+            if len(rows) == 3:
+                break
+            time.sleep(0.5)
+        assert query.exception() is None
+    finally:
+        query.stop()
     assert [(r.delta, r.cycle, r.stagnation, r.plateau) for r in rows] == [(0, False, 1, 0), (0, True, 4, 1), (1, False, 0, 0)]
 
 
