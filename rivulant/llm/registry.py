@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from rivulant.llm.common import documents
 from rivulant.llm.exact_dedup import exact_dedup
 from rivulant.llm.line_dedup import line_dedup
+from rivulant.llm.mixing import mix
+from rivulant.llm.quality_rules import quality_rules
+from rivulant.llm.sentencepiece_codec import round_trip
+from rivulant.llm.simhash import simhash_groups
 
 QUERIES = {}
 ORACLES = {}
@@ -54,3 +58,59 @@ FROM k LEFT JOIN common ON k.key = common.key GROUP BY k.doc_id"""
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = line_dedup(documents(spark, sf))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    out = simhash_groups(documents(spark, sf))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    out = quality_rules(documents(spark, sf))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "posterior",
+    )
+
+
+MIX_SQL = r"""
+WITH b AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5('mix:' || CAST(doc_id AS VARCHAR)) AS key FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS source_size,
+    row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM b GROUP BY source),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+f AS (
+  SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+    sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
+r AS (SELECT *, min(CASE WHEN (budget - spent) / open * weight <= cap THEN (budget - spent) / open END) OVER () AS rate FROM f),
+t AS (SELECT source, rank, CAST(source_size AS BIGINT) AS source_size, least(coalesce(rate * weight, cap), cap) AS target FROM r),
+p AS (
+  SELECT b.doc_id, b.size, t.source_size, t.target, t.rank,
+    sum(b.size) OVER (PARTITION BY b.source ORDER BY b.key, b.doc_id) - b.size AS start
+  FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CAST(round(target) AS BIGINT) AS wanted, start / target AS d FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(greatest(least(wanted - start, size), 0) + greatest(least(wanted - start - source_size, size), 0) AS BIGINT) AS taken,
+  CASE WHEN size > 0 AND start < wanted THEN round(CASE rank % 3
+      WHEN 0 THEN least(2 * d / (1.5 + sqrt(greatest(2.25 - 2 * d, 0))), 1)
+      WHEN 1 THEN least(d, 1)
+      ELSE least(2 * d / (0.5 + sqrt(0.25 + 2 * d)), 1) END, 6) END AS position
+FROM q"""
+
+
+@query("op2_mixing", MIX_SQL)
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    out = mix(documents(spark, sf))
+    first = F.round(F.get(F.col("positions.position"), F.lit(0)), 6)
+    out = out.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"))
+    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return round_trip(documents(spark, sf), ["doc_id"]).withColumnRenamed("same", "round_trip")
