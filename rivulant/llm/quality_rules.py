@@ -86,46 +86,54 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """Each rule votes 1 (keep), -1 (reject) or 0 (abstains); a text without words gets a vote from length only."""
+    """Each rule votes 1 (keep), -1 (reject) or 0 (abstains); all abstain on a text without words."""
     c = F.col
     words, letters = c("n_words"), c("n_letters")
     some = words > 0
     return {
-        "length": _vote(words >= 80, words < 20),
+        "symbol_density": _vote(some & (c("n_symbols") * 200 <= c("word_chars")), some & (c("n_symbols") * 50 > c("word_chars"))),
+        "variety": _vote((words >= 50) & (c("n_distinct") * 10 >= words * 3), some & (c("n_distinct") * 10 < words)),
         "word_length": _vote(some & c("word_chars").between(words * 3, words * 9), some & ~c("word_chars").between(words * 2, words * 14)),
         "symbols": _vote(some & (c("n_symbols") * 100 <= words), some & (c("n_symbols") * 10 > words)),
         "dup_lines": _vote((c("n_lines") >= 4) & (c("n_dup_lines") == 0), (c("n_lines") > 0) & (c("n_dup_lines") * 10 > c("n_lines") * 3)),
         "repetition": _vote((words >= 50) & (c("n_repeat_words") * 10 <= words), some & (c("n_repeat_words") * 10 > words * 3)),
         "shouting": _vote((letters > 0) & (c("n_upper") * 5 <= letters), (letters > 0) & (c("n_upper") * 2 > letters)),
-        "digits": _vote(some & (c("n_digits") * 20 <= c("word_chars")), some & (c("n_digits") * 4 > c("word_chars"))),
+        "digits": _vote(some & (c("n_digits") * 20 <= c("word_chars")), some & (c("n_digits") * 3 > c("word_chars"))),
         "exclaiming": _vote(some & (c("n_bangs") * 50 <= words), some & (c("n_bangs") * 5 > words)),
     }
 
 
-def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """Prior of a good text and accuracy of each rule by expectation-maximisation.
+def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[float, np.ndarray]:
+    """Prior of a good text, and for each rule the chances of its votes, by expectation-maximisation.
 
     `patterns` (k, rules) holds the distinct vote vectors, `counts` how many texts
-    cast them.  A vote is right with the rule's accuracy whatever the class, and
-    whether a rule abstains says nothing.  Accuracies stay within [0.6, 0.99], better
-    than chance, so that the two classes cannot change places.
+    cast them.  The second result is (rules, 2, 3): class bad or good, vote -1, 0 or
+    1.  A rule sees one kind of fault, so how often it is right differs by class: it
+    passes most texts that are bad for another reason, and seldom rejects a good one.
+    EM starts from "bad if any rule rejects"; smoothing counts as a few texts per rule
+    and rejections stay likelier, by a factor of two, in the bad class, so that the
+    classes cannot change places.
     """
-    rules = patterns.shape[1]
-    prior, accuracy = 0.8, np.full(rules, 0.85)
-    if not counts.sum():
-        return prior, accuracy
+    k, rules = patterns.shape
+    cast = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)  # (k, rules, 3)
+    good = np.where((patterns == -1).any(axis=1), 0.1, 0.97)
+    chances, prior = np.tile(np.array([[0.3, 0.35, 0.35], [0.02, 0.28, 0.7]]), (rules, 1, 1)), 0.9
+    if not k or not counts.sum():
+        return prior, chances
+    start = chances.copy()
     for _ in range(rounds):
-        weight = np.log(accuracy / (1 - accuracy))
-        good = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + patterns @ weight)))
-        right = good[:, None] * (patterns == 1) + (1 - good)[:, None] * (patterns == -1)
-        cast = (patterns != 0).T @ counts
-        updated = np.clip((right.T @ counts + 8.5) / (cast + 10), 0.6, 0.99)
-        prior = float(np.clip((good @ counts + 8) / (counts.sum() + 10), 0.5, 0.99))
-        moved = np.abs(updated - accuracy).max()
-        accuracy = updated
-        if moved < 1e-9:
+        before = chances
+        weight = np.stack([(1 - good) * counts, good * counts])  # (2, k)
+        chances = np.einsum("ck,krv->rcv", weight, cast) + 4 * start
+        chances /= chances.sum(axis=2, keepdims=True)
+        chances[:, 0, 0] = np.maximum(chances[:, 0, 0], np.minimum(2 * chances[:, 1, 0], 0.9))
+        chances /= chances.sum(axis=2, keepdims=True)
+        prior = float(np.clip((weight[1].sum() + 9) / (counts.sum() + 10), 0.5, 0.99))
+        logit = np.log(prior / (1 - prior)) + np.einsum("krv,rv->k", cast, np.log(chances[:, 1] / chances[:, 0]))
+        good = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+        if np.abs(chances - before).max() < 1e-9:
             break
-    return prior, accuracy
+    return prior, chances
 
 
 def quality_rules(
@@ -139,7 +147,8 @@ def quality_rules(
     A null text has no words and fails.  Texts under 50 words or with over half of
     the words in repeated 3-word windows fail at once; the others are kept when the
     posterior is at least `threshold`.  What leaves Spark to fit the model is the
-    number of texts per vote vector, 3^8 = 6561 numbers at most, counted over all rows.
+    number of texts per vote vector, 3^9 = 19683 numbers at most, counted over all
+    texts that did not fail at once.
     An empty table gives an empty result.
     """
     base = docs.select(
@@ -147,17 +156,18 @@ def quality_rules(
         F.col(text_col).alias("text"),
     )
     rules = votes()
-    seen = settle(measures(base, ["doc_id", "text_hash"], "text").withColumns({f"v_{k}": v for k, v in rules.items()}))
+    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    seen = measures(base, ["doc_id", "text_hash"], "text").withColumns({f"v_{k}": v for k, v in rules.items()})
+    seen = settle(seen.withColumn("base_failed", failed))
     names = [f"v_{k}" for k in rules]
-    table = seen.groupBy(*names).count().collect()
+    table = seen.filter("NOT base_failed").groupBy(*names).count().collect()
     patterns = np.array([[r[n] for n in names] for r in table], np.int64).reshape(-1, len(names))
-    prior, accuracy = fit_accuracies(patterns, np.array([r["count"] for r in table], np.int64))
+    prior, chances = fit_accuracies(patterns, np.array([r["count"] for r in table], np.int64))
     logit = F.lit(float(np.log(prior / (1 - prior))))
-    for name, a in zip(names, accuracy):
-        logit = logit + F.col(name) * F.lit(float(np.log(a / (1 - a))))
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    out = seen.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-logit)))
-    return out.select(
+    for name, by_class in zip(names, chances):
+        bad, none, good = (float(w) for w in np.log(by_class[1] / by_class[0]))
+        logit = logit + F.when(F.col(name) == -1, bad).when(F.col(name) == 1, good).otherwise(none)
+    return seen.withColumn("posterior", 1 / (1 + F.exp(-logit))).select(
         "doc_id", "text_hash", *MEASURES, "base_failed", "posterior",
         (~F.col("base_failed") & (F.col("posterior") >= threshold)).alias("kept"),
     )
