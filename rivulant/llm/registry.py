@@ -12,6 +12,7 @@ from rivulant.llm.mixing import mix
 from rivulant.llm.quality_rules import quality_rules
 from rivulant.llm.sentencepiece_codec import round_trip
 from rivulant.llm.simhash import simhash_groups
+from rivulant.llm.substring_dedup import substring_dedup
 
 QUERIES = {}
 ORACLES = {}
@@ -114,3 +115,9 @@ def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_sentencepiece")
 def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(documents(spark, sf), ["doc_id"]).withColumnRenamed("same", "round_trip")
+
+
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = substring_dedup(documents(spark, sf))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
