@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulant.llm.common import documents
+from rivulant.llm.common import documents, labels
 from rivulant.llm.exact_dedup import exact_dedup
 from rivulant.llm.line_dedup import line_dedup
 from rivulant.llm.mixing import mix
@@ -13,6 +13,7 @@ from rivulant.llm.quality_rules import quality_rules
 from rivulant.llm.sentencepiece_codec import round_trip
 from rivulant.llm.simhash import simhash_groups
 from rivulant.llm.substring_dedup import substring_dedup
+from rivulant.llm.toxicity import toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -121,3 +122,8 @@ def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = substring_dedup(documents(spark, sf))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(documents(spark, sf), labels(spark, sf))
