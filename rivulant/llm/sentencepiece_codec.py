@@ -203,7 +203,7 @@ class PieceTable:
         return [i for part in reversed(out) for i in part]
 
     def encode_equal(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in a row, ids per word) of words of one length, advancing together."""
+        """(ids in a row, ids per word) of sorted words of one length, advancing together."""
         codes = _codes(words)
         count, n = codes.shape
         prefix = _prefix(codes)
@@ -211,34 +211,36 @@ class PieceTable:
         with np.errstate(over="ignore"):
             for i in range(n):
                 power[i + 1] = power[i] * _BASE
-        best = np.full((n + 1, count), -np.inf)
-        best[0] = 0.0
+        # Words come sorted, so those that share a prefix are neighbours and one of them computes its state for all.
+        differs = codes[1:] != codes[:-1]
+        first = np.append(0, np.where(differs.any(axis=1), differs.argmax(axis=1), n))
+        best = np.zeros((n + 1, count))
         last = np.full((n + 1, count), -1, np.int64)
         back = np.zeros((n + 1, count), np.int64)
         for end in range(1, n + 1):
+            fresh = first < end
+            lead, owner = np.flatnonzero(fresh), np.cumsum(fresh) - 1
             sizes = np.arange(1, min(self.longest, end) + 1)
             with np.errstate(over="ignore"):
-                hashes = prefix[:, end, None] - prefix[:, end - sizes] * power[sizes]
+                hashes = prefix[lead, end, None] - prefix[lead[:, None], end - sizes] * power[sizes]
             hashes ^= sizes.astype(np.uint64)
             rows, which = np.nonzero(self.likely[hashes & _SIEVE])
             token = self.find(hashes[rows, which])
             hit = np.flatnonzero(token >= 0)
             rows, size, token = rows[hit], sizes[which[hit]], token[hit]
-            best[end] = best[end - 1] + self.unknown  # the character by itself, should it be no piece
-            back[end] = 1
-            known = np.zeros(count, bool)
-            known[rows[size == 1]] = True
-            best[end, known] = -np.inf
+            top = best[end - 1, lead] + self.unknown  # the character by itself, should it be no piece
+            top[rows[size == 1]] = -np.inf
+            begin, whole = end - size, lead[rows]
             if self.bpe:
-                ok = np.flatnonzero(self.compatible(last[end - size, rows], token))
-                rows, size, token = rows[ok], size[ok], token[ok]
-            value = best[end - size, rows] + self.scores[token]
+                ok = np.flatnonzero(self.compatible(last[begin, whole], token))
+                rows, size, token, begin, whole = rows[ok], size[ok], token[ok], begin[ok], whole[ok]
+            value = best[begin, whole] + self.scores[token]
             order = np.argsort(value, kind="stable")  # of the candidates of one word the best is written last
-            order = order[value[order] > best[end, rows[order]]]
-            rows, size = rows[order], size[order]
-            best[end, rows] = value[order]
-            last[end, rows] = token[order]
-            back[end, rows] = size
+            order = order[value[order] > top[rows[order]]]
+            rows = rows[order]
+            piece, step = np.full(len(lead), -1, np.int64), np.ones(len(lead), np.int64)
+            top[rows], piece[rows], step[rows] = value[order], token[order], size[order]
+            best[end], last[end], back[end] = top[owner], piece[owner], step[owner]
         at = np.full(count, n)
         steps, rows = [], np.arange(count)
         while at.any():
@@ -285,30 +287,27 @@ class Codec:
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode words not seen so far, those of equal length together."""
-        by_length: dict[int, list[tuple[bytes, str]]] = {}
-        pools, sizes = [], []
-        for word in words:
-            text = word.decode("utf-8", "replace").replace(" ", SPACE)
-            odd = self.table.bpe and text[:2] == SPACE * 2
-            by_length.setdefault(-1 if odd else -2 if len(text) > LONG_WORD else len(text), []).append((word, text))
-        for length, group in by_length.items():
-            if length == -1:  # runs of blanks share one score: merges in their defined order
-                coded = [self._merged(text) for _, text in group]
-            elif length == -2:
-                coded = [self.table.encode_long(text) for _, text in group]
+        texts = b"\x00".join(words).decode("utf-8", "replace").replace(" ", SPACE).split("\x00")
+        if len(texts) != len(words):  # a word with a zero byte
+            texts = [w.decode("utf-8", "replace").replace(" ", SPACE) for w in words]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        if self.table.bpe:  # runs of blanks share one score: merges in their defined order
+            sizes[[t.startswith(SPACE * 2) for t in texts]] = -1
+        sizes[sizes > LONG_WORD] = -2
+        order = np.argsort(sizes, kind="stable")
+        kinds, begins = np.unique(sizes[order], return_index=True)
+        for kind, group in zip(kinds.tolist(), np.split(order, begins[1:])):
+            group = sorted(group.tolist(), key=texts.__getitem__)
+            of_kind = [texts[i] for i in group]
+            if kind > 0:
+                ids, count = self.table.encode_equal(of_kind)
             else:
-                coded = None
-                ids, count = self.table.encode_equal([text for _, text in group])
-            if coded is not None:
+                coded = [self._merged(t) if kind == -1 else self.table.encode_long(t) for t in of_kind]
                 ids, count = np.array([i for c in coded for i in c], np.int32), np.array([len(c) for c in coded])
-            for word, _ in group:
-                self.seen[word] = len(self.seen)
-            pools.append(ids)
-            sizes.append(count)
-        if pools:
-            self.pool = np.concatenate([self.pool, *pools])
-            self.lengths = np.concatenate([self.lengths, *sizes])
-            self.starts = np.cumsum(self.lengths) - self.lengths
+            self.seen.update(zip([words[i] for i in group], range(len(self.seen), len(self.seen) + len(group))))
+            self.pool = np.concatenate([self.pool, ids])
+            self.lengths = np.concatenate([self.lengths, count])
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def _merged(self, text: str) -> list[int]:
         out = []
@@ -329,7 +328,7 @@ class Codec:
         new = [w for w in dict.fromkeys(words) if w not in seen]
         if new:
             self._learn(new)
-        index = np.fromiter((seen[w] for w in words), np.int64, len(words))
+        index = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
         size = self.lengths[index]
         begin = np.cumsum(size) - size
         total = int(size.sum())
