@@ -9,6 +9,7 @@ from rivulant.llm.common import documents, labels
 from rivulant.llm.exact_dedup import exact_dedup
 from rivulant.llm.line_dedup import line_dedup
 from rivulant.llm.mixing import mix
+from rivulant.llm.quality_classifier import quality_classifier
 from rivulant.llm.quality_rules import quality_rules
 from rivulant.llm.sentencepiece_codec import round_trip
 from rivulant.llm.simhash import simhash_groups
@@ -127,3 +128,8 @@ def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(documents(spark, sf), labels(spark, sf))
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_classifier(documents(spark, sf), labels(spark, sf))
