@@ -77,15 +77,19 @@ def map_texts(
     return docs.select(*keep, F.col(text)).mapInArrow(run, full)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows apart that repeat an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def restrict(docs: DataFrame, keep: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """The rows of `docs` whose key values are in `keep`; equal rows (same keys) count as one.
+    """The rows of `docs` whose key values are in `keep`; rows of equal keys count as one.
 
-    `keys` names the columns of `keep` and gives their expressions over `docs`.
-    The second step groups by the join's own keys, so it needs no further shuffle.
+    `keys` names the columns of `keep` and gives their expressions over `docs`.  They
+    are compared as structs, in which nulls are equal; dropping repeats groups by the
+    join's own key and needs no further shuffle.
     """
-    named = {f"_k_{name}": expr for name, expr in keys.items()}
-    left = docs.withColumns(named)
-    right = keep.select(*[F.col(name).alias(f"_r_{name}") for name in keys])
-    cond = [F.col(f"_k_{name}").eqNullSafe(F.col(f"_r_{name}")) for name in keys]
-    kept = left.join(right, cond, "left_semi")
-    return kept.dropDuplicates(list(named)).select(*docs.columns)
+    left = docs.withColumn("_key", F.struct(*[expr.alias(name) for name, expr in keys.items()]))
+    right = keep.select(F.struct(*[F.col(name) for name in keys]).alias("_kept"))
+    kept = left.join(right, F.col("_key") == F.col("_kept"), "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulant.llm.common import WORD
+from rivulant.llm.common import WORD, text_hash
 from rivulant.plans.scratch import settle
 
 #: (time, weight) knots of each schedule, dealt to the sources in turn; linear in between.
@@ -52,8 +52,8 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
         "open": F.sum("weight").over(after),
     })
     rate = (F.col("budget") - F.col("spent")) / F.col("open")
-    # the lowest rate at which the source it was computed for is not full; none when the caps bind everywhere
-    filled = filled.withColumn("rate", F.min(F.when(rate * F.col("weight") <= F.col("limit"), rate)).over(whole))
+    # with too many sources taken as full the rate falls, so the first that fits is the highest; none fits when all are full
+    filled = filled.withColumn("rate", F.max(F.when(rate * F.col("weight") <= F.col("limit"), rate)).over(whole))
     target = F.least(F.coalesce(F.col("rate") * F.col("weight"), F.col("limit")), F.col("limit"))
     return filled.select("source", "source_size", "rank", target.alias("target"))
 
@@ -101,7 +101,7 @@ def mix(
     """
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
+        text_hash(F.col(text_col)).alias("text_hash"),
         word_count(F.col(text_col)).alias("size"),
     )
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -142,18 +142,16 @@ def stream(mixed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     """The mixed documents in training order: the columns of `docs`, a row per pass.
 
     A document taken in part keeps its first words with the blanks before and between
-    them; rows that repeat id and text share their passes.  The order is by position,
-    over range partitions.
+    them.  Rows that repeat id and text have as many sets of positions as they are.
+    The order is by position, over range partitions.
     """
-    takes = mixed.select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "size",
-        F.explode("positions").alias("_p"),
-    ).distinct()
-    left = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    met = left.join(takes, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")))
+    key = F.struct(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"))
+    takes = mixed.select(F.struct("doc_id", "text_hash").alias("_row"), F.col("size").alias("_size"), F.explode("positions").alias("_p"))
+    left = docs.withColumn("_key", key).dropDuplicates(["_key"])
+    met = left.join(takes, F.col("_key") == F.col("_row"))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_p.words").cast("int")), "")
-    text = F.when(F.col("_p.words") < F.col("size"), cut).otherwise(F.col(text_col))
+    text = F.when(F.col("_p.words") < F.col("_size"), cut).otherwise(F.col(text_col))
     met = met.withColumn(text_col, text)
-    ordered = met.repartitionByRange("_p.position", "_id", "_p.pass").sortWithinPartitions("_p.position", "_id", "_p.pass")
-    return ordered.select(*docs.columns)
+    order = ["_p.position", "_key", "_p.pass"]
+    return met.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

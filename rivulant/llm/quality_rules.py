@@ -73,21 +73,24 @@ def measure(data: bytes) -> tuple[int, ...]:
     )
 
 
-def measures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+def measures(docs: DataFrame, keep: list[str], text_col: str = "text", prefix: str = "") -> DataFrame:
     def run(texts: list[bytes]) -> list[pa.Array]:
         values = np.array([measure(t) for t in texts], np.int64).reshape(-1, len(MEASURES))
         return [pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(MEASURES))]
 
-    return map_texts(docs, keep, text_col, run, ", ".join(f"{m} long" for m in MEASURES))
+    return map_texts(docs, keep, text_col, run, ", ".join(f"{prefix}{m} long" for m in MEASURES))
 
 
 def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-def votes() -> dict[str, Column]:
+def votes(prefix: str = "") -> dict[str, Column]:
     """Each rule votes 1 (keep), -1 (reject) or 0 (abstains); all abstain on a text without words."""
-    c = F.col
+
+    def c(name: str) -> Column:
+        return F.col(f"{prefix}{name}")
+
     words, letters = c("n_words"), c("n_letters")
     some = words > 0
     return {
@@ -136,38 +139,61 @@ def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300)
     return prior, chances
 
 
+def base_failed(prefix: str = "") -> Column:
+    """Under 50 words, or over half of the words in repeated 3-word windows."""
+    words, repeated = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (words < 50) | (repeated * 100 > words * 50)
+
+
+def fit(seen: DataFrame, prefix: str = "") -> tuple[float, np.ndarray]:
+    """`fit_accuracies` over the rows of `seen` that pass the base rules.
+
+    What leaves Spark is the number of texts per vote vector, 3^9 = 19683 numbers at
+    most, counted over all of these texts.
+    """
+    rules = votes(prefix)
+    cast = seen.filter(~base_failed(prefix)).select(*[v.alias(k) for k, v in rules.items()])
+    table = cast.groupBy(*rules).count().collect()
+    patterns = np.array([[r[k] for k in rules] for r in table], np.int64).reshape(-1, len(rules))
+    return fit_accuracies(patterns, np.array([r["count"] for r in table], np.int64))
+
+
+def posterior(model: tuple[float, np.ndarray], prefix: str = "") -> Column:
+    """Probability that a text is good, by its votes."""
+    prior, chances = model
+    logit = F.lit(float(np.log(prior / (1 - prior))))
+    for vote, by_class in zip(votes(prefix).values(), chances):
+        bad, none, good = (float(w) for w in np.log(by_class[1] / by_class[0]))
+        logit = logit + F.when(vote == -1, bad).when(vote == 1, good).otherwise(none)
+    return 1 / (1 + F.exp(-logit))
+
+
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     threshold: float = 0.5,
 ) -> DataFrame:
-    """Per row: doc_id, text_hash, the measures, base_failed, posterior of a good text, kept.
-
-    A null text has no words and fails.  Texts under 50 words or with over half of
-    the words in repeated 3-word windows fail at once; the others are kept when the
-    posterior is at least `threshold`.  What leaves Spark to fit the model is the
-    number of texts per vote vector, 3^9 = 19683 numbers at most, counted over all
-    texts that did not fail at once.
-    An empty table gives an empty result.
+    """Per row: doc_id, the measures, base_failed, posterior of a good text, kept.
+
+    A null text has no words and fails.  Texts that fail the base rules are not kept;
+    the others are when the posterior is at least `threshold`.  An empty table gives an
+    empty result.  Other columns are not read.
     """
-    base = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
-        F.col(text_col).alias("text"),
-    )
-    rules = votes()
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    seen = measures(base, ["doc_id", "text_hash"], "text").withColumns({f"v_{k}": v for k, v in rules.items()})
-    seen = settle(seen.withColumn("base_failed", failed))
-    names = [f"v_{k}" for k in rules]
-    table = seen.filter("NOT base_failed").groupBy(*names).count().collect()
-    patterns = np.array([[r[n] for n in names] for r in table], np.int64).reshape(-1, len(names))
-    prior, chances = fit_accuracies(patterns, np.array([r["count"] for r in table], np.int64))
-    logit = F.lit(float(np.log(prior / (1 - prior))))
-    for name, by_class in zip(names, chances):
-        bad, none, good = (float(w) for w in np.log(by_class[1] / by_class[0]))
-        logit = logit + F.when(F.col(name) == -1, bad).when(F.col(name) == 1, good).otherwise(none)
-    return seen.withColumn("posterior", 1 / (1 + F.exp(-logit))).select(
-        "doc_id", "text_hash", *MEASURES, "base_failed", "posterior",
-        (~F.col("base_failed") & (F.col("posterior") >= threshold)).alias("kept"),
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    seen = settle(measures(base, ["doc_id"], "text"))
+    good = posterior(fit(seen))
+    return seen.withColumns({"base_failed": base_failed(), "posterior": good}).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)
     )
+
+
+def quality_filter(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` that `quality_rules` keeps, all their columns.
+
+    The texts are read twice, once to fit and once to filter, and never shuffled.
+    """
+    prefix = "_measure_"
+    model = fit(measures(docs, [], text_col, prefix), prefix)
+    seen = measures(docs, docs.columns, text_col, prefix)
+    return seen.filter(~base_failed(prefix) & (posterior(model, prefix) >= threshold)).select(*docs.columns)

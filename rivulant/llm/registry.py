@@ -90,7 +90,7 @@ f AS (
   SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget,
     coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
     sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
-r AS (SELECT *, min(CASE WHEN (budget - spent) / open * weight <= cap THEN (budget - spent) / open END) OVER () AS rate FROM f),
+r AS (SELECT *, max(CASE WHEN (budget - spent) / open * weight <= cap THEN (budget - spent) / open END) OVER () AS rate FROM f),
 t AS (SELECT source, rank, CAST(source_size AS BIGINT) AS source_size, least(coalesce(rate * weight, cap), cap) AS target FROM r),
 p AS (
   SELECT b.doc_id, b.size, t.source_size, t.target, t.rank,

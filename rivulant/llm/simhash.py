@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulant.llm.common import map_texts, word_blocks, word_spans
+from rivulant.llm.common import map_texts, text_hash, word_blocks, word_spans
 from rivulant.llm.components import components
 from rivulant.plans.scratch import settle
 
@@ -207,15 +207,16 @@ def simhash_groups(
     segments: int = 5,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Class of every row under links of at most `distance` differing bits: doc_id, text_hash, fp, component_id.
+    """Class of every row under links of at most `distance` differing bits: doc_id, text_hash, fp, component_id, root.
 
     component_id is the smallest doc_id reachable, itself included (null where all
     ids of the class are null).  Rows without words have fingerprint zero and link
-    like any other.  Equal fingerprints are one node, so copies never become pairs.
+    like any other.  Equal fingerprints are one node, so copies never become pairs;
+    `root` is the least fingerprint of the class.
     `text_hash` tells rows apart that repeat an id.  Other columns are not read.
     """
     base = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
+        F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"),
         F.col(text_col).alias("text"),
     )
     marked = settle(fingerprints(base, ["doc_id", "text_hash"], "text", shingle))
@@ -223,5 +224,11 @@ def simhash_groups(
     roots = components(links(nodes.select("fp"), distance, segments, group_rows)).withColumnRenamed("node", "fp")
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = nodes.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def representatives(groups: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of the row that stays of each class: the least id, null ids last, then the least text hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    return groups.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_hash")
