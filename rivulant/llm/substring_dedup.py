@@ -4,8 +4,8 @@
    with the least hash, the leftmost of equals.  Equal windows have equal anchors.
    Anchors chosen at two places or more are the confirmed recurring phrases.
 2. Documents are dealt to shards of a few MB.  A shard gets the recurring phrases its
-   documents may hold, compiles them (as word numbers, so matching is exact) into an
-   Aho-Corasick automaton and streams its documents through it.
+   documents may hold, compiles them (spelled in word numbers, so matching is exact) into
+   an Aho-Corasick automaton and streams its documents through it.
 3. Windows whose anchor was located are the candidates.  Those with one anchor form a
    span; spans of equal text are settled by one count, and only the windows of spans
    that occur once are counted one by one.
@@ -105,6 +105,19 @@ def _unpacked(column: pa.ChunkedArray) -> Iterator[bytes]:
     return (unpack.decompress(p) for p in column.to_pylist())
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _spell(ids: np.ndarray, digits: int) -> str:
+    """Word numbers as strings over 64 signs, `digits` for each: automaton nodes have few branches."""
+    places = np.stack([(ids >> (6 * i)) & 63 for i in range(digits)], axis=1)
+    return (places + 48).astype(np.uint8).tobytes().decode("ascii")
+
+
 def locate(docs: pa.Table, phrases: np.ndarray, window: int, phrase: int) -> pa.Table:
     """The candidate spans of one shard: a row for each anchor that the automaton located."""
     numbers: dict[bytes, int] = {}
@@ -112,21 +125,26 @@ def locate(docs: pa.Table, phrases: np.ndarray, window: int, phrase: int) -> pa.
     by_number = word_hashes(list(numbers))
     found = [anchors(by_number[t.ids], window, phrase) for t in texts]
     recurring = np.unique(phrases)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for t, (places, values, _, _) in zip(texts, found):
-        for place in places[np.isin(values, recurring)].tolist():
-            automaton.add_word(tuple(t.ids[place : place + phrase].tolist()))
+    known = [_among(values, recurring) for _, values, _, _ in found]
+    digits = 1
+    while 64**digits < max(2, len(numbers)):
+        digits += 1
+    spelled = [_spell(t.ids, digits) for t in texts]
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for text, (places, _, _, _), recurs in zip(spelled, found, known):
+        for place in places[recurs].tolist():
+            automaton.add_word(text[place * digits : (place + phrase) * digits])
     out = {name: [] for name in ("row", "d1", "d2", "anchor", "start", "n")}
     starts, sizes, seen = [], [], set()
     windows: list[int] = []
     if len(automaton):
         automaton.make_automaton()
-    for row, (t, (places, values, first, count)) in enumerate(zip(texts, found)):
+    for row, (t, text, (places, values, first, count)) in enumerate(zip(texts, spelled, found)):
         if not len(automaton) or not len(places):
             continue
         located = np.zeros(len(t.ids), bool)
-        last = np.fromiter((end for end, _ in automaton.iter(tuple(t.ids.tolist()))), np.int64)
-        located[last - (phrase - 1)] = True
+        after = np.fromiter((end + 1 for end, _ in automaton.iter(text)), np.int64)
+        located[after[after % digits == 0] // digits - phrase] = True
         for i in np.flatnonzero(located[places]).tolist():
             lo, n = int(first[i]), int(count[i])
             digest = xxhash.xxh3_128_digest(t.text(lo, lo + n + window - 1))
