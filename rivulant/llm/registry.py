@@ -119,7 +119,22 @@ def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(documents(spark, sf), ["doc_id"]).withColumnRenamed("same", "round_trip")
 
 
-@query("op4_substring_dedup")
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM s JOIN r USING (k)),
+cov AS (SELECT DISTINCT doc_id, i + o AS p, true AS gone FROM hit CROSS JOIN range(35) t(o)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(gone) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN cov ON cov.doc_id = words.doc_id AND cov.p = words.p
+GROUP BY d.doc_id, d.w"""
+
+
+@query("op4_substring_dedup", SUBSTRING_SQL)
 def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = substring_dedup(documents(spark, sf))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
