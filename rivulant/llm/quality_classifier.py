@@ -56,7 +56,8 @@ def passages(data: bytes, size: int = PASSAGE_BYTES) -> np.ndarray:
     if len(raw) > 3:
         quad = raw[:-3].astype(np.uint64) | raw[1:-2].astype(np.uint64) << np.uint64(8)
         quad |= raw[2:-1].astype(np.uint64) << np.uint64(16) | raw[3:].astype(np.uint64) << np.uint64(24)
-        keyed = np.sort(quad | where[:-3].astype(np.uint64) << np.uint64(32))
+        inside = where[3:] == where[:-3]
+        keyed = np.sort((quad | where[:-3].astype(np.uint64) << np.uint64(32))[inside])
         same = keyed[1:] == keyed[:-1]
         out[:, -2] = np.bincount((keyed[1:][same] >> np.uint64(32)).astype(np.int64), minlength=count) / length[:, 0]
     out[:, -1] = len(raw) / (len(raw) + 2000.0)
