@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulant.plans.scratch import scratch_path
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -77,6 +79,28 @@ def map_texts(
     return docs.select(*keep, F.col(text)).mapInArrow(run, full)
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder; the shuffle files it took are removed when it is complete.
+
+    Later steps read the table, so they do not depend on those files; a lost executor
+    costs at most the step that runs.
+    """
+    conf, path = df.sparkSession.conf, scratch_path(df.sparkSession, name)
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(CLEAN_UP)
+        else:
+            conf.set(CLEAN_UP, before)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_hash(text: Column) -> Column:
     """Tells rows apart that repeat an id."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -24,8 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulant.llm.common import map_texts, word_blocks
-from rivulant.plans.scratch import scratch_path
+from rivulant.llm.common import map_texts, text_hash, word_blocks, written
 
 PHRASE = 8
 SHARD_BYTES = 4 << 20
@@ -215,9 +214,8 @@ def substring_dedup(
     twice in packed form, and rows for candidates only.  Copies and hot passages are
     counted with partial aggregation and never meet in one task.
     """
-    spark = docs.sparkSession
     source = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
+        F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"),
         F.col(text_col).alias("text"),
     )
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -227,9 +225,7 @@ def substring_dedup(
     packed = map_texts(source, keys, "text", _packed, "packed binary")
 
     lists = map_texts(source, ["shard"], "text", lambda t: _anchor_lists(t, window, phrase), "anchors array<long>")
-    at = scratch_path(spark, "anchors")
-    lists.select("shard", F.explode("anchors").alias("anchor")).write.parquet(at)
-    chosen = spark.read.parquet(at)
+    chosen = written(lists.select("shard", F.explode("anchors").alias("anchor")), "anchors")
     recurring = chosen.groupBy("anchor").count().filter("count > 1").select("anchor")
     phrases = chosen.join(recurring, "anchor", "left_semi").select("shard", "anchor").distinct()
 
@@ -238,9 +234,7 @@ def substring_dedup(
 
     kind = dict(source.dtypes)["doc_id"]
     schema = f"doc_id {kind}, text_hash long, shard int, anchor long, d1 long, d2 long, start int, n int, windows array<long>"
-    at = scratch_path(spark, "spans")
-    packed.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(find, schema).write.parquet(at)
-    spans = spark.read.parquet(at)
+    spans = written(packed.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(find, schema), "spans")
 
     digest = ["d1", "d2"]
     where = ["shard", "doc_id", "text_hash", "start", "n"]
@@ -249,8 +243,9 @@ def substring_dedup(
     # one list of windows for each distinct span; a span that occurs once also says where
     listed = spans.filter((F.size("windows") > 0))
     once = listed.join(often, digest, "left_anti")
-    stand = listed.join(often, digest, "left_semi").dropDuplicates(digest)
     open_windows = once.select(*where[:3], "anchor", "start", F.posexplode("windows").alias("offset", "w"))
+    stand = listed.join(once.select("anchor").distinct(), "anchor", "left_semi")
+    stand = stand.select("anchor", *digest, "windows").join(often, digest, "left_semi").dropDuplicates(digest)
     known = stand.select("anchor", F.explode("windows").alias("w"))
     again = (
         open_windows.select("anchor", "w").unionAll(known)
@@ -259,7 +254,7 @@ def substring_dedup(
     single = open_windows.join(again, ["anchor", "w"], "left_semi").select(
         *where[:3], (F.col("start") + F.col("offset")).cast("int").alias("start"), F.lit(1).alias("n")
     )
-    ranges = settled.unionAll(single)
+    ranges = written(settled.unionAll(single), "ranges")
 
     def drop(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         return cut(mine, theirs, window)
