@@ -238,14 +238,16 @@ def substring_dedup(
 
     digest = ["d1", "d2"]
     where = ["shard", "doc_id", "text_hash", "start", "n"]
-    often = spans.groupBy(*digest).count().filter("count > 1").select(*digest)
+    classes = spans.groupBy(*digest).agg(F.count("*").alias("spans"), F.min("anchor").alias("anchor"))
+    often = classes.filter("spans > 1")
     settled = spans.select(*where, *digest).join(often, digest, "left_semi").select(*where)
-    # one list of windows for each distinct span; a span that occurs once also says where
-    listed = spans.filter((F.size("windows") > 0))
+    # Windows are counted one by one where a span occurs once; repeated spans of the same anchor
+    # lend one list of theirs to that count.
+    listed = spans.filter(F.size("windows") > 0)
     once = listed.join(often, digest, "left_anti")
     open_windows = once.select(*where[:3], "anchor", "start", F.posexplode("windows").alias("offset", "w"))
-    stand = listed.join(once.select("anchor").distinct(), "anchor", "left_semi")
-    stand = stand.select("anchor", *digest, "windows").join(often, digest, "left_semi").dropDuplicates(digest)
+    lent = often.join(classes.filter("spans = 1").select("anchor"), "anchor", "left_semi").select(*digest)
+    stand = listed.select("anchor", *digest, "windows").join(lent, digest, "left_semi").dropDuplicates(digest)
     known = stand.select("anchor", F.explode("windows").alias("w"))
     again = (
         open_windows.select("anchor", "w").unionAll(known)
