@@ -100,12 +100,12 @@ def count_contains(col: Column, words) -> Column:
     return out
 
 
-def slug(col: Column, limit: int = 48) -> Column:
+def slug(col: Column, limit: int | None = None) -> Column:
     """File-name-safe form of a text; an empty result becomes `unnamed`."""
     cleaned = F.regexp_replace(
         F.regexp_replace(col, r"[^A-Za-z0-9_.\-]+", "_"), r"^_+|_+$", ""
     )
-    return F.coalesce(F.nullif(F.substring(cleaned, 1, limit), F.lit("")), F.lit("unnamed"))
+    return F.coalesce(F.nullif(cleaned if limit is None else F.substring(cleaned, 1, limit), F.lit("")), F.lit("unnamed"))
 
 
 def duration_text(ms: Column) -> Column:
@@ -130,12 +130,12 @@ def normalize_error(col: Column) -> Column:
     return strip(F.regexp_replace(out, r"\s+", " "))
 
 
-def normalize_unknown(col: Column, limit: int = 120) -> Column:
+def normalize_unknown(col: Column) -> Column:
     """Identity of a message no typed pattern claimed: position and severity tag dropped."""
     out = F.regexp_replace(
         col, r"(?i)([^\s:]+:)?\d+:\d+:\s*(?:fatal\s+)?(?:error|warning):\s*", ""
     )
-    return F.substring(F.regexp_replace(strip(out), r"\s+", " "), 1, limit)
+    return F.regexp_replace(strip(out), r"\s+", " ")
 
 
 def strip_build_dir(col: Column, build_dir: Column) -> Column:

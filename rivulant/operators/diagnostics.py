@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rivulant.functions.text import normalize_error, normalize_unknown, short_digest, strip
 from rivulant.operators.similarity import best_match
 from rivulant.plans.joins import bucket_range_join, lookup_join
+from rivulant.plans.scratch import settle
 from rivulant.plans.scan import CHUNK, running, segmented_sums, with_halo
 from rivulant.rules import diagnostics as shapes
 
@@ -360,13 +361,15 @@ def new_resolved(errors: DataFrame, rows_per_chunk: int = ITERATIONS_PER_CHUNK,
     texts = errors.filter(F.col(raw).rlike(r"\S")).select(
         "run", "iteration", normalize_error(F.col(raw)).alias("error")
     ).distinct()
+    texts = settle(texts)
     numbers = texts.select("run", "iteration").distinct()
     order = running(
         numbers, ["run"], ["iteration"],
         F.floor(F.col("iteration") / F.lit(rows_per_chunk)).cast("bigint"),
         sums={"_pos": F.lit(1).cast("bigint")},
     )
-    placed = texts.join(order, ["run", "iteration"])
+    order = settle(order)
+    placed = settle(texts.join(order, ["run", "iteration"]))
     now = placed.select("run", "error", "_pos", F.lit(True).alias("_now"))
     then = placed.select("run", "error", (F.col("_pos") + 1).alias("_pos"), F.lit(True).alias("_then"))
     changed = now.join(then, ["run", "error", "_pos"], "full").filter(

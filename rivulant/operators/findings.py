@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulant.functions.text import any_contains, let, lines_of, newlines, running_total
+from rivulant.operators.compare import gate_confidence
 from rivulant.plans.scan import running
 from rivulant.rules import SEVERITY_RANK, Rule, rule_table
 
-MATCH_LIMIT = 100
-
 
 def match_lines(text: Column, pattern: str) -> Column:
     """array<struct<line, hit>>: each match of the pattern with the line it starts on.
@@ -76,7 +75,7 @@ def scan_rules(
                 m["line"].alias("line"),
                 F.lit(rank).alias("rank"),
                 F.lit(rule.name).alias("rule"),
-                F.substring(m["hit"], 1, MATCH_LIMIT).alias("matched_text"),
+                m["hit"].alias("matched_text"),
                 F.lit(rule.severity).alias("severity"),
                 F.lit(rule.description).alias("description"),
             ),
@@ -295,24 +294,42 @@ def order_findings(
     ).drop("_rank")
 
 
-def report(
-    risks: DataFrame, verifications: DataFrame, hours_per_fix: float = 2.0
-) -> DataFrame:
-    """A4: one row about a corpus; confidence counts for passed runs only."""
+def report(risks: DataFrame, verifications: DataFrame, store: DataFrame | None = None, hours_per_fix: float = 4.0) -> DataFrame:
+    """A4: one row about a corpus, with a summary to read.
+
+    Confidence is averaged over every verification that states one; a failed one
+    counts zero, whatever it claimed.  `store` is the one-row A8 statistics.
+    """
     left = risks.agg(
         F.count(F.lit(1)).alias("total_files"),
         *[F.count_if(F.col("risk_level") == lv).alias(lv) for lv in RISK_LEVELS],
         F.coalesce(F.sum("n_findings"), F.lit(0)).cast("bigint").alias("findings"),
     )
-    confidence = F.avg(F.when(F.col("passed"), F.col("confidence")))
+    stated = F.when(F.col("confidence").isNotNull(), gate_confidence(F.col("confidence").cast("double"), F.col("passed")))
     right = verifications.agg(
         F.count_if(F.col("passed")).alias("passed"),
         F.count(F.lit(1)).alias("verified_total"),
-        F.coalesce(F.bround(confidence, 1), F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(F.bround(F.avg(stated), 1), F.lit(0.0)).alias("avg_confidence"),
         F.bround(F.count_if(F.col("passed")) * F.lit(float(hours_per_fix)), 1).alias("hours_saved"),
+        F.lit(float(hours_per_fix)).alias("hours_per_fix"),
     )
     # one row each side
-    return left.join(right, F.lit(True), "inner")
+    out = left.join(right, F.lit(True), "inner")
+    c = F.col
+    parts = [
+        F.format_string("files: %d red, %d yellow, %d green", c("red"), c("yellow"), c("green")),
+        F.when(
+            c("passed") > 0,
+            F.format_string("passed: %d of %d, about %.1f hours saved at %.1f each", "passed", "verified_total", "hours_saved", "hours_per_fix"),
+        ),
+    ]
+    if store is not None:
+        stats = store.select(c("entries").alias("store_entries"), c("avg_confidence").alias("store_confidence"), c("retrievals").alias("store_retrievals"))
+        out = out.join(stats, F.lit(True), "inner")
+        parts.append(
+            F.format_string("store: %d verified patterns, confidence %.2f, %d retrievals", "store_entries", "store_confidence", "store_retrievals")
+        )
+    return out.withColumn("summary", F.concat_ws("; ", *parts))
 
 
 def coverage_flags(scans: DataFrame, threshold: float = 80.0) -> DataFrame:

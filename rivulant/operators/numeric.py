@@ -79,30 +79,18 @@ def histogram(vec: DataFrame, bins: int, value: str = "v") -> DataFrame:
 def softmax(vec: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
     """exp(v - max) / sum per group, stable.
 
-    A group is cut into as many salted parts as there are shuffle partitions;
-    each part keeps its own maximum and sum of exponentials, and the parts
-    combine exactly.  The vector is shuffled once.
+    Maximum and sum are aggregates that combine before they are shuffled, so the
+    vector itself stays where it is when the group table is small enough for AQE to
+    broadcast; without keys that table is one row.
     """
     keys = list(keys)
-    part = [*keys, "_salt"]
-    salts = int(vec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = vec.withColumn("_salt", F.pmod(F.xxhash64(*vec.columns), F.lit(salts)).cast("int"))
-    local = salted.withColumn("_m", F.max(value).over(Window.partitionBy(*part)))
-    local = local.withColumn("_e", F.exp(F.col(value) - F.col("_m")))
-    parts = local.groupBy(*part).agg(F.max("_m").alias("pm"), F.sum("_e").alias("ps"))
-    whole = parts.groupBy(*keys).agg(
-        F.max("pm").alias("gm"), F.collect_list(F.struct("pm", "ps")).alias("all")
-    )
-    denominator = F.aggregate(
-        "all", F.lit(0.0), lambda acc, p: acc + p["ps"] * F.exp(p["pm"] - F.col("gm"))
-    )
-    whole = whole.select(*keys, "gm", denominator.alias("gs"))
-    factors = (parts.join(whole, keys) if keys else parts.join(whole, F.lit(True))).select(
-        *part, (F.exp(F.col("pm") - F.col("gm")) / F.col("gs")).alias("_f")
-    )
-    return local.join(factors, part).select(
-        *vec.columns, (F.col("_e") * F.col("_f")).alias("softmax")
-    )
+    tops = vec.groupBy(*keys).agg(F.max(value).alias("_m"))
+
+    def met(table: DataFrame) -> DataFrame:
+        return vec.join(table, keys) if keys else vec.join(table, F.lit(True))
+
+    sums = met(tops).groupBy(*keys).agg(F.first("_m").alias("_m"), F.sum(F.exp(F.col(value) - F.col("_m"))).alias("_s"))
+    return met(sums).select(*vec.columns, (F.exp(F.col(value) - F.col("_m")) / F.col("_s")).alias("softmax"))
 
 
 def transpose(grid: DataFrame, width: int, height: int, batch: str | None = None) -> DataFrame:

@@ -113,12 +113,15 @@ def code_score(df: DataFrame, text: str = "source", **patterns) -> DataFrame:
     return df.withColumn("code_score", code_score_of(F.col(text), **patterns))
 
 
-def lexical_gate(corpus: DataFrame, rules: GateRules = SOURCE_GATE, text: str = "source") -> DataFrame:
+def lexical_gate(
+    corpus: DataFrame, rules: GateRules = SOURCE_GATE, text: str = "source", samples: int | None = None
+) -> DataFrame:
     """Is the text source rather than prose?  One row per text, map-only.
 
     Whole-text patterns reject first, in order.  Then lines decide: a raw line
     that looks like code is code; the masked line (the raw one if masking left
-    it blank) tells prose.
+    it blank) tells prose.  `samples` limits the prose lines that are shown; by
+    default all are.
     """
     src = F.col(text)
     masked = mask_text(src, **rules.mask) if rules.mask is not None else src
@@ -130,7 +133,7 @@ def lexical_gate(corpus: DataFrame, rules: GateRules = SOURCE_GATE, text: str =
                 F.struct(strip(pair["r"]).alias("r"), seen.alias("m"), strip(seen).alias("b")),
                 lambda t: F.struct(
                     (i + 1).alias("line"),
-                    F.substring(t["r"], 1, 120).alias("text"),
+                    t["r"].alias("text"),
                     (t["r"] == "").alias("blank"),
                     F.when(t["r"] == "", F.lit(None).cast("string"))
                     .when(t["r"].rlike(rules.code), F.lit("code"))
@@ -171,7 +174,7 @@ def lexical_gate(corpus: DataFrame, rules: GateRules = SOURCE_GATE, text: str =
         n_code.cast("bigint").alias("code_lines"),
         n_prose.cast("bigint").alias("prose_lines"),
         F.transform(
-            F.slice("_prose", 1, 3),
+            F.col("_prose") if samples is None else F.slice("_prose", 1, samples),
             lambda r: F.concat(F.lit("L"), r["line"], F.lit(" ["), r["kind"], F.lit("]: "), r["text"]),
         ).alias("samples"),
         (F.lit(False) if rules.strong is None else ~src.rlike(rules.strong)).alias("_weak"),
@@ -455,7 +458,7 @@ def unreachable_lines(
             lambda p: F.struct(
                 p["b"]["line"].alias("line"),
                 p["a"]["line"].alias("jump_line"),
-                F.substring(strip(F.get(lines, p["b"]["line"] - 1)), 1, 120).alias("evidence"),
+                strip(F.get(lines, p["b"]["line"] - 1)).alias("evidence"),
             ),
         ),
     )
@@ -493,7 +496,7 @@ def malformed_declarations(
         return F.transform(
             bad,
             lambda p: F.struct(
-                p["line"].alias("line"), F.substring(strip(p["text"]), 1, 120).alias("evidence")
+                p["line"].alias("line"), strip(p["text"]).alias("evidence")
             ),
         )
 

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulant.functions.text import let
-from rivulant.rules import Rename, Term
+from rivulant.rules import Insertion, Rename, Term
 
 
-def _apply(state: Column, rule: Rename) -> Column:
+def _apply(state: Column, rule: Rename | Insertion) -> Column:
     """One rule on struct<t: text, n: counts so far>."""
+    if isinstance(rule, Insertion):
+        return let(state, lambda s: _insert(s, rule))
 
     def body(s: Column) -> Column:
         hit = F.struct(
@@ -29,7 +31,19 @@ def _apply(state: Column, rule: Rename) -> Column:
     return let(state, body)
 
 
-def rewrite(corpus: DataFrame, renames: Sequence[Rename], text: str = "source") -> DataFrame:
+def _insert(s: Column, rule: Insertion) -> Column:
+    """The greedy prefix of the pattern ends at the anchor's last match."""
+    line = rule.line.replace("\\", "\\\\").replace("$", "\\$")
+    after = F.regexp_replace(s["t"], rf"\A([\s\S]*{rule.anchor})", f"$1{line}")
+    text = F.when(s["t"].rlike(rule.anchor), after).otherwise(F.concat(F.lit(rule.line), s["t"]))
+    due = ~s["t"].rlike(rule.unless)
+    return F.struct(
+        F.when(due, text).otherwise(s["t"]).alias("t"),
+        F.concat(s["n"], F.array(due.cast("bigint"))).alias("n"),
+    )
+
+
+def rewrite(corpus: DataFrame, renames: Sequence[Rename | Insertion], text: str = "source") -> DataFrame:
     """apply an ordered rename table; `changes` lists the rules that fired with their counts.
 
     Each rule sees the text the rules before it left.  The steps are nested

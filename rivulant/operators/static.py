@@ -14,8 +14,6 @@ from rivulant.operators.quality import duplicates, malformed_declarations, unrea
 from rivulant.operators.symbols import CONTROL_WORDS, FUNCTION_NAMES
 from rivulant.rules import Rule, device
 
-EVIDENCE_LIMIT = 120
-
 
 def source_rules() -> list[tuple[Rule, str]]:
     """The device pack as (rule, view): `masked` has comments and literals blanked, `directives` comments only."""
@@ -78,7 +76,7 @@ def static_findings(
         lambda lines: F.transform(
             hits,
             lambda h: h.withField(
-                "evidence", F.substring(strip(F.coalesce(F.get(lines, h["line"] - 1), F.lit(""))), 1, EVIDENCE_LIMIT)
+                "evidence", strip(F.coalesce(F.get(lines, h["line"] - 1), F.lit("")))
             ),
         ),
     )

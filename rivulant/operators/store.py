@@ -141,7 +141,7 @@ def merge_store(store: DataFrame | None, batch: DataFrame, seq_per_chunk: int =
         "signature", F.lit(1).alias("_gen"), "seq", "negative", "fix",
         F.bround(F.col("confidence").cast("double"), 4).alias("confidence"),
         F.bround(F.col("llm_time_s").cast("double"), 3).alias("llm_time_s"),
-        "verified", "metadata", F.substring("error", 1, 200).alias("error"),
+        "verified", "metadata", "error",
         F.lit(0).cast("bigint").alias("times_retrieved"),
         F.col("negative").cast("bigint").alias("failure_count"),
     ).filter(F.col("signature").isNotNull() & (F.col("signature") != ""))

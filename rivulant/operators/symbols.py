@@ -186,7 +186,14 @@ def unsatisfied_calls(calls: DataFrame, defs_old: DataFrame, defs_new: DataFrame
 
 
 # fixed values: words before `<<<` that name no kernel
-LAUNCH_KEYWORDS = ("if", "for", "while", "switch", "template", "sizeof")
+LAUNCH_KEYWORDS = (
+    "if", "for", "while", "switch", "template", "sizeof", "const", "constexpr", "static", "extern", "void",
+    "int", "float", "double", "char", "bool", "class", "struct", "enum", "union", "auto", "return",
+    "namespace", "using", "typedef", "typename", "public", "private", "protected", "virtual",
+    "override", "final", "export", "import", "include", "alignas", "alignof", "decltype", "noexcept",
+    "static_cast", "dynamic_cast", "const_cast", "reinterpret_cast",
+    "hipLaunchKernelGGL", "hipLaunchCooperativeKernel",
+)
 
 
 def undefined_launches(
@@ -225,6 +232,7 @@ def port_mode(
 
 # ---- signatures ------------------------------------------------------------------------
 
+# fixed value: the head of a device function
 SIGNATURE = r"__global__\s+void\s+(\w+)\s*\(([^)]*)\)"
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulant.plans.scratch import settle
 from rivulant.plans.scan import running
 
 ROWS_PER_CHUNK = 4096
@@ -247,9 +248,9 @@ def evolve_items(
     )
     sizes = checklist.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     last_two = (F.col("_n") >= 2) & (F.col("place") > F.col("_n") - 2)
-    kept = ranked.join(sizes, key).filter(~(last_two & (F.col("score") < 0))).select(
+    kept = settle(ranked.join(sizes, key).filter(~(last_two & (F.col("score") < 0))).select(
         key, F.lit(0).alias("_part"), F.col("place").alias("_o"), "item", "score"
-    )
+    ))
     fresh = hits.select(key, "item", "keyword_no").distinct().join(
         kept.select(key, "item"), [key, "item"], "left_anti"
     ).select(

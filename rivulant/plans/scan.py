@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulant.plans.scratch import settle
+
 CHUNK = "_chunk"
 
 
@@ -42,11 +44,12 @@ def running(
 
     `chunk` must not decrease along `order` inside a group; (keys, order) must
     be unique for a reproducible result.  With `exclusive` the running values
-    cover the rows before the current one only.
+    cover the rows before the current one only.  The input is written once to the
+    checkpoint folder, since its rows and its chunk sums are both read from it.
     """
     sums, maxes, previous = dict(sums or {}), dict(maxes or {}), dict(previous or {})
     keys, order = list(keys), list(order)
-    base = df.withColumn(CHUNK, chunk)
+    base = settle(df.withColumn(CHUNK, chunk))
     part = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = part.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
 
@@ -101,7 +104,7 @@ def segmented_sums(
     for name, (inc, reset) in counters.items():
         marks[f"_i_{name}"] = inc.cast("bigint")
         marks[f"_r_{name}"] = reset
-    base = df.withColumn(CHUNK, chunk).withColumns(marks)
+    base = settle(df.withColumn(CHUNK, chunk).withColumns(marks))
     part = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = part.rowsBetween(Window.unboundedPreceding, 0)
 

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (`spark.checkpoint.dir`), or one made for a local session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by `spark.checkpoint.dir`; where it is unset, one below the warehouse, which is shared too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="rivulant-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root

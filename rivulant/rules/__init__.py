@@ -28,6 +28,16 @@ class Rename:
     label: str
 
 
+@dataclass(frozen=True)
+class Insertion:
+    """A step that adds `line` after the last match of `anchor`, or at the top without one, unless the text has `unless`."""
+
+    anchor: str
+    line: str
+    unless: str
+    label: str
+
+
 @dataclass(frozen=True)
 class Term:
     """One row of a rubric: `points` when the SQL condition over the input columns holds.

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[*]", app: str = "rivulant", **conf: str) -> SparkSession:
-    """A session for tests and the benchmark; on a cluster pass the cluster's own session."""
+    """A local session for tests and the benchmark, with a scratch folder of its own; a cluster brings its session."""
     settings = {
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="rivulant-"),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -106,7 +106,7 @@ _GATE = GateRules(
     f"""WITH {_LINES}, said AS (SELECT path, line, trim(text) AS s, CASE WHEN regexp_matches(text, '[#$%&*]{{3}}') THEN 'noise'
         WHEN contains(text, '!!') THEN 'shout' END AS kind FROM lines WHERE regexp_matches(text, '\\S')),
     c AS (SELECT path, count(*) AS n, count(kind) AS bad,
-        string_agg('L' || line || ' [' || kind || ']: ' || substring(s, 1, 120), chr(10) ORDER BY line) FILTER (WHERE kind IS NOT NULL AND rk <= 3) AS samples
+        string_agg('L' || line || ' [' || kind || ']: ' || s, chr(10) ORDER BY line) FILTER (WHERE kind IS NOT NULL AND rk <= 3) AS samples
       FROM (SELECT *, row_number() OVER (PARTITION BY path, kind IS NULL ORDER BY line) AS rk FROM said) GROUP BY 1),
     r AS (SELECT d.doc_id AS path, d.text, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, coalesce(samples, '') AS samples,
         CASE WHEN NOT regexp_matches(d.text, '\\S') THEN 'empty extraction' WHEN contains(d.text, 'token = "') THEN 'token'
@@ -117,7 +117,7 @@ _GATE = GateRules(
       reason IS NULL AND NOT contains(text, 'License') AS warning FROM r""",
 )
 def lexical_gate(spark, sf):
-    out = quality.lexical_gate(v.corpus(spark, sf), _GATE)
+    out = quality.lexical_gate(v.corpus(spark, sf), _GATE, samples=3)
     return out.withColumn("samples", F.array_join("samples", "\n"))
 
 
@@ -264,7 +264,7 @@ def duplicates(spark, sf):
     "W2_unreachable_lines",
     rf"""WITH {_LINES}, s AS (SELECT path, line, text, row_number() OVER (PARTITION BY path ORDER BY line) AS rk FROM lines WHERE regexp_matches(text, '\S')),
     n AS (SELECT a.path, a.line AS jump_line, a.text AS jump, b.line, b.text FROM s a JOIN s b ON b.path = a.path AND b.rk = a.rk + 1)
-    SELECT path, CAST(line AS INTEGER) AS line, CAST(jump_line AS INTEGER) AS jump_line, substring(trim(text), 1, 120) AS evidence FROM n
+    SELECT path, CAST(line AS INTEGER) AS line, CAST(jump_line AS INTEGER) AS jump_line, trim(text) AS evidence FROM n
     WHERE regexp_matches(trim(jump), '^[A-Z][a-z ]+\.$') AND NOT regexp_matches(jump, 'tion') AND NOT regexp_matches(trim(text), '^(The|Le|De) ')""",
 )
 def unreachable_lines(spark, sf):
@@ -277,7 +277,7 @@ def unreachable_lines(spark, sf):
 @query(
     "W2_malformed_declarations",
     rf"""WITH {_LINES}, n AS (SELECT path, line, text, coalesce(lead(text) OVER (PARTITION BY path ORDER BY line), '') AS nxt FROM lines)
-    SELECT path, CAST(line AS INTEGER) AS line, substring(trim(text), 1, 120) AS evidence FROM n
+    SELECT path, CAST(line AS INTEGER) AS line, trim(text) AS evidence FROM n
     WHERE regexp_matches(text, '^(An|De|The|Le)') AND NOT regexp_matches(trim(text), '[,;:!?]$')
       AND length(text) - length(replace(text, '(', '')) <= length(text) - length(replace(text, ')', '')) AND NOT regexp_matches(trim(nxt), '^[A-M]')""",
 )
@@ -470,7 +470,7 @@ _STATIC = (
         f"regexp_extract_all(masked, {v.sql_text(r.pattern)}) AS m, regexp_split_to_array(masked, {v.sql_text(r.pattern)}) AS p FROM masked" for r in _STATIC)}),
     e AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM hit),
     q AS (SELECT path, source, rule, severity, message, 1 + length(array_to_string(p[1:k], '')) - length(replace(array_to_string(p[1:k], ''), chr(10), '')) AS line FROM e)
-    SELECT path, rule, severity, CAST(line AS INTEGER) AS line, message, substring(trim(string_split(source, chr(10))[line]), 1, 120) AS evidence FROM q""",
+    SELECT path, rule, severity, CAST(line AS INTEGER) AS line, message, trim(string_split(source, chr(10))[line]) AS evidence FROM q""",
 )
 def static_findings(spark, sf):
     from rivulant.operators.static import static_findings as scan

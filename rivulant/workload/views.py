@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulant.operators.store import signature_of_corpus
-from rivulant.plans.partitioning import spread
 from rivulant.plans.scratch import settle
 from rivulant.rules.portable import TEXT_RULES
 
@@ -17,12 +16,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return spread(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("source")))
+    return docs.select(F.col("doc_id").alias("path"), F.col("text").alias("source"))
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "pages")
-    return spread(df.select(F.col("page_id").alias("path"), F.col("html").alias("source")))
+    return df.select(F.col("page_id").alias("path"), F.col("html").alias("source"))
 
 
 def err_log(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from rivulant.functions.text import duration_text, lines_of, normalize_error, running_total, slug
 from rivulant.operators import findings as ops
 from rivulant.operators.store import signature, signature_of_corpus
-from rivulant.plans.partitioning import spread
 from rivulant.rules import Rule
 from rivulant.rules.device import LANE_SENSITIVE, LANE_SENSITIVE_WORDS, RESIDUAL_PATTERN, RISK_RULES
 
@@ -152,6 +151,11 @@ def test_order_position(spark):
     assert [got[r[4]] for r in want] == list(range(1, 9001))
 
 
-def test_spread_leaves_large_inputs(spark):
-    df = spark.range(10)
-    assert spread(df, limit=0) is df
+def test_report(spark):
+    risks = spark.createDataFrame([("a", "red", 1), ("b", "green", 0)], "path string, risk_level string, n_findings long")
+    runs = spark.createDataFrame([(True, 90.0), (True, 85.0), (False, 99.0), (True, None)], "passed boolean, confidence double")
+    store = spark.createDataFrame([(5, 92.0, 10)], "entries long, avg_confidence double, retrievals long")
+    row = ops.report(risks, runs, store).first()
+    assert row.hours_saved == 12.0 and row.avg_confidence == 58.3 and row.total_files == 2
+    assert "5 verified patterns" in row.summary and "92" in row.summary and "10 retrievals" in row.summary
+    assert "hours" not in ops.report(risks, runs.filter("NOT passed")).first().summary

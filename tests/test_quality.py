@@ -152,7 +152,7 @@ def test_device_rewrite(corpus_of):
     )
     row = rewrite.rewrite(corpus_of(a=text), DEVICE_RENAMES).first()
     assert row.new_source == (
-        "#include <hip/hip_runtime.h>\nunsigned int v;\n"
+        "#include <hip/hip_runtime.h>\n#define WAVEFRONT_SIZE 64\nunsigned int v;\n"
         "hipMalloc(&p, 4); hipMalloc(&q, 4); hipHostMalloc(&h, 4);\nint w = 64;\n"
         "x = __shfl_xor_sync(0xffffffffffffffffULL, x, 1); __syncthreads();\n#define warpSize 64\n"
     )
@@ -163,7 +163,7 @@ def test_device_rewrite(corpus_of):
 
 
 def test_filter_on_rewrite_stays_small(corpus_of):
-    out = rewrite.rewrite(corpus_of(a="cudaFree(0);", b="int x;"), DEVICE_RENAMES).filter(F.size("changes") > 0)
+    out = rewrite.rewrite(corpus_of(a="cudaFree(0);", b="#define WAVEFRONT_SIZE 64\nint x;"), DEVICE_RENAMES).filter(F.size("changes") > 0)
     assert [r.path for r in out.collect()] == ["a"]
 
 
