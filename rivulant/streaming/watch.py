@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rivulant.operators.telemetry import pending
 from rivulant.plans.scratch import scratch_path, settle
-from rivulant.sources.corpus import read_corpus
+from rivulant.sources.corpus import list_files, read_corpus
 
 STATE_SCHEMA = (
     "path string, mtime timestamp, size bigint, batch bigint, processed_at timestamp, "
@@ -62,16 +62,21 @@ def process_pending(
     """One pass over the directory; returns how many files were processed.
 
     The listing is a batch read, so an edited file counts as pending again.  `fn`
-    maps (path, source, mtime, size) rows to (path, status, result); failures are
-    recorded as well and not tried again until the file changes.  State is
+    maps (path, source, mtime, size) rows to (path, status, result).  Files that
+    cannot be read or decoded and other failures are recorded as errors and not
+    tried again until the file changes.  The listing reads no contents; then only
+    files as new as the oldest pending one are opened.  State is
     appended after the work, so a pass that dies is repeated, not lost.
     """
     init_state(spark, state_path)
-    files = read_corpus(spark, path, glob, require_files=False)
-    listing = files.select("path", "mtime", "size")
+    listing = list_files(spark, path, glob).select(
+        "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size")
+    )
     todo = settle(pending(listing, current_state(spark, state_path)))
     if todo.isEmpty():
         return 0
+    oldest = todo.agg(F.min("mtime")).first()[0]
+    files = read_corpus(spark, path, glob, require_files=False, since=oldest)
     outcome = fn(files.join(todo.select("path"), "path", "left_semi")).select("path", "status", "result")
     record = todo.join(outcome, "path", "left").select(
         "path",

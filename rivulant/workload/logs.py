@@ -90,7 +90,7 @@ def structural_signature(spark, sf):
 _REGIONS = """
 regions AS (
   SELECT user_id AS run, event_id % 60 + 1 AS start, event_id % 60 + 1 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 6 AS "end",
-    'r' || event_id AS name FROM events WHERE event_type = 'signup' AND event_id % 5 = 0),
+    'r' || event_id AS name FROM events WHERE event_type = 'signup'),
 pairs AS (
   SELECT d.run, d.seq, arg_min(r.name, (r.start, r."end", r.name)) AS region
   FROM diags d JOIN regions r ON r.run = d.run AND d.line BETWEEN r.start AND r."end" GROUP BY 1, 2),
@@ -102,7 +102,7 @@ located AS (
 def _located(spark, sf):
     k = F.get_json_object("props", "$.k").cast("bigint")
     start = F.col("event_id") % 60 + 1
-    regions = v.table(spark, sf, "events").filter("event_type = 'signup' AND event_id % 5 = 0").select(
+    regions = v.table(spark, sf, "events").filter("event_type = 'signup'").select(
         F.col("user_id").alias("run"), start.alias("start"), (start + k % 6).alias("end"),
         F.concat(F.lit("r"), F.col("event_id")).alias("name"),
     )

@@ -209,8 +209,7 @@ def shape_flags(spark, sf):
     return flagged.drop("source", "ported")
 
 
-_CUT = f"""
-pg AS (SELECT page_id AS path, html AS source, substring(html, 1, CASE WHEN page_id % 3 = 0 THEN 200 + page_id % 40 ELSE 100000000 END) AS ported FROM pages),
+_CUT = f"""{v.PAGE_VERSIONS},
 n AS (SELECT path, source, ported,
     regexp_extract_all(source, 'href="([^"]*)"', 1) AS old_names, regexp_extract_all(ported, 'href="([^"]*)"', 1) AS new_names FROM pg)"""
 
@@ -236,9 +235,7 @@ n AS (SELECT path, source, ported,
       CASE WHEN e1 OR e2 OR e3 OR e4 OR e5 THEN 0.0::DOUBLE ELSE round(1.0 - 0.1 * ((missing_symbols <> '')::INT + w2::INT), 4)::DOUBLE END AS score FROM g""",
 )
 def structural_gate(spark, sf):
-    pages = v.pages(spark, sf)
-    cut = F.when(F.col("path") % 3 == 0, F.lit(200) + F.col("path") % 40).otherwise(F.lit(100000000)).cast("int")
-    pairs = pages.withColumn("ported", F.substr("source", F.lit(1), cut)).withColumn("port_mode", F.lit("FULL"))
+    pairs = v.page_versions(spark, sf).withColumn("port_mode", F.lit("FULL"))
     out = quality.structural_gate(
         pairs,
         names=lambda t: F.regexp_extract_all(t, F.lit('href="([^"]*)"'), F.lit(1)),
@@ -349,16 +346,23 @@ def extract_code(spark, sf):
 
 @query(
     "F20_extraction_report",
-    f"""WITH {_RESPONSES} SELECT conv_id, turn, CAST(CASE WHEN code IS NULL OR NOT regexp_matches(code, '\\S') THEN 0 ELSE
+    f"""WITH {_RESPONSES}, said AS (
+      SELECT *, code IS NULL OR NOT regexp_matches(code, '\\S') AS none,
+        list_filter(string_split(coalesce(code, ''), chr(10)), lambda x: regexp_matches(x, '\\S')) AS ls FROM got),
+    ends AS (SELECT *, strpos(response, ls[1]) AS a, strpos(reverse(response), reverse(ls[-1])) AS back, length(ls[-1]) AS n FROM said),
+    placed AS (SELECT *, length(response) - back - n + 2 AS z FROM ends)
+    SELECT conv_id, turn, CAST(CASE WHEN none THEN 0 ELSE
       round_even(least(1.0, 0.5 + 0.5 * length(code) / CAST(length(response) AS DOUBLE)), 4) END AS DOUBLE) AS confidence,
-      strategy = 'markdown-fence' AS markdown_removed, code IS NULL OR NOT regexp_matches(code, '\\S') AS extraction_failed,
-      CASE WHEN code IS NULL OR NOT regexp_matches(code, '\\S') THEN response
+      strategy = 'markdown-fence' AS markdown_removed, none AS extraction_failed,
+      CASE WHEN none THEN response
         WHEN contains(response, code) THEN regexp_replace(substring(response, 1, strpos(response, code) - 1) || chr(10) || '<<< extracted code omitted >>>' || chr(10)
-          || substring(response, strpos(response, code) + length(code)), '^\\s+|\\s+$', '', 'g') END AS discarded
-    FROM got WHERE strategy <> 'json-field'""",
+          || substring(response, strpos(response, code) + length(code)), '^\\s+|\\s+$', '', 'g')
+        WHEN a > 0 AND back > 0 AND z > a THEN regexp_replace(substring(response, 1, a - 1) || chr(10) || '<<< extracted code omitted >>>' || chr(10)
+          || substring(response, z + n), '^\\s+|\\s+$', '', 'g') ELSE response END AS discarded
+    FROM placed""",
 )
 def extraction_report(spark, sf):
-    out = extraction.extraction_report(_extracted(spark, sf).filter("strategy <> 'json-field'"))
+    out = extraction.extraction_report(_extracted(spark, sf))
     return out.select("conv_id", "turn", "confidence", "markdown_removed", "extraction_failed", "discarded")
 
 
@@ -367,9 +371,21 @@ for _r in REDACTIONS:
     _REWRITE = f"regexp_replace({_REWRITE}, {v.sql_text(_r.pattern)}, {v.sql_text(_r.replacement)}, 'g')"
 
 
-@query("F13_rewrite", f"SELECT doc_id AS path, {_REWRITE} AS new_source FROM documents")
+def _changes() -> str:
+    """The labels that fired with their counts, in order, as text."""
+    text, parts = "text", []
+    for r in REDACTIONS:
+        n = f"len(regexp_extract_all({text}, {v.sql_text(r.pattern)}))"
+        parts.append(f"CASE WHEN {n} > 0 THEN {v.sql_text(r.label + '=')} || {n} END")
+        text = f"regexp_replace({text}, {v.sql_text(r.pattern)}, {v.sql_text(r.replacement)}, 'g')"
+    return f"concat_ws(',', {', '.join(parts)})"
+
+
+@query("F13_rewrite", f"SELECT doc_id AS path, {_REWRITE} AS new_source, {_changes()} AS changes FROM documents")
 def rewrite_text(spark, sf):
-    return rewrite.rewrite(v.corpus(spark, sf), REDACTIONS).select("path", "new_source")
+    out = rewrite.rewrite(v.corpus(spark, sf), REDACTIONS)
+    fired = F.transform("changes", lambda c: F.concat(c["label"], F.lit("="), c["n"]))
+    return out.select("path", "new_source", F.array_join(fired, ",").alias("changes"))
 
 
 def _change_sql() -> str:

@@ -104,9 +104,9 @@ def name_set_diff(spark, sf):
 
 @query(
     "U2_namespace_report",
-    f"""WITH a AS (SELECT page_id AS path, list_sort(list_distinct(regexp_extract_all(html, '{_ATTR}', 1))) AS o,
-        list_sort(list_distinct(regexp_extract_all(substring(html, 1, 400), '{_ATTR}', 1))) AS n,
-        list_sort(list_distinct(regexp_extract_all(html, '{_TAG}', 1))) AS ou, list_sort(list_distinct(regexp_extract_all(substring(html, 1, 400), '{_TAG}', 1))) AS nu FROM pages)
+    f"""WITH {v.PAGE_VERSIONS}, a AS (SELECT path, list_sort(list_distinct(regexp_extract_all(source, '{_ATTR}', 1))) AS o,
+        list_sort(list_distinct(regexp_extract_all(ported, '{_ATTR}', 1))) AS n,
+        list_sort(list_distinct(regexp_extract_all(source, '{_TAG}', 1))) AS ou, list_sort(list_distinct(regexp_extract_all(ported, '{_TAG}', 1))) AS nu FROM pg)
     SELECT path, array_to_string(list_filter(o, lambda x: NOT list_contains(n, x)), ',') AS dropped_declarations,
       array_to_string(list_filter(n, lambda x: NOT list_contains(o, x)), ',') AS added_declarations,
       array_to_string(list_filter(ou, lambda x: NOT list_contains(nu, x)), ',') AS dropped_using,
@@ -114,13 +114,12 @@ def name_set_diff(spark, sf):
 )
 def namespace_report(spark, sf):
     names = lambda t, p: F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(p), F.lit(1))))
-    cut = F.substring("source", 1, 400)
-    pairs = v.pages(spark, sf).select(
+    pairs = v.page_versions(spark, sf).select(
         "path",
         names(F.col("source"), _ATTR).alias("old_names"),
-        names(cut, _ATTR).alias("new_names"),
+        names(F.col("ported"), _ATTR).alias("new_names"),
         names(F.col("source"), _TAG).alias("old_using"),
-        names(cut, _TAG).alias("new_using"),
+        names(F.col("ported"), _TAG).alias("new_using"),
     )
     out = symbols.namespace_report(pairs)
     return out.withColumns(

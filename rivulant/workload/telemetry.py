@@ -174,7 +174,7 @@ def top_items(spark, sf):
 
 @query(
     "K2_evolve_items",
-    f"""WITH {_STEPS}, cl AS (SELECT run % 7 AS version, item, min(event_id) AS position FROM (SELECT user_id AS run, event_id, event_type || '-' || ({_K} % 4) AS item FROM events WHERE user_id % 5 <> 3) GROUP BY 1, 2),
+    f"""WITH {_STEPS}, cl AS (SELECT run % 7 AS version, item, min(event_id) AS position FROM (SELECT user_id AS run, event_id, event_type || '-' || ({_K} % 4) AS item FROM events) GROUP BY 1, 2),
     sc AS (SELECT cl.*, coalesce(s.score, 0) AS score FROM cl LEFT JOIN scores s USING (item)),
     rk AS (SELECT *, row_number() OVER (PARTITION BY version ORDER BY score DESC, position) AS place, count(*) OVER (PARTITION BY version) AS n FROM sc),
     kept AS (SELECT version, 0 AS part, place AS o, item, score FROM rk WHERE NOT (n >= 2 AND place > n - 2 AND score < 0)),
@@ -186,7 +186,7 @@ def top_items(spark, sf):
 )
 def evolve_items(spark, sf):
     scores = ops.item_scores(_steps(spark, sf), _items(spark, sf))
-    checklist = v.table(spark, sf, "events").filter("user_id % 5 <> 3").groupBy(
+    checklist = v.table(spark, sf, "events").groupBy(
         (F.col("user_id") % 7).alias("version"), F.concat("event_type", F.lit("-"), _k() % 4).alias("item")
     ).agg(F.min("event_id").alias("position"))
     words = (("s3", "add s3"), ("odd 2", "add odd"), ("h9", "add h9"), ("t1", "view-1"))

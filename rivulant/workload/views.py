@@ -24,6 +24,18 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return df.select(F.col("page_id").alias("path"), F.col("html").alias("source"))
 
 
+def page_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page and, as its new version, the next page; the last page stands for itself."""
+    old = pages(spark, sf)
+    new = old.select((F.col("path") - 1).alias("path"), F.col("source").alias("_next"))
+    return old.join(new, "path", "left").select("path", "source", F.coalesce("_next", "source").alias("ported"))
+
+
+PAGE_VERSIONS = """
+pg AS (SELECT a.page_id AS path, a.html AS source, coalesce(b.html, a.html) AS ported
+  FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id + 1)"""
+
+
 def err_log(spark: SparkSession, sf: str) -> DataFrame:
     """Error events as log lines: run (user), day, event, line text."""
     e = table(spark, sf, "events").filter("event_type = 'error'")
