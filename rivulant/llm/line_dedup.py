@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulant.llm.common import BLANKS, ascii_lower
+from rivulant.llm.common import BLANKS, ascii_lower, text_hash, written
 
 
 def line_key(line: Column) -> Column:
@@ -27,12 +27,12 @@ def line_dedup(
     document).  Repeated rows give the same result each.  Needs `id_col` and
     `text_col` only.
 
-    Only 128-bit key hashes, ids and positions are shuffled to count and flag lines;
-    the texts move once, when the flags meet them.  Counting distinct ids per hash
+    The lines' 128-bit key hashes, ids and positions are written once and shuffled to
+    count and flag lines; the texts move once, when the flags meet them.  Counting distinct ids per hash
     pre-aggregates per (hash, id), so a line of a third of the documents is shared out.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    base = base.withColumn("_h", F.xxhash64("_text"))
+    base = base.withColumn("_h", text_hash(F.col("_text")))
     lines = base.select("doc_id", "_h", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
     key = line_key(F.col("_line"))
     lines = lines.select("doc_id", "_h", "_pos", key.alias("_key")).select(
@@ -40,15 +40,18 @@ def line_dedup(
         F.when(F.char_length("_key") >= min_chars, F.xxhash64("_key")).alias("_a"),
         F.when(F.char_length("_key") >= min_chars, F.xxhash64(F.lit("second"), "_key")).alias("_b"),
     )
+    lines = written(lines, "lines")
     common = (
         lines.filter(F.col("_a").isNotNull())
         .groupBy("_a", "_b")
         .agg(F.count_distinct(F.struct("doc_id")).alias("_docs"))
         .filter(F.col("_docs") >= min_docs)
-        .select("_a", "_b", F.lit(True).alias("_drop"))
+        .select("_a", "_b")
     )
+    # a table of its own: AQE broadcasts it by its size or splits the join's hot keys
+    common = written(common, "common_lines")
     flags = (
-        lines.join(common, ["_a", "_b"])
+        lines.join(common, ["_a", "_b"], "left_semi")
         .groupBy("doc_id", "_h")
         .agg(F.sort_array(F.collect_set("_pos")).alias("_at"))
         .select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hh"), "_at")
