@@ -18,8 +18,12 @@ def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def matcher_ratio(left: Column, right: Column) -> Column:
-    """Ratcliff-Obershelp ratio, which no built-in function computes."""
-    return F.pandas_udf(_ratios, "double")(left, right)
+    """Ratcliff-Obershelp ratio, which no built-in function computes.
+
+    Declared non-deterministic so that a filter on the ratio does not make the
+    optimizer compute it a second time.
+    """
+    return F.pandas_udf(_ratios, "double").asNondeterministic()(left, right)
 
 
 def _codes(folded: Column) -> Column:

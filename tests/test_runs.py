@@ -113,6 +113,17 @@ def test_edited_files_are_processed_again(spark, tmp_path):
     assert now == {"a.cu": ("ok", "6", 0), "b.cu": ("ok", "9", 2), "c.cu": ("ok", "3", 2)}
 
 
+def test_undecodable_files_are_errors_once(spark, tmp_path):
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    (folder / "a.cu").write_text("int a;")
+    (folder / "bad.cu").write_bytes(b"\xff\xfe\x00")
+    run = lambda n: watch.process_pending(spark, str(folder), state, _judge, "*.cu", n)
+    assert run(0) == 2 and run(1) == 0
+    now = {r.path.split("/")[-1]: r.status for r in watch.current_state(spark, state).collect()}
+    assert now == {"a.cu": "ok", "bad.cu": "error"}
+
+
 def test_watch_on_a_timer(spark, tmp_path):
     folder, state = tmp_path / "in", str(tmp_path / "state")
     folder.mkdir()
