@@ -61,7 +61,7 @@ def map_texts(
     """One output row per input row: the columns `keep` and what `fn` makes of a batch of texts.
 
     `fn` gets UTF-8 bytes (null counts as empty) and returns Arrow arrays, one per
-    further column of `schema`.  Spark bounds the batches by bytes.
+    further column of `schema`, which `;` separates.  Spark bounds the batches by bytes.
     """
     kinds = dict(docs.dtypes)
     head = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
@@ -74,8 +74,9 @@ def map_texts(
                 columns = [batch.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, *made], names=names)
 
-    full = f"{head}, {schema}" if head else schema
-    names = [*keep, *(part.split()[0] for part in schema.split(","))]
+    made = schema.replace(";", ",")
+    full = f"{head}, {made}" if head else made
+    names = [*keep, *(part.split()[0] for part in schema.split(";"))]
     return docs.select(*keep, F.col(text)).mapInArrow(run, full)
 
 

@@ -212,7 +212,7 @@ def quality_classifier(
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base = base.withColumn("held_out", held_out(F.col("doc_id"), parts, part))
     scored = map_texts(
-        base, ["doc_id", "held_out"], "text", run, "score double, top_attention double, n_passages int"
+        base, ["doc_id", "held_out"], "text", run, "score double; top_attention double; n_passages int"
     )
     return scored.select(
         "doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"),

@@ -78,7 +78,7 @@ def measures(docs: DataFrame, keep: list[str], text_col: str = "text", prefix: s
         values = np.array([measure(t) for t in texts], np.int64).reshape(-1, len(MEASURES))
         return [pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(MEASURES))]
 
-    return map_texts(docs, keep, text_col, run, ", ".join(f"{prefix}{m} long" for m in MEASURES))
+    return map_texts(docs, keep, text_col, run, "; ".join(f"{prefix}{m} long" for m in MEASURES))
 
 
 def _vote(good: Column, bad: Column) -> Column:

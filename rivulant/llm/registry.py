@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rivulant.llm.common import documents, labels
 from rivulant.llm.exact_dedup import exact_dedup
+from rivulant.llm.license_scan import license_scan
 from rivulant.llm.line_dedup import line_dedup
 from rivulant.llm.mixing import mix
 from rivulant.llm.quality_classifier import quality_classifier
@@ -148,3 +149,22 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_quality_classifier")
 def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality_classifier(documents(spark, sf), labels(spark, sf))
+
+
+# Every licence whose rule is one sentence; this table has no longer notices.
+LICENSE_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, pos, CASE trim(line)
+    WHEN 'Licensed under CC BY-NC 4.0.' THEN 'CC-BY-NC-4.0' WHEN 'Released under the MIT License.' THEN 'MIT'
+    WHEN 'Licensed under the Apache License, Version 2.0.' THEN 'Apache-2.0'
+    WHEN 'This work is licensed under the GNU General Public License, version 3.' THEN 'GPL-3.0-only' END AS licence FROM l)
+SELECT doc_id, count(licence) AS n_sentences, coalesce(string_agg(licence, ',' ORDER BY pos) FILTER (WHERE licence IS NOT NULL), '') AS licences
+FROM k GROUP BY doc_id"""
+
+
+@query("op5_license_scan", LICENSE_SQL)
+def op5_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    out = license_scan(documents(spark, sf))
+    return out.select("doc_id", "n_sentences", F.array_join("licences.licence", ",").alias("licences"))

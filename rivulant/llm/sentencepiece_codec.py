@@ -437,5 +437,5 @@ def round_trip(docs: DataFrame, keep: list[str], text_col: str = "text", model_p
         ]
 
     return map_texts(
-        docs, keep, text_col, run, "n_tokens long, token_ids array<int>, decoded_sha256 string, same boolean"
+        docs, keep, text_col, run, "n_tokens long; token_ids array<int>; decoded_sha256 string; same boolean"
     )
