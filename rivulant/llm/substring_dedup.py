@@ -226,7 +226,7 @@ def substring_dedup(
 
     lists = map_texts(source, ["shard"], "text", lambda t: _anchor_lists(t, window, phrase), "anchors array<long>")
     chosen = written(lists.select("shard", F.explode("anchors").alias("anchor")), "anchors")
-    recurring = chosen.groupBy("anchor").count().filter("count > 1").select("anchor")
+    recurring = written(chosen.groupBy("anchor").count().filter("count > 1").select("anchor"), "recurring")
     phrases = chosen.join(recurring, "anchor", "left_semi").select("shard", "anchor").distinct()
 
     def find(mine: pa.Table, theirs: pa.Table) -> pa.Table:
@@ -239,16 +239,18 @@ def substring_dedup(
     digest = ["d1", "d2"]
     where = ["shard", "doc_id", "text_hash", "start", "n"]
     classes = spans.groupBy(*digest).agg(F.count("*").alias("spans"), F.min("anchor").alias("anchor"))
+    classes = written(classes, "classes")
     often = classes.filter("spans > 1")
-    settled = spans.select(*where, *digest).join(often, digest, "left_semi").select(*where)
+    settled = written(spans.select(*where, *digest).join(often, digest, "left_semi").select(*where), "settled")
     # Windows are counted one by one where a span occurs once; repeated spans of the same anchor
     # lend one list of theirs to that count.
     listed = spans.filter(F.size("windows") > 0)
-    once = listed.join(often, digest, "left_anti")
+    once = listed.join(often, digest, "left_anti").select(*where[:3], "anchor", "start", "windows")
+    once = written(once, "once")
     open_windows = once.select(*where[:3], "anchor", "start", F.posexplode("windows").alias("offset", "w"))
     lent = often.join(classes.filter("spans = 1").select("anchor"), "anchor", "left_semi").select(*digest)
     stand = listed.select("anchor", *digest, "windows").join(lent, digest, "left_semi").dropDuplicates(digest)
-    known = stand.select("anchor", F.explode("windows").alias("w"))
+    known = written(stand.select("anchor", F.explode("windows").alias("w")), "known")
     again = (
         open_windows.select("anchor", "w").unionAll(known)
         .groupBy("anchor", "w").count().filter("count > 1").select("anchor", "w")
