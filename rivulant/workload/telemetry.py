@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rivulant.functions.text import slug
 from rivulant.operators import telemetry as ops
 from rivulant.plans.scan import running
 from rivulant.workload import views as v
@@ -347,3 +348,24 @@ def merge_generated(spark, sf):
     generated = p.filter("name % 2 = 0").withColumn("origin", F.lit("new")).withColumn("auto_generated", F.lit(True))
     out = ops.merge_generated(existing, generated, "name")
     return out.withColumn("auto_generated", F.coalesce("auto_generated", F.lit(False)))
+
+
+@query(
+    "K2_next_version",
+    "SELECT DISTINCT 'v' || user_id || '_' || event_type AS version, 'v' || (user_id + 1) AS next_version FROM events",
+)
+def next_version(spark, sf):
+    versions = v.table(spark, sf, "events").select(
+        F.concat(F.lit("v"), "user_id", F.lit("_"), "event_type").alias("version")
+    ).distinct()
+    return versions.withColumn("next_version", ops.next_version(F.col("version")))
+
+
+@query(
+    "S7_slug",
+    r"""SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(p_name || ' / ' || p_type, '[^A-Za-z0-9_.\-]+', '_', 'g'),
+      '^_+|_+$', '', 'g'), ''), 'unnamed') AS slug FROM part""",
+)
+def slug_names(spark, sf):
+    name = F.concat("p_name", F.lit(" / "), "p_type")
+    return v.table(spark, sf, "part").select("p_partkey", slug(name).alias("slug"))
