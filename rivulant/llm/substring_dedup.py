@@ -227,7 +227,8 @@ def substring_dedup(
     lists = map_texts(source, ["shard"], "text", lambda t: _anchor_lists(t, window, phrase), "anchors array<long>")
     chosen = written(lists.select("shard", F.explode("anchors").alias("anchor")), "anchors")
     recurring = written(chosen.groupBy("anchor").count().filter("count > 1").select("anchor"), "recurring")
-    phrases = chosen.join(recurring, "anchor", "left_semi").select("shard", "anchor").distinct()
+    # distinct first: a phrase of a third of all documents is then one row per shard
+    phrases = chosen.distinct().join(recurring, "anchor", "left_semi").select("shard", "anchor")
 
     def find(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         return locate(mine, np.asarray(theirs["anchor"], np.int64).view(np.uint64), window, phrase)
