@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from rivulant.llm.common import documents, labels
 from rivulant.llm.exact_dedup import exact_dedup
+from rivulant.llm.hard_negatives import hard_negatives
+from rivulant.llm.language_id import language_id
 from rivulant.llm.license_scan import license_scan
 from rivulant.llm.line_dedup import line_dedup
+from rivulant.llm.merkle_manifest import merkle_manifest, proof_digest
 from rivulant.llm.mixing import mix
 from rivulant.llm.quality_classifier import quality_classifier
 from rivulant.llm.quality_rules import quality_rules
@@ -168,3 +171,87 @@ FROM k GROUP BY doc_id"""
 def op5_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     out = license_scan(documents(spark, sf))
     return out.select("doc_id", "n_sentences", F.array_join("licences.licence", ",").alias("licences"))
+
+
+# CRC-32 of the decimal doc_id, bit by bit.
+CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+    string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295)"""
+MERKLE_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT *, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+      || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+    CASE WHEN {CRC_SQL} % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS shown FROM documents),
+leaves AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+    sha256(head || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(octet_length(encode(CAST(shown AS VARCHAR))) || ':' || shown, '-') || tail) AS presented FROM d),
+tree AS (
+  SELECT lang, 0 AS lvl, pos, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 1) // 2
+  FROM tree WHERE n > 1 GROUP BY lang, lvl, pos // 2),
+subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+crown AS (
+  SELECT 0 AS lvl, pos, h, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 1) // 2
+  FROM crown WHERE n > 1 GROUP BY lvl, pos // 2),
+way AS (
+  SELECT doc_id, lang, 0 AS lvl, pos, n, presented AS acc, '' AS proof FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.lvl + 1, w.pos // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN w.pos % 2 = 1 THEN s.h || w.acc ELSE w.acc || coalesce(s.h, '') END), w.proof || coalesce(s.h, '')
+  FROM way w LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM w.lang AND s.lvl = w.lvl
+    AND s.pos = w.pos + 1 - 2 * (w.pos % 2) WHERE w.n > 1),
+climb AS (
+  SELECT w.doc_id, 0 AS lvl, r.pos, r.n, w.acc, w.proof FROM way w JOIN subroots r ON r.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL
+  SELECT c.doc_id, c.lvl + 1, c.pos // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.pos % 2 = 1 THEN s.h || c.acc ELSE c.acc || coalesce(s.h, '') END), c.proof || coalesce(s.h, '')
+  FROM climb c LEFT JOIN crown s ON s.lvl = c.lvl AND s.pos = c.pos + 1 - 2 * (c.pos % 2) WHERE c.n > 1)
+SELECT l.doc_id, l.leaf, r.h AS subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.acc AS folded_root, c.acc = t.h AS verified
+FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN climb c ON c.doc_id = l.doc_id AND c.n = 1, crown t
+WHERE t.n = 1"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    out = merkle_manifest(documents(spark, sf), presented={"n_chars": changed})
+    return out.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", "verified")
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.c, b.c) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id(documents(spark, sf))
