@@ -19,8 +19,9 @@ from rivulant.llm.common import map_texts
 from rivulant.llm.toxicity import held_out
 
 SEGMENT = 128
-ROWS = 2048
+ROWS = 1024
 UNKNOWN = "und"
+SALTS = 32
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -37,16 +38,6 @@ def segments(lengths: np.ndarray, size: int = SEGMENT) -> tuple[np.ndarray, np.n
     return text[order], start[order], length[order]
 
 
-def _step(x: np.ndarray, h: np.ndarray, u: np.ndarray, c: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """One gated step: update z, reset r, candidate n; returns the new state and what its gradient needs."""
-    pre = h @ u
-    zr = np.tanh((x[:, : 2 * size] + pre[:, : 2 * size]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-    z, r = zr[:, :size], zr[:, size:]
-    inner = pre[:, 2 * size :] + c
-    n = np.tanh(x[:, 2 * size :] + r * inner)
-    return n + z * (h - n), z, r, n, inner
-
-
 @dataclass
 class Network:
     """Weights per direction (byte table w, recurrence u, candidate bias c) and the labelling layer."""
@@ -60,25 +51,50 @@ class Network:
 
         Rows are sorted by length, so a row enters the backward pass at its last byte with a zero state.
         """
-        p, size = self.p, self.size
-        h = np.zeros((codes.shape[1], size), np.float32)
-        out = np.zeros((*codes.shape, size), np.float32)
-        steps = range(len(codes)) if way == "f" else range(len(codes) - 1, -1, -1)
-        for t in steps:
+        size, half = self.size, np.float32(0.5)
+        # a gate's weights on their own: its arrays are then contiguous; update and reset halved for tanh
+        (wz, wr, wn), (uz, ur, un) = (
+            [np.ascontiguousarray(self.p[k + way][:, i * size : (i + 1) * size]) * (half if i < 2 else np.float32(1)) for i in range(3)]
+            for k in "wu"
+        )
+        h = np.zeros((codes.shape[1], size), wz.dtype)
+        out = np.zeros((*codes.shape, size), wz.dtype)
+        for t in range(len(codes)) if way == "f" else range(len(codes) - 1, -1, -1):
             a = active[t]
-            before = h[:a]
-            new, z, r, n, inner = _step(p["w" + way].take(codes[t, :a], axis=0), before, p["u" + way], p["c" + way], size)
+            code, before = codes[t, :a], h[:a]
+            gates = []
+            for w, u in ((wz, uz), (wr, ur)):  # a logistic function is half a tanh of half the value, plus a half
+                gate = before @ u
+                gate += w.take(code, axis=0)
+                np.tanh(gate, out=gate)
+                gate += 1
+                gate *= half
+                gates.append(gate)
+            z, r = gates
+            inner = before @ un
+            inner += self.p["c" + way]
+            n = r * inner
+            n += wn.take(code, axis=0)
+            np.tanh(n, out=n)
             if keep is not None:
                 keep.append((t, before.copy(), z, r, n, inner))
+            new = before - n
+            new *= z
+            new += n
             h[:a] = new
             out[t, :a] = new
         return out
 
     def labels(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
-        """Probabilities of the languages at every position."""
-        logit = forward @ self.p["vf"] + backward @ self.p["vb"] + self.p["b"]
-        logit = np.exp(logit - logit.max(axis=-1, keepdims=True))
-        return logit / logit.sum(axis=-1, keepdims=True)
+        """(languages, steps, rows) probabilities at every position."""
+        flat = lambda x: x.reshape(-1, self.size).T
+        logit = self.p["vf"].T @ flat(forward)
+        logit += self.p["vb"].T @ flat(backward)
+        logit += self.p["b"][:, None]
+        logit -= logit.max(axis=0)
+        np.exp(logit, out=logit)
+        logit /= logit.sum(axis=0)
+        return logit.reshape(len(self.names), *forward.shape[:2])
 
     def pooled(self, texts: Sequence[bytes]) -> np.ndarray:
         """Mean probabilities over the positions of each text; zeros for an empty one."""
@@ -92,8 +108,8 @@ class Network:
             codes = np.ascontiguousarray(joined[s[None, :] + steps[:, None]])
             active = np.searchsorted(-n, -steps, side="left")
             probability = self.labels(self.states(codes, active, "f"), self.states(codes, active, "b"))
-            probability[np.arange(len(t))[None, :] >= active[:, None]] = 0
-            np.add.at(total, t, probability.sum(axis=0))
+            probability[:, np.arange(len(t))[None, :] >= active[:, None]] = 0
+            np.add.at(total, t, probability.sum(axis=1).T)
         return total / np.maximum(lengths, 1)[:, None]
 
 
@@ -104,7 +120,7 @@ def gradient(net: Network, codes: np.ndarray, target: np.ndarray, weight: np.nda
     for way in "fb":
         saved[way] = []
         outs[way] = net.states(codes, active, way, saved[way])
-    probability = net.labels(outs["f"], outs["b"])
+    probability = np.moveaxis(net.labels(outs["f"], outs["b"]), 0, 2)
     picked = np.maximum(probability[:, np.arange(rows), target], 1e-12)
     loss = float(-(np.log(picked) * weight).sum() / weight.sum() / steps)
     error = probability.copy()
@@ -204,8 +220,10 @@ def training_pieces(
     """
     learned = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     learned = learned.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out(F.col("doc_id"), parts, part))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("language"), "doc_id"), "doc_id")
-    ids = learned.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class)
+    ids = learned.select("doc_id", "lang", F.xxhash64(F.lit("language"), "doc_id").alias("_key"))
+    for parts_of in ([F.col("lang"), F.pmod("_key", F.lit(SALTS))], [F.col("lang")]):  # the last window meets SALTS * per_class rows at most
+        order = Window.partitionBy(*parts_of).orderBy("_key", "doc_id")
+        ids = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class)
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     held = learned.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
     held = held.filter(F.col("text").rlike(r"\p{L}"))
