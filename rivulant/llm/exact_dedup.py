@@ -1,22 +1,24 @@
 """Exact dedup against immutable snapshots screened by static binary-fuse filters.
 
-A snapshot is a set of digests that never changes, cut into buckets by digest.
-Each bucket has one binary-fuse filter.  An incoming batch is grouped by digest on
-its own (duplicates inside the batch never meet the snapshot); its distinct digests
-pass the filter of their bucket, and only positives are joined with the exact bucket,
-where the bytes of both texts are compared.
+A snapshot is a stored set of classes (digest, size, largest id) that never changes, cut
+into buckets by digest.  Each bucket has one binary-fuse filter.  An incoming batch is
+grouped by digest on its own; its distinct digests pass the filter of their bucket.  What
+the filter rejects is a class of its own and never meets the snapshot; only positives are
+joined with the exact bucket, and those whose bytes are the same too join the stored class.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulant.llm.common import ascii_lower
-from rivulant.plans.scratch import settle
+from rivulant.llm.common import ascii_lower, written
+from rivulant.plans.scratch import scratch_path, settle
 
 BUCKET_KEYS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -126,6 +128,36 @@ def arrival(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(2)), F.lit(0)).cast("int")
 
 
+def _bucket(buckets: int) -> Column:
+    """Buckets are cut by the digest's first bytes, which are even."""
+    return F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(buckets))
+
+
+@dataclass
+class Snapshot:
+    """Stored classes (bucket, digest, n, top), the filter of every bucket that has any, and the number of buckets."""
+
+    entries: DataFrame
+    filters: DataFrame
+    buckets: int
+
+
+def save_snapshot(groups: DataFrame, path: str, bucket_keys: int = BUCKET_KEYS) -> None:
+    """Store distinct classes (digest, n, top) and their filters below `path`, which must not exist yet."""
+    spark = groups.sparkSession
+    size = groups.agg(F.approx_count_distinct("digest")).first()[0]
+    buckets = -(-size // bucket_keys) or 1
+    groups.select(_bucket(buckets).alias("bucket"), "digest", "n", "top").write.parquet(f"{path}/entries")
+    entries = spark.read.parquet(f"{path}/entries")
+    snapshot_filters(entries).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+
+
+def load_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    filters = spark.read.parquet(f"{path}/filters")
+    size = filters.agg(F.max("buckets")).first()[0]  # one value for the whole snapshot
+    return Snapshot(spark.read.parquet(f"{path}/entries"), filters.drop("buckets"), size or 1)
+
+
 def _bytes_equal(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Digests of `pairs` (digest, old_id, new_id) whose two texts have the same normalised bytes."""
     wanted = pairs.select("digest", F.explode(F.array("old_id", "new_id")).alias("wanted")).distinct()
@@ -136,6 +168,22 @@ def _bytes_equal(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str)
     return found.groupBy("digest").agg((F.min("_text") == F.max("_text")).alias("same")).filter("same").select("digest")
 
 
+def meet(groups: DataFrame, snapshot: Snapshot, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored classes that a batch's classes (digest, n, top) join: digest, n and top of both sides.
+
+    The filter decides who reaches the exact bucket.  `docs` holds the texts of both sides.
+    """
+    new = groups.withColumn("bucket", _bucket(snapshot.buckets))
+    positive = screen(new, snapshot.filters).select(F.col("bucket").alias("_b"), F.col("digest").alias("_d"))
+    positive = positive.join(new, (F.col("_b") == F.col("bucket")) & (F.col("_d") == F.col("digest"))).drop("_b", "_d")
+    old = snapshot.entries.select("bucket", "digest", F.col("n").alias("old_n"), F.col("top").alias("old_id"))
+    found = positive.join(old, ["bucket", "digest"]).select(
+        "digest", F.col("n").alias("new_n"), F.col("top").alias("new_id"), "old_n", "old_id"
+    )
+    found = settle(found)
+    return found.join(_bytes_equal(docs, found, id_col, text_col), "digest", "left_semi")
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -148,36 +196,36 @@ def exact_dedup(
     Texts are equal when identical after lower-casing A-Z; null counts as empty.
     The row with the largest doc_id stays (null ids last; a group of null ids only
     has a null keep_id).  Rows that repeat id and text are returned as often as they
-    occur and the first stays.  `batch` tells stored rows (0) from new ones (1).
+    occur and the first stays.  `batch` tells stored rows (0) from new ones (1): the
+    stored ones are saved as a snapshot in the shared folder, the new ones meet that.
     Needs columns `id_col` and `text_col` only; other columns are not read.
     """
+    spark = docs.sparkSession
     batch = arrival(F.col(id_col)) if batch is None else batch
     rows = docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("digest"), batch.alias("batch"))
     rows = settle(rows.groupBy("digest", "doc_id", "batch").agg(F.count("*").alias("n")))
-    groups = rows.groupBy("digest", "batch").agg(F.sum("n").alias("n"), F.max("doc_id").alias("top"))
-    largest = rows.groupBy("batch").agg(F.approx_count_distinct("digest").alias("d")).agg(F.max("d")).first()[0] or 0
-    buckets = -(-largest // bucket_keys) or 1
-    part = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(buckets))
-    groups = settle(groups.withColumn("bucket", part))
-
-    old = groups.filter("batch = 0")
-    new = groups.filter("batch <> 0")
-    filters = snapshot_filters(old)
-    positive = screen(new, filters)
-    pairs = (
-        positive.join(old.select("bucket", "digest", F.col("top").alias("old_id")), ["bucket", "digest"])
-        .join(new.select("bucket", "digest", F.col("top").alias("new_id")), ["bucket", "digest"])
-        .select("digest", "old_id", "new_id")
+
+    def groups(condition: str) -> DataFrame:
+        return rows.filter(condition).groupBy("digest").agg(F.sum("n").alias("n"), F.max("doc_id").alias("top"))
+
+    path = scratch_path(spark, "snapshot")
+    save_snapshot(groups("batch = 0"), path, bucket_keys)
+    snapshot = load_snapshot(spark, path)
+    new = written(groups("batch <> 0"), "incoming")
+    joined = settle(meet(new, snapshot, docs, id_col, text_col))
+    met = joined.select(
+        "digest", (F.col("old_n") + F.col("new_n")).alias("both_n"), F.greatest("old_id", "new_id").alias("both_top"),
+    )
+    # Only the classes that a positive joined change; every other class stays as its own side has it.
+    sides = snapshot.entries.select("digest", F.lit(0).alias("side"), "n", "top").unionAll(
+        new.select("digest", F.lit(1).alias("side"), "n", "top")
+    )
+    classes = sides.join(met, "digest", "left").select(
+        F.col("digest").alias("_digest"), "side", F.coalesce("both_n", "n").alias("group_size"),
+        F.coalesce("both_top", "top").alias("keep_id"),
     )
-    pairs = settle(pairs)
-    same = _bytes_equal(docs, pairs, id_col, text_col).withColumn("twin", F.lit(True))
-    # A class is a digest; where bytes differed it would be a digest and its batch.
-    classes = groups.join(pairs.select("digest").withColumn("met", F.lit(True)), "digest", "left").join(same, "digest", "left")
-    split = F.when(F.col("met") & F.col("twin").isNull(), F.col("batch")).otherwise(F.lit(0)).alias("side")
-    classes = classes.select("digest", split, "batch", "n", "top")
-    whole = classes.groupBy("digest", "side").agg(F.sum("n").alias("group_size"), F.max("top").alias("keep_id"))
-    whole = classes.select("digest", "side", "batch").join(whole, ["digest", "side"]).select("digest", "batch", "group_size", "keep_id")
-    out = rows.join(whole, ["digest", "batch"])
+    side = F.when(F.col("batch") == 0, F.lit(0)).otherwise(F.lit(1))
+    out = rows.join(classes, (F.col("digest") == F.col("_digest")) & (side == F.col("side")))
     copies = out.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
     first = (F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return copies.select("doc_id", "keep_id", "group_size", first.alias("kept"), "digest")

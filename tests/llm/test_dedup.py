@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from rivulant.llm.common import restrict, text_hash
 from rivulant.llm.components import components
-from rivulant.llm.exact_dedup import build_filter, digest_of, exact_dedup, probe_filter
+import rivulant.llm.exact_dedup as module
+from rivulant.llm.exact_dedup import build_filter, digest_of, exact_dedup, load_snapshot, meet, probe_filter, save_snapshot
 from rivulant.llm.line_dedup import line_dedup
 from rivulant.llm.simhash import representatives, simhash, simhash_groups
 from rivulant.llm.substring_dedup import substring_dedup
@@ -62,6 +63,43 @@ def test_exact_empty_and_one_batch(spark):
         assert sorted((r.doc_id, r.kept) for r in rows) == [(1, False), (2, True)]
 
 
+def test_the_filter_decides_who_meets_the_snapshot(spark, monkeypatch):
+    """Without positives no new text finds its stored copy; with all as positives the answer is the same as with the filter."""
+    pairs = [(i, f"text {i % 20}") for i in range(80)] + [(200 + i, f"own {i}") for i in range(300)]
+    df, late = table(spark, pairs), F.when(F.col("doc_id") % 80 < 20, 0).otherwise(1)
+    sizes = lambda: {r.doc_id: r.group_size for r in exact_dedup(df, batch=late).collect()}
+    right = sizes()
+    assert right[0] == right[79] == 4 and right[200] == 1
+    real, reached = module.screen, []
+
+    def counted(entries, filters):
+        out = real(entries, filters)
+        reached.append((entries.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(module, "screen", counted)
+    assert sizes() == right
+    arrived, passed = reached[0]
+    assert passed < arrived / 2  # own texts of the new batch never reach the bucket join
+    monkeypatch.setattr(module, "screen", lambda entries, filters: entries.select("bucket", "digest"))
+    assert sizes() == right
+    monkeypatch.setattr(module, "screen", lambda entries, filters: entries.select("bucket", "digest").filter("false"))
+    apart = sizes()
+    assert apart[0] == 1 and apart[79] == 3 and apart[200] == 1
+
+
+def test_a_snapshot_serves_later_batches(spark, tmp_path):
+    docs = table(spark, [(1, "a"), (2, "A"), (3, "b"), (10, "a"), (11, "c"), (12, "C"), (13, "B")])
+    rows = docs.select("doc_id", digest_of(F.col("text")).alias("digest"))
+    groups = lambda some: rows.filter(some).groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+    save_snapshot(groups("doc_id < 10"), f"{tmp_path}/s", bucket_keys=1)
+    snapshot = load_snapshot(spark, f"{tmp_path}/s")
+    assert snapshot.buckets == 2 and snapshot.filters.count() <= 2
+    for some, want in (("doc_id = 10", {(2, 2, 10, 1)}), ("doc_id > 10", {(3, 1, 13, 1)}), ("doc_id = 11", set())):
+        found = meet(groups(some), snapshot, docs).collect()
+        assert {(r.old_id, r.old_n, r.new_id, r.new_n) for r in found} == want
+
+
 def test_restrict_keeps_one_of_equal_rows(spark):
     df = table(spark, ODD)
     kept = exact_dedup(df).filter("kept").select("doc_id", "digest")
