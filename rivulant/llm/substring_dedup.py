@@ -2,13 +2,15 @@
 
 1. Every window of `window` words has an anchor: of the short phrases in it the one
    with the least hash, the leftmost of equals.  Equal windows have equal anchors.
-   Anchors chosen at two places or more are the confirmed recurring phrases.
-2. Documents are dealt to shards of a few MB.  A shard gets the recurring phrases its
-   documents may hold, compiles them (spelled in word numbers, so matching is exact) into
-   an Aho-Corasick automaton and streams its documents through it.
-3. Windows whose anchor was located are the candidates.  Those with one anchor form a
-   span; spans of equal text are settled by one count, and only the windows of spans
-   that occur once are counted one by one.
+   Phrases that are anchors at two places or more are confirmed, with their text.
+2. Documents are dealt to shards of a few MB.  A shard gets the confirmed phrases that
+   are anchors in it, compiles them (spelled in word numbers, so matching is exact) into
+   an Aho-Corasick automaton and streams its documents through it.  The matches alone say
+   where phrases are: no text is hashed again and no position comes from step 1.
+3. Of the phrases matched inside a window the least is its anchor; a window without a
+   match cannot recur.  Neighbouring windows with one anchor form a span; spans of equal
+   text are settled by one count, and only the windows of spans that occur once are
+   counted one by one.
 4. Recurring window starts go back to the shards, which cut the words they cover.
 """
 
@@ -28,6 +30,7 @@ from rivulant.llm.common import map_texts, text_hash, word_blocks, written
 
 PHRASE = 8
 SHARD_BYTES = 4 << 20
+NO_PHRASE = np.uint64(2**64 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,21 +61,28 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def anchors(hashes: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, phrase hash, first window, windows) of each anchor, in order, from the words' hashes."""
-    reach = window - phrase + 1
-    count = len(hashes) - window + 1
-    if count <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none
+def phrase_values(hashes: np.ndarray, phrase: int) -> np.ndarray:
+    """The hash of the phrase that starts at each word, from the words' hashes."""
     size = len(hashes) - phrase + 1
+    if size <= 0:
+        return np.zeros(0, np.uint64)
     value = np.zeros(size, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(phrase):
             value = value * _MULTIPLIER + hashes[i : i + size]
         value ^= value >> np.uint64(31)
         value *= _MULTIPLIER
-    best, place, wide = value, np.arange(size), 1
+    return value
+
+
+def anchors(value: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, first window, windows) of each anchor, in order, from the values of the phrases."""
+    reach = window - phrase + 1
+    count = len(value) - reach + 1
+    if count <= 0:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    best, place, wide = value, np.arange(len(value)), 1
     while wide < reach:  # least of `wide` neighbours, leftmost of equals, doubling
         step = min(wide, reach - wide)
         less = best[step:] < best[:-step]
@@ -80,18 +90,26 @@ def anchors(hashes: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, n
         best = np.where(less, best[step:], best[:-step])
         wide += step
     first = np.append(0, np.flatnonzero(np.diff(place)) + 1)
-    return place[first], value[place[first]], first, np.diff(np.append(first, count))
+    return place[first], first, np.diff(np.append(first, count))
 
 
 def _anchor_lists(texts: list[bytes], window: int, phrase: int) -> list[pa.Array]:
-    found = []
-    for text in texts:
-        blocks = [word_hashes(block) for block in word_blocks(text)]
-        hashes = np.concatenate(blocks) if blocks else np.zeros(0, np.uint64)
-        found.append(anchors(hashes, window, phrase)[1].view(np.int64))
-    sizes = np.append(0, np.cumsum([len(f) for f in found])).astype(np.int32)
-    flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return [pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))]
+    """The anchors of each text: hash and words."""
+    numbers: dict[bytes, int] = {}
+    held = [Words(t, numbers) for t in texts]
+    by_number = word_hashes(list(numbers))
+    hashes, words, sizes = [], [], [0]
+    for t in held:
+        value = phrase_values(by_number[t.ids], phrase)
+        places = anchors(value, window, phrase)[0]
+        hashes.append(value[places])
+        joined = t.joined
+        lo, hi = t.starts[places].tolist(), t.ends[places + (phrase - 1)].tolist()
+        words += [joined[a:b] for a, b in zip(lo, hi)]
+        sizes.append(sizes[-1] + len(places))
+    flat = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
+    rows = pa.StructArray.from_arrays([pa.array(flat), pa.array(words, pa.binary())], names=["anchor", "words"])
+    return [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)]
 
 
 def _packed(texts: list[bytes]) -> list[pa.Array]:
@@ -104,53 +122,65 @@ def _unpacked(column: pa.ChunkedArray) -> Iterator[bytes]:
     return (unpack.decompress(p) for p in column.to_pylist())
 
 
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are in a sorted array."""
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
 def _spell(ids: np.ndarray, digits: int) -> str:
     """Word numbers as strings over 64 signs, `digits` for each: automaton nodes have few branches."""
     places = np.stack([(ids >> (6 * i)) & 63 for i in range(digits)], axis=1)
     return (places + 48).astype(np.uint8).tobytes().decode("ascii")
 
 
-def locate(docs: pa.Table, phrases: np.ndarray, window: int, phrase: int) -> pa.Table:
-    """The candidate spans of one shard: a row for each anchor that the automaton located."""
+def compile_phrases(phrases: list[bytes], numbers: dict[bytes, int], digits: int) -> ahocorasick.Automaton:
+    """The automaton of the phrases, each spelled in word numbers and yielding its place in the list.
+
+    A phrase with a word that no document of the shard has cannot occur and is left out.
+    """
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, words in enumerate(phrases):
+        ids = [numbers.get(w, -1) for w in words.split(b" ")]
+        if min(ids) >= 0:
+            automaton.add_word(_spell(np.array(ids), digits), i)
+    if len(automaton):
+        automaton.make_automaton()
+    return automaton
+
+
+def occurrences(automaton: ahocorasick.Automaton, text: str, digits: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word position, phrase) of every match in a spelled text."""
+    if not len(automaton):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = np.fromiter((x for match in automaton.iter(text) for x in match), np.int64).reshape(-1, 2)
+    after = found[:, 0] + 1
+    whole = after % digits == 0  # else it straddles the spellings of two words
+    return after[whole] // digits - phrase, found[whole, 1]
+
+
+def locate(docs: pa.Table, phrases: pa.Table, window: int, phrase: int) -> pa.Table:
+    """The candidate spans of one shard: a row for each anchor among the phrases that the automaton matched."""
     numbers: dict[bytes, int] = {}
     texts = [Words(t, numbers) for t in _unpacked(docs["packed"])]
-    by_number = word_hashes(list(numbers))
-    found = [anchors(by_number[t.ids], window, phrase) for t in texts]
-    recurring = np.unique(phrases)
-    known = [_among(values, recurring) for _, values, _, _ in found]
     digits = 1
     while 64**digits < max(2, len(numbers)):
         digits += 1
-    spelled = [_spell(t.ids, digits) for t in texts]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for text, (places, _, _, _), recurs in zip(spelled, found, known):
-        for place in places[recurs].tolist():
-            automaton.add_word(text[place * digits : (place + phrase) * digits])
+    automaton = compile_phrases(phrases["words"].to_pylist(), numbers, digits)
+    rank = np.asarray(phrases["anchor"], np.int64).view(np.uint64)
     out = {name: [] for name in ("row", "d1", "d2", "anchor", "start", "n")}
-    starts, sizes, seen = [], [], set()
+    sizes, seen = [], set()
     windows: list[int] = []
-    if len(automaton):
-        automaton.make_automaton()
-    for row, (t, text, (places, values, first, count)) in enumerate(zip(texts, spelled, found)):
-        if not len(automaton) or not len(places):
+    for row, t in enumerate(texts):
+        if len(t.ids) < window:
+            continue
+        at, which = occurrences(automaton, _spell(t.ids, digits), digits, phrase)
+        if not len(at):
             continue
-        located = np.zeros(len(t.ids), bool)
-        after = np.fromiter((end + 1 for end, _ in automaton.iter(text)), np.int64)
-        located[after[after % digits == 0] // digits - phrase] = True
-        for i in np.flatnonzero(located[places]).tolist():
+        value = np.full(len(t.ids) - phrase + 1, NO_PHRASE)
+        value[at] = np.minimum(rank[which], NO_PHRASE - np.uint64(1))
+        places, first, count = anchors(value, window, phrase)
+        for i in np.flatnonzero(value[places] != NO_PHRASE).tolist():
             lo, n = int(first[i]), int(count[i])
             digest = xxhash.xxh3_128_digest(t.text(lo, lo + n + window - 1))
             out["row"].append(row)
             out["d1"].append(int.from_bytes(digest[:8], "big", signed=True))
             out["d2"].append(int.from_bytes(digest[8:], "big", signed=True))
-            out["anchor"].append(values[i])
+            out["anchor"].append(value[places[i]])
             out["start"].append(lo)
             out["n"].append(n)
             if digest in seen:  # the windows of equal spans are equal; one list a shard is enough
@@ -210,8 +240,8 @@ def substring_dedup(
     judged on the input.  Words are taken unchanged; a null text has none.  Repeated
     rows are documents of their own, so their windows recur.  Other columns are not read.
 
-    Shuffled are the anchors' 64-bit hashes (about two in thirty words), the texts
-    twice in packed form, and rows for candidates only.  Copies and hot passages are
+    Shuffled are the anchors (about two phrases in thirty words) with their words, the
+    texts twice in packed form, and rows for candidates only.  Copies and hot passages are
     counted with partial aggregation and never meet in one task.
     """
     source = docs.select(
@@ -224,14 +254,19 @@ def substring_dedup(
     keys = ["doc_id", "text_hash", "shard"]
     packed = map_texts(source, keys, "text", _packed, "packed binary")
 
-    lists = map_texts(source, ["shard"], "text", lambda t: _anchor_lists(t, window, phrase), "anchors array<long>")
-    chosen = written(lists.select("shard", F.explode("anchors").alias("anchor")), "anchors")
-    recurring = written(chosen.groupBy("anchor").count().filter("count > 1").select("anchor"), "recurring")
+    lists = map_texts(
+        source, ["shard"], "text", lambda t: _anchor_lists(t, window, phrase), "anchors array<struct<anchor:bigint,words:binary>>"
+    )
+    chosen = written(lists.select("shard", F.inline("anchors")), "anchors")
+    # equal hashes of different phrases are told apart by their words
+    confirmed = chosen.groupBy("anchor", "words").count().filter("count > 1").select("anchor", "words")
+    confirmed = written(confirmed, "confirmed")
     # distinct first: a phrase of a third of all documents is then one row per shard
-    phrases = chosen.distinct().join(recurring, "anchor", "left_semi").select("shard", "anchor")
+    mine = chosen.select("shard", "anchor").distinct()
+    phrases = mine.join(confirmed, "anchor").select("shard", "anchor", "words")
 
     def find(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        return locate(mine, np.asarray(theirs["anchor"], np.int64).view(np.uint64), window, phrase)
+        return locate(mine, theirs, window, phrase)
 
     kind = dict(source.dtypes)["doc_id"]
     schema = f"doc_id {kind}, text_hash long, shard int, anchor long, d1 long, d2 long, start int, n int, windows array<long>"

@@ -1,6 +1,7 @@
 """The dedup operators against plain Python over small tables with odd rows."""
 
 import hashlib
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,6 +15,7 @@ import rivulant.llm.exact_dedup as module
 from rivulant.llm.exact_dedup import build_filter, digest_of, exact_dedup, load_snapshot, meet, probe_filter, save_snapshot
 from rivulant.llm.line_dedup import line_dedup
 from rivulant.llm.simhash import representatives, simhash, simhash_groups
+import rivulant.llm.substring_dedup as substring
 from rivulant.llm.substring_dedup import substring_dedup
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -150,6 +152,41 @@ def test_substrings(spark, shard_bytes):
     assert Counter((r.doc_id, r.text, r.n_words, r.n_removed) for r in got) == Counter(windows_of(pairs, 35))
 
 
+def test_positions_come_from_the_automaton(spark, monkeypatch):
+    """Documents in which the automaton finds nothing keep all their words; with half the phrases some are found."""
+    from pyspark import cloudpickle
+
+    rng = np.random.default_rng(12)
+    shared = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(6)]
+    df = table(spark, [(i, f"own{i} {shared[i % 6]} end{i}") for i in range(12)])
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    real = substring.locate
+    removed = lambda: substring_dedup(df).agg(F.sum("n_removed")).first()[0]
+    assert removed() == 12 * 40
+    monkeypatch.setattr(substring, "locate", lambda docs, phrases, w, p: real(docs, phrases.slice(0, 0), w, p))
+    assert removed() == 0
+    monkeypatch.setattr(substring, "locate", lambda docs, phrases, w, p: real(docs, phrases.filter([x % 3 > 0 for x in phrases["anchor"].to_pylist()]), w, p))
+    assert 0 < removed() <= 12 * 40
+    cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
+
+
+def test_automaton_matches_whole_words():
+    numbers = {w: i for i, w in enumerate([b"a", b"b", b"c", *(b"x%d" % i for i in range(200))])}
+    automaton = substring.compile_phrases([b"a b", b"b c", b"nowhere a", b"x70 x3"], numbers, 2)
+    ids = np.array([numbers[w] for w in b"a b c x70 x3 x3 a b".split()])
+    at, which = substring.occurrences(automaton, substring._spell(ids, 2), 2, 2)
+    assert list(zip(at.tolist(), which.tolist())) == [(0, 0), (1, 1), (3, 3), (6, 0)]
+
+
+def test_a_very_long_text(spark):
+    rng = np.random.default_rng(13)
+    words = [f"w{x}" for x in rng.integers(0, 10**7, 320_000)]  # over two blocks of a MB
+    words[300_000:300_050] = words[100:150]
+    pairs = [(1, " ".join(words)), (2, " ".join(words[200_000:200_060])), (3, None)]
+    got = substring_dedup(table(spark, pairs)).collect()
+    assert Counter((r.doc_id, r.text, r.n_words, r.n_removed) for r in got) == Counter(windows_of(pairs, 35))
+
+
 def test_substrings_empty(spark):
     assert substring_dedup(table(spark, [])).count() == 0
 
