@@ -16,7 +16,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -31,18 +33,21 @@ from rivulant.llm.common import map_texts, text_hash, word_blocks, written
 PHRASE = 8
 SHARD_BYTES = 4 << 20
 NO_PHRASE = np.uint64(2**64 - 1)
+#: (seed of the words' hashes, odd multiplier) of the two halves of a span's hash
+SPAN_HASHES = ((1, 0xD6E8FEB86659FD93), (2, 0xA0761D6478BD642F))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words:
-    """A text's words, numbered by a dictionary the texts of a shard share."""
+    """Where a text's words are; `ids` numbers them by a dictionary that the texts of a shard share."""
 
-    def __init__(self, data: bytes, numbers: dict[bytes, int]):
+    def __init__(self, data: bytes, numbers: dict[bytes, int] | None = None):
         ids, starts, ends, parts, at = [], [], [], [], 0
         for block in word_blocks(data):
             if not block:
                 continue
-            ids.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in block), np.int64, len(block)))
+            if numbers is not None:
+                ids.append(np.fromiter(map(numbers.__getitem__, block), np.int64, len(block)))
             size = np.fromiter(map(len, block), np.int64, len(block))
             end = at + np.cumsum(size + 1) - 1
             ends.append(end)
@@ -57,8 +62,27 @@ class Words:
         return self.joined[self.starts[first] : self.ends[after - 1]]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def numbering() -> dict[bytes, int]:
+    """Gives every new word the next number."""
+    return defaultdict(itertools.count().__next__)
+
+
+def word_hashes(words: Iterable[bytes], seed: int = 0) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64)
+
+
+class Sums:
+    """Polynomial hashes of any range of words from prefix sums, all modulo 2 ** 64."""
+
+    def __init__(self, multiplier: int, longest: int):
+        steps = lambda x: np.cumprod(np.append(np.uint64(1), np.full(longest, x, np.uint64)))
+        with np.errstate(over="ignore"):
+            self.up, self.down = steps(multiplier), steps(pow(multiplier, -1, 2**64))
+
+    def ranges(self, hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            before = np.append(np.uint64(0), np.cumsum(hashes * self.up[: len(hashes)]))
+            return ((before[hi] - before[lo]) * self.down[lo]).view(np.int64)
 
 
 def phrase_values(hashes: np.ndarray, phrase: int) -> np.ndarray:
@@ -95,9 +119,9 @@ def anchors(value: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np
 
 def _anchor_lists(texts: list[bytes], window: int, phrase: int) -> list[pa.Array]:
     """The anchors of each text: hash and words."""
-    numbers: dict[bytes, int] = {}
+    numbers = numbering()
     held = [Words(t, numbers) for t in texts]
-    by_number = word_hashes(list(numbers))
+    by_number = word_hashes(numbers)
     hashes, words, sizes = [], [], [0]
     for t in held:
         value = phrase_values(by_number[t.ids], phrase)
@@ -134,10 +158,13 @@ def compile_phrases(phrases: list[bytes], numbers: dict[bytes, int], digits: int
     A phrase with a word that no document of the shard has cannot occur and is left out.
     """
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, words in enumerate(phrases):
-        ids = [numbers.get(w, -1) for w in words.split(b" ")]
-        if min(ids) >= 0:
-            automaton.add_word(_spell(np.array(ids), digits), i)
+    if phrases:
+        words = b" ".join(phrases).split(b" ")
+        ids = np.fromiter(map(numbers.get, words, itertools.repeat(-1)), np.int64, len(words)).reshape(len(phrases), -1)
+        here = np.flatnonzero(ids.min(axis=1) >= 0)
+        spelled, step = _spell(ids[here].ravel(), digits), ids.shape[1] * digits
+        for at, i in enumerate(here.tolist()):
+            automaton.add_word(spelled[at * step : (at + 1) * step], i)
     if len(automaton):
         automaton.make_automaton()
     return automaton
@@ -154,17 +181,22 @@ def occurrences(automaton: ahocorasick.Automaton, text: str, digits: int, phrase
 
 
 def locate(docs: pa.Table, phrases: pa.Table, window: int, phrase: int) -> pa.Table:
-    """The candidate spans of one shard: a row for each anchor among the phrases that the automaton matched."""
-    numbers: dict[bytes, int] = {}
+    """The candidate spans of one shard: a row for each anchor among the phrases that the automaton matched.
+
+    d1 and d2 tell spans apart by their words.  Of the spans of a shard that are equal the first one lists its windows.
+    """
+    numbers = numbering()
     texts = [Words(t, numbers) for t in _unpacked(docs["packed"])]
     digits = 1
     while 64**digits < max(2, len(numbers)):
         digits += 1
     automaton = compile_phrases(phrases["words"].to_pylist(), numbers, digits)
     rank = np.asarray(phrases["anchor"], np.int64).view(np.uint64)
-    out = {name: [] for name in ("row", "d1", "d2", "anchor", "start", "n")}
-    sizes, seen = [], set()
-    windows: list[int] = []
+    longest = max((len(t.ids) for t in texts), default=0)
+    tables = [(word_hashes(numbers, seed), Sums(multiplier, longest)) for seed, multiplier in SPAN_HASHES]
+    none = np.zeros(0, np.int64)
+    out = {name: [none] for name in ("row", "d1", "d2", "anchor", "start", "n")}
+    all_windows = [none]
     for row, t in enumerate(texts):
         if len(t.ids) < window:
             continue
@@ -174,30 +206,31 @@ def locate(docs: pa.Table, phrases: pa.Table, window: int, phrase: int) -> pa.Ta
         value = np.full(len(t.ids) - phrase + 1, NO_PHRASE)
         value[at] = np.minimum(rank[which], NO_PHRASE - np.uint64(1))
         places, first, count = anchors(value, window, phrase)
-        for i in np.flatnonzero(value[places] != NO_PHRASE).tolist():
-            lo, n = int(first[i]), int(count[i])
-            digest = xxhash.xxh3_128_digest(t.text(lo, lo + n + window - 1))
-            out["row"].append(row)
-            out["d1"].append(int.from_bytes(digest[:8], "big", signed=True))
-            out["d2"].append(int.from_bytes(digest[8:], "big", signed=True))
-            out["anchor"].append(value[places[i]])
-            out["start"].append(lo)
-            out["n"].append(n)
-            if digest in seen:  # the windows of equal spans are equal; one list a shard is enough
-                sizes.append(0)
-                continue
-            seen.add(digest)
-            sizes.append(n)
-            windows += [xxhash.xxh3_64_intdigest(t.text(w, w + window)) for w in range(lo, lo + n)]
-    rows = pa.array(out["row"], pa.int64())
-    lists = pa.ListArray.from_arrays(
-        pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.array(windows, np.uint64).view(np.int64))
-    )
+        held = value[places] != NO_PHRASE
+        lo, n = first[held], count[held]
+        for name, (hashes, sums) in zip(("d1", "d2"), tables):
+            out[name].append(sums.ranges(hashes[t.ids], lo, lo + n + window - 1))
+        out["row"].append(np.full(len(lo), row))
+        out["anchor"].append(value[places[held]].view(np.int64))
+        out["start"].append(lo)
+        out["n"].append(n)
+        starts = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        all_windows.append(tables[0][1].ranges(tables[0][0][t.ids], starts, starts + window))
+    row, d1, d2, anchor, start, n = (np.concatenate(out[name]) for name in ("row", "d1", "d2", "anchor", "start", "n"))
+    windows = np.concatenate(all_windows)
+    # the windows of equal spans are equal; one list a shard is enough
+    order = np.lexsort((np.arange(len(n)), n, d2, d1))
+    key = np.stack([d1, d2, n])[:, order]
+    lists = np.zeros(len(n), bool)
+    lists[order] = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))[: len(n)]
+    windows = windows[np.repeat(lists, n)]
+    rows = pa.array(row, pa.int64())
+    sizes = np.append(0, np.cumsum(np.where(lists, n, 0))).astype(np.int32)
     return pa.table({
         "doc_id": docs["doc_id"].take(rows), "text_hash": docs["text_hash"].take(rows), "shard": docs["shard"].take(rows),
-        "anchor": pa.array(np.array(out["anchor"], np.uint64).view(np.int64)),
-        "d1": pa.array(out["d1"], pa.int64()), "d2": pa.array(out["d2"], pa.int64()),
-        "start": pa.array(out["start"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "windows": lists,
+        "anchor": pa.array(anchor), "d1": pa.array(d1), "d2": pa.array(d2),
+        "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32()),
+        "windows": pa.ListArray.from_arrays(pa.array(sizes), pa.array(windows)),
     })
 
 
@@ -206,11 +239,11 @@ def cut(docs: pa.Table, ranges: pa.Table, window: int) -> pa.Table:
     by_row: dict[tuple, list[tuple[int, int]]] = {}
     for doc, text_hash, start, n in zip(*(ranges[c].to_pylist() for c in ("doc_id", "text_hash", "start", "n"))):
         by_row.setdefault((doc, text_hash), []).append((start, n))
-    kept, n_words, n_removed, numbers = [], [], [], {}
+    kept, n_words, n_removed = [], [], []
     keys = zip(docs["doc_id"].to_pylist(), docs["text_hash"].to_pylist())
     for key, data in zip(keys, _unpacked(docs["packed"])):
-        t = Words(data, numbers)
-        edges = np.zeros(len(t.ids) + 1, np.int64)
+        t = Words(data)
+        edges = np.zeros(len(t.starts) + 1, np.int64)
         for start, n in by_row.get(key, ()):
             edges[start] += 1
             edges[start + n + window - 1] -= 1
