@@ -16,9 +16,7 @@
 
 from __future__ import annotations
 
-import itertools
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -33,21 +31,21 @@ from rivulant.llm.common import map_texts, text_hash, word_blocks, written
 PHRASE = 8
 SHARD_BYTES = 4 << 20
 NO_PHRASE = np.uint64(2**64 - 1)
-#: (seed of the words' hashes, odd multiplier) of the two halves of a span's hash
-SPAN_HASHES = ((1, 0xD6E8FEB86659FD93), (2, 0xA0761D6478BD642F))
+#: odd multipliers of the two halves of a span's hash
+SPAN_MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words:
-    """Where a text's words are; `ids` numbers them by a dictionary that the texts of a shard share."""
+    """Where a text's words are and, if asked for, their 64-bit hashes."""
 
-    def __init__(self, data: bytes, numbers: dict[bytes, int] | None = None):
-        ids, starts, ends, parts, at = [], [], [], [], 0
+    def __init__(self, data: bytes, hashed: bool = True):
+        hashes, starts, ends, parts, at = [], [], [], [], 0
         for block in word_blocks(data):
             if not block:
                 continue
-            if numbers is not None:
-                ids.append(np.fromiter(map(numbers.__getitem__, block), np.int64, len(block)))
+            if hashed:
+                hashes.append(word_hashes(block))
             size = np.fromiter(map(len, block), np.int64, len(block))
             end = at + np.cumsum(size + 1) - 1
             ends.append(end)
@@ -55,20 +53,23 @@ class Words:
             parts.append(b" ".join(block))
             at = int(end[-1]) + 1
         empty = np.zeros(0, np.int64)
-        self.ids, self.starts, self.ends = (np.concatenate(x) if x else empty for x in (ids, starts, ends))
+        self.starts, self.ends = (np.concatenate(x) if x else empty for x in (starts, ends))
+        self.hashes = np.concatenate(hashes) if hashes else empty.astype(np.uint64)
         self.joined = b" ".join(parts)
 
     def text(self, first: int, after: int) -> bytes:
         return self.joined[self.starts[first] : self.ends[after - 1]]
 
 
-def numbering() -> dict[bytes, int]:
-    """Gives every new word the next number."""
-    return defaultdict(itertools.count().__next__)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def word_hashes(words: Iterable[bytes], seed: int = 0) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64)
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same words, for the second half of a span's hash."""
+    with np.errstate(over="ignore"):
+        value = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        return value ^ (value >> np.uint64(29))
 
 
 class Sums:
@@ -119,12 +120,9 @@ def anchors(value: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np
 
 def _anchor_lists(texts: list[bytes], window: int, phrase: int) -> list[pa.Array]:
     """The anchors of each text: hash and words."""
-    numbers = numbering()
-    held = [Words(t, numbers) for t in texts]
-    by_number = word_hashes(numbers)
     hashes, words, sizes = [], [], [0]
-    for t in held:
-        value = phrase_values(by_number[t.ids], phrase)
+    for t in map(Words, texts):
+        value = phrase_values(t.hashes, phrase)
         places = anchors(value, window, phrase)[0]
         hashes.append(value[places])
         joined = t.joined
@@ -152,16 +150,19 @@ def _spell(ids: np.ndarray, digits: int) -> str:
     return (places + 48).astype(np.uint8).tobytes().decode("ascii")
 
 
-def compile_phrases(phrases: list[bytes], numbers: dict[bytes, int], digits: int) -> ahocorasick.Automaton:
+def compile_phrases(phrases: list[bytes], known: np.ndarray, digits: int) -> ahocorasick.Automaton:
     """The automaton of the phrases, each spelled in word numbers and yielding its place in the list.
 
-    A phrase with a word that no document of the shard has cannot occur and is left out.
+    A word's number is its hash's place in the sorted `known`.  A phrase with a word that no
+    document of the shard has cannot occur and is left out.
     """
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    if phrases:
-        words = b" ".join(phrases).split(b" ")
-        ids = np.fromiter(map(numbers.get, words, itertools.repeat(-1)), np.int64, len(words)).reshape(len(phrases), -1)
-        here = np.flatnonzero(ids.min(axis=1) >= 0)
+    if phrases and len(known):
+        hashes = word_hashes(b" ".join(phrases).split(b" "))
+        ids = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        there = (known[ids] == hashes).reshape(len(phrases), -1).all(axis=1)
+        ids = ids.reshape(len(phrases), -1)
+        here = np.flatnonzero(there)
         spelled, step = _spell(ids[here].ravel(), digits), ids.shape[1] * digits
         for at, i in enumerate(here.tolist()):
             automaton.add_word(spelled[at * step : (at + 1) * step], i)
@@ -174,7 +175,7 @@ def occurrences(automaton: ahocorasick.Automaton, text: str, digits: int, phrase
     """(word position, phrase) of every match in a spelled text."""
     if not len(automaton):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = np.fromiter((x for match in automaton.iter(text) for x in match), np.int64).reshape(-1, 2)
+    found = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
     after = found[:, 0] + 1
     whole = after % digits == 0  # else it straddles the spellings of two words
     return after[whole] // digits - phrase, found[whole, 1]
@@ -185,37 +186,40 @@ def locate(docs: pa.Table, phrases: pa.Table, window: int, phrase: int) -> pa.Ta
 
     d1 and d2 tell spans apart by their words.  Of the spans of a shard that are equal the first one lists its windows.
     """
-    numbers = numbering()
-    texts = [Words(t, numbers) for t in _unpacked(docs["packed"])]
+    texts = [Words(t) for t in _unpacked(docs["packed"])]
+    every = np.concatenate([t.hashes for t in texts]) if texts else np.zeros(0, np.uint64)
+    known, ids = np.unique(every, return_inverse=True)
+    starts = np.cumsum([0] + [len(t.hashes) for t in texts])
     digits = 1
-    while 64**digits < max(2, len(numbers)):
+    while 64**digits < max(2, len(known)):
         digits += 1
-    automaton = compile_phrases(phrases["words"].to_pylist(), numbers, digits)
+    automaton = compile_phrases(phrases["words"].to_pylist(), known, digits)
     rank = np.asarray(phrases["anchor"], np.int64).view(np.uint64)
-    longest = max((len(t.ids) for t in texts), default=0)
-    tables = [(word_hashes(numbers, seed), Sums(multiplier, longest)) for seed, multiplier in SPAN_HASHES]
+    longest = max((len(t.hashes) for t in texts), default=0)
+    first_half, second_half = (Sums(multiplier, longest) for multiplier in SPAN_MULTIPLIERS)
     none = np.zeros(0, np.int64)
     out = {name: [none] for name in ("row", "d1", "d2", "anchor", "start", "n")}
     all_windows = [none]
     for row, t in enumerate(texts):
-        if len(t.ids) < window:
+        if len(t.hashes) < window:
             continue
-        at, which = occurrences(automaton, _spell(t.ids, digits), digits, phrase)
+        at, which = occurrences(automaton, _spell(ids[starts[row] : starts[row + 1]], digits), digits, phrase)
         if not len(at):
             continue
-        value = np.full(len(t.ids) - phrase + 1, NO_PHRASE)
+        value = np.full(len(t.hashes) - phrase + 1, NO_PHRASE)
         value[at] = np.minimum(rank[which], NO_PHRASE - np.uint64(1))
         places, first, count = anchors(value, window, phrase)
         held = value[places] != NO_PHRASE
         lo, n = first[held], count[held]
-        for name, (hashes, sums) in zip(("d1", "d2"), tables):
-            out[name].append(sums.ranges(hashes[t.ids], lo, lo + n + window - 1))
+        after = lo + n + window - 1
+        out["d1"].append(first_half.ranges(t.hashes, lo, after))
+        out["d2"].append(second_half.ranges(mixed(t.hashes), lo, after))
         out["row"].append(np.full(len(lo), row))
         out["anchor"].append(value[places[held]].view(np.int64))
         out["start"].append(lo)
         out["n"].append(n)
-        starts = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        all_windows.append(tables[0][1].ranges(tables[0][0][t.ids], starts, starts + window))
+        begin = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        all_windows.append(first_half.ranges(t.hashes, begin, begin + window))
     row, d1, d2, anchor, start, n = (np.concatenate(out[name]) for name in ("row", "d1", "d2", "anchor", "start", "n"))
     windows = np.concatenate(all_windows)
     # the windows of equal spans are equal; one list a shard is enough
@@ -242,7 +246,7 @@ def cut(docs: pa.Table, ranges: pa.Table, window: int) -> pa.Table:
     kept, n_words, n_removed = [], [], []
     keys = zip(docs["doc_id"].to_pylist(), docs["text_hash"].to_pylist())
     for key, data in zip(keys, _unpacked(docs["packed"])):
-        t = Words(data)
+        t = Words(data, hashed=False)
         edges = np.zeros(len(t.starts) + 1, np.int64)
         for start, n in by_row.get(key, ()):
             edges[start] += 1
