@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rivulant.functions.text import normalize_error, normalize_unknown, short_digest, strip
 from rivulant.operators.similarity import best_match
-from rivulant.plans.joins import bucket_range_join, lookup_join
+from rivulant.plans.joins import interval_join, lookup_join
 from rivulant.plans.scratch import settle
 from rivulant.plans.scan import CHUNK, running, segmented_sums, with_halo
 from rivulant.rules import diagnostics as shapes
@@ -152,36 +152,25 @@ def tool_warnings(log: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def locate(
-    diags: DataFrame,
-    regions: DataFrame,
-    on: Sequence[str],
-    point: Sequence[str],
-    lines_per_bucket: int = 1024,
-) -> DataFrame:
+def locate(diags: DataFrame, regions: DataFrame, on: Sequence[str], point: Sequence[str]) -> DataFrame:
     """Origin of each diagnostic and the first region that holds its line.
 
     `point` names the columns that identify a diagnostic.  Regions have
     (on, start, end, name) and may overlap; the one that starts first wins.
     """
-    on = list(on)
+    on, point = list(on), list(point)
     renamed = regions.select(*on, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("name").alias("_n"))
-    pairs = bucket_range_join(diags, renamed, on, "line", "_s", "_e", lines_per_bucket)
-    carried = [c for c in diags.columns if c not in on and c not in point]
-    first = F.min(F.when(F.col("_s").isNotNull(), F.struct("_s", "_e", "_n"))).alias("_region")
-    # Grouping columns include the join keys, so no further shuffle is needed.
-    grouped = pairs.groupBy(*on, "_bucket", *point).agg(
-        first, *[F.first(c).alias(c) for c in carried]
-    )
+    lines = diags.select(*on, *point, F.coalesce("line", F.lit(0)).alias("line"))
+    pairs = interval_join(lines, renamed, on, "line", "_s", "_e", "inner")
+    first = pairs.groupBy(*on, *point).agg(F.min(F.struct("_s", "_e", "_n")).alias("_region"))
+    placed = diags.join(first, [*on, *point], "left")
     origin = (
         F.when(F.col("raw").rlike(shapes.MISSING_MAIN), F.lit("link"))
         .when(F.coalesce("line", F.lit(0)) <= 0, F.lit("unknown"))
         .when(F.col("_region").isNotNull(), F.lit("ported_code"))
         .otherwise(F.lit("harness"))
     )
-    return grouped.select(
-        *diags.columns, F.col("_region._n").alias("region"), origin.alias("origin")
-    )
+    return placed.select(*diags.columns, F.col("_region._n").alias("region"), origin.alias("origin"))
 
 
 def origin_flags(diags: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -217,50 +206,58 @@ def resolve(
 ) -> DataFrame:
     """The first repair that fits each diagnostic, in fixed priority.
 
-    defs_* have (key, kind, name).  Rows without a deterministic repair have a
-    null strategy.  A near name is a hypothesis and is never applied.
+    defs_* have (key, kind, name) and may have `text`.  Rows without a deterministic repair have
+    a null strategy.  A near name is a hypothesis and is never applied; it is looked for only
+    where nothing else fits, among the definitions of those keys.  `inserted_text` is what the
+    repair puts in: an include line, the new name or the definition.
     """
-    ranked = F.min_by("kind", F.array_position(F.array(*[F.lit(k) for k in RESTORE_ORDER]), F.col("kind")))
-    old = defs_old.groupBy(key, F.col("name").alias("symbol")).agg(ranked.alias("old_kind"))
+    text = F.col("text") if "text" in defs_old.columns else F.lit(None).cast("string")
+    ranked = F.array_position(F.array(*[F.lit(k) for k in RESTORE_ORDER]), F.col("kind"))
+    old = defs_old.groupBy(key, F.col("name").alias("symbol")).agg(
+        F.min_by(F.struct(F.col("kind").alias("old_kind"), text.alias("old_text")), ranked).alias("_o")
+    ).select(key, "symbol", "_o.*")
     new = defs_new.select(key, "name").distinct()
-    near = best_match(
-        diags.select(key, F.col("symbol").alias("name")).distinct(),
-        defs_old.select(key, "name").distinct(),
-        [key],
-        near_threshold,
-    ).select(key, F.col("name").alias("symbol"), F.col("match").alias("near"))
     # One row per (key, symbol) with all that is known of it, so diagnostics are joined once.
-    known = (
-        old.join(new.select(key, F.col("name").alias("symbol"), F.lit(True).alias("in_new")), [key, "symbol"], "full")
-        .join(near, [key, "symbol"], "full")
-    )
+    known = old.join(new.select(key, F.col("name").alias("symbol"), F.lit(True).alias("in_new")), [key, "symbol"], "full")
     hints = new.select(key, F.col("name").alias("suggestion"), F.lit(True).alias("hint_in_new"))
-    full = lookup_join(lookup_join(diags, known, [key, "symbol"]), hints, [key, "suggestion"])
+    full = settle(lookup_join(lookup_join(diags, known, [key, "symbol"]), hints, [key, "suggestion"]))
 
     header = _lookup_map(header_map, F.element_at(F.split("symbol", "/"), -1))
     standard = _lookup_map(standard_headers, F.col("symbol"))
+    is_header = F.col("kind") == "missing-include"
+    open_symbol = ~is_header & (F.col("symbol") != "") & F.col("in_new").isNull()
+    left = open_symbol & F.col("hint_in_new").isNull() & F.col("old_kind").isNull() & standard.isNull()
+    missing = settle(full.filter(left).select(key, F.col("symbol").alias("name")).distinct())
+    near = best_match(
+        missing,
+        defs_old.select(key, "name").distinct().join(missing.select(key).distinct(), key, "left_semi"),
+        [key],
+        near_threshold,
+    ).select(key, F.col("name").alias("symbol"), F.col("match").alias("near"))
+    full = lookup_join(full, near, [key, "symbol"])
+
     restore = F.coalesce(_lookup_map(shapes.RESTORE_STRATEGY, F.col("old_kind")), F.lit("restore-declaration"))
     removed = F.when(
         F.col("old_kind").isin("kernel", "helper", "function"), F.lit("removed-during-extraction")
     ).otherwise(F.lit("omitted"))
 
-    def step(strategy: Column, cause: str | Column, target: Column, applied: bool = True) -> Column:
+    def step(strategy: Column, cause: str | Column, target: Column, inserted: Column, applied: bool = True) -> Column:
         return F.struct(
             strategy.alias("strategy"),
             (F.lit(cause) if isinstance(cause, str) else cause).alias("root_cause"),
             target.alias("target"),
+            inserted.alias("inserted_text"),
             F.lit(applied).alias("applicable"),
         )
 
     include, rename = F.lit("insert-include"), F.lit("apply-compiler-rename")
-    is_header = F.col("kind") == "missing-include"
-    open_symbol = ~is_header & (F.col("symbol") != "") & F.col("in_new").isNull()
+    line = lambda name: F.concat(F.lit("#include "), name)
     choice = (
-        F.when(is_header & header.isNotNull(), step(include, "hip-replacement-mistake", header))
-        .when(open_symbol & F.col("hint_in_new"), step(rename, "renamed", F.col("suggestion")))
-        .when(open_symbol & F.col("old_kind").isNotNull(), step(restore, removed, F.col("symbol")))
-        .when(open_symbol & standard.isNotNull(), step(include, "omitted", standard))
-        .when(open_symbol & F.col("near").isNotNull(), step(rename, "renamed", F.col("near"), False))
+        F.when(is_header & header.isNotNull(), step(include, "hip-replacement-mistake", header, line(header)))
+        .when(open_symbol & F.col("hint_in_new"), step(rename, "renamed", F.col("suggestion"), F.col("suggestion")))
+        .when(open_symbol & F.col("old_kind").isNotNull(), step(restore, removed, F.col("symbol"), F.col("old_text")))
+        .when(open_symbol & standard.isNotNull(), step(include, "omitted", standard, line(standard)))
+        .when(left & F.col("near").isNotNull(), step(rename, "renamed", F.col("near"), F.lit(""), False))
     )
     out = full.withColumn("_r", choice).select(*diags.columns, "_r.*")
     tier = _lookup_map(shapes.STRATEGY_CONFIDENCE, F.col("strategy"))
@@ -270,7 +267,7 @@ def resolve(
     )
 
 
-RESTORE_ORDER = ("macro", "type", "kernel", "helper", "function", "variable")
+RESTORE_ORDER = ("macro", "type", "kernel", "helper", "function", "variable")  # where a name has several kinds
 
 
 def rank_resolutions(resolved: DataFrame, key: str = "path", lines_per_chunk: int = 4096) -> DataFrame:

@@ -41,8 +41,8 @@ def rewrite_matches(text: Column, pattern: str, fn: Callable[[Column], Column])
     return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), join)).otherwise(text)
 
 
-def _blank(col: Column) -> Column:
-    return F.regexp_replace(col, r"[^\n]", " ")
+def _blank(col: Column, signs: str = r"[^\n]") -> Column:
+    return F.regexp_replace(col, signs, " ")
 
 
 def mask_text(
@@ -51,8 +51,9 @@ def mask_text(
     comment: str = SOURCE_COMMENT,
     literal: str = SOURCE_LITERAL,
     closed: str = CLOSED_LITERAL,
+    blank: str = r"[^\n]",
 ) -> Column:
-    """Comments blanked; literal content blanked, its quotes kept.
+    """Comments blanked; literal content blanked, its quotes kept.  `blank` says which signs of a comment go.
 
     One pass over comments and literals together, so that a comment mark inside
     a literal, or a quote inside a comment, is not taken for the other.
@@ -67,7 +68,7 @@ def mask_text(
             F.when(hit.rlike(closed), F.substr(hit, n, F.lit(1))).otherwise(F.lit("")),
         )
         is_comment = hit.rlike(f"^(?:{comment})")
-        return F.when(is_comment, _blank(hit)).otherwise(hit if keep_literals else blanked)
+        return F.when(is_comment, _blank(hit, blank)).otherwise(hit if keep_literals else blanked)
 
     return rewrite_matches(text, f"{comment}|{literal}", masked)
 

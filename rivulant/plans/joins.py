@@ -67,3 +67,52 @@ def bucket_range_join(
         cond = cond & (left[k] == right[f"_i_{k}"])
     cond = cond & F.col(position).between(F.col(start), F.col(end))
     return left.join(right, cond, how).drop("_i_bucket", *[f"_i_{k}" for k in on])
+
+
+def _cover(start: Column, end: Column, levels: int) -> Column:
+    """array<struct<level, slot>>: the dyadic slots that make up [start, end], two a level at most."""
+
+    def at(k: Column) -> Column:
+        low = -F.call_function("shiftright", -start, k)  # rounded up
+        high = F.call_function("shiftright", end + 1, k) - 1
+        left = F.when((low <= high) & (low % 2 != 0), F.struct(k.alias("level"), low.alias("slot")))
+        right = F.when((low <= high) & (high % 2 == 0), F.struct(k.alias("level"), high.alias("slot")))
+        return F.array(left, right)
+
+    slots = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at))
+    return F.filter(slots, lambda s: s.isNotNull())
+
+
+def interval_join(
+    points: DataFrame,
+    intervals: DataFrame,
+    on: Sequence[str],
+    position: str,
+    start: str,
+    end: str,
+    how: str = "left",
+    levels: int = 48,
+) -> DataFrame:
+    """Join points to the intervals [start, end] that hold them, on equal `on` columns; positions are integers.
+
+    An interval is cut into dyadic slots, two a level at most, so one of a million positions has
+    about forty keys; a point has one slot per level that any interval uses.  Slots of an interval
+    do not overlap, so no pair is found twice, and a group is spread over its slots.  With `left`
+    a point comes once per used level without a match, nulls on the right; group them again.
+    Covers intervals of up to 2 ** `levels` positions.
+    """
+    on = list(on)
+    right = intervals.select(
+        *[F.col(k).alias(f"_i_{k}") for k in on], *[c for c in intervals.columns if c not in on],
+        F.explode(_cover(F.col(start).cast("bigint"), F.col(end).cast("bigint"), levels)).alias("_i_slot"),
+    )
+    used = intervals.select(F.explode(_cover(F.col(start).cast("bigint"), F.col(end).cast("bigint"), levels)).alias("s"))
+    used = sorted(r[0] for r in used.select("s.level").distinct().collect()) or [0]  # `levels` numbers at most
+    slots = F.array(*[
+        F.struct(F.lit(k).alias("level"), F.shiftright(F.col(position).cast("bigint"), k).alias("slot")) for k in used
+    ])
+    left = points.withColumn("_slot", F.explode(slots))
+    cond = (F.col("_slot.level") == F.col("_i_slot.level")) & (F.col("_slot.slot") == F.col("_i_slot.slot"))
+    for k in on:
+        cond = cond & (left[k] == right[f"_i_{k}"])
+    return left.join(right, cond, how).drop("_slot", "_i_slot", *[f"_i_{k}" for k in on])

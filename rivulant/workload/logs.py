@@ -99,15 +99,18 @@ located AS (
   FROM diags d LEFT JOIN pairs p ON p.run = d.run AND p.seq = d.seq)"""
 
 
-def _located(spark, sf):
+def _event_regions(spark, sf):
     k = F.get_json_object("props", "$.k").cast("bigint")
     start = F.col("event_id") % 60 + 1
-    regions = v.table(spark, sf, "events").filter("event_type = 'signup'").select(
+    return v.table(spark, sf, "events").filter("event_type = 'signup'").select(
         F.col("user_id").alias("run"), start.alias("start"), (start + k % 6).alias("end"),
         F.concat(F.lit("r"), F.col("event_id")).alias("name"),
     )
+
+
+def _located(spark, sf):
     points = v.diagnostics(spark, sf).select("run", "seq", "raw", "line")
-    return ops.locate(points, regions, ["run"], ["seq"], lines_per_bucket=16)
+    return ops.locate(points, _event_regions(spark, sf), ["run"], ["seq"])
 
 
 @query("J8_locate", f"WITH {v.DIAGS}, {_REGIONS} SELECT run, seq, raw, line, region, origin FROM located")
@@ -123,6 +126,39 @@ def origin_flags(spark, sf):
     return ops.origin_flags(_located(spark, sf), ["run"])
 
 
+# Runs whose number divides by 3 end at the linker: every error of theirs has no line.
+_LINKED = f"""{v.DIAGS}, {_REGIONS},
+mixed AS (
+  SELECT run, seq, CASE WHEN run % 3 = 0 THEN CASE seq % 2 WHEN 0 THEN 'undefined reference to main' ELSE 'ld.lld: error: undefined symbol: f' || seq END ELSE raw END AS raw,
+    CASE WHEN run % 3 = 0 THEN CASE seq % 2 WHEN 0 THEN 'link' ELSE 'unknown' END ELSE origin END AS origin,
+    CASE WHEN run % 3 <> 0 THEN region END AS region FROM located)"""
+
+
+def _linked(spark, sf):
+    linker = F.when(F.col("seq") % 2 == 0, F.lit("undefined reference to main")).otherwise(
+        F.concat(F.lit("ld.lld: error: undefined symbol: f"), "seq")
+    )
+    ended = F.col("run") % 3 == 0
+    points = v.diagnostics(spark, sf).select(
+        "run", "seq", F.when(ended, linker).otherwise(F.col("raw")).alias("raw"), F.when(ended, F.lit(0)).otherwise(F.col("line")).alias("line")
+    )
+    return ops.locate(points, _event_regions(spark, sf), ["run"], ["seq"])
+
+
+@query("J8_origins", f"WITH {_LINKED} SELECT run, seq, raw, region, origin FROM mixed")
+def origins(spark, sf):
+    return _linked(spark, sf).select("run", "seq", "raw", "region", "origin")
+
+
+@query(
+    "A18_linker_runs",
+    f"""WITH {_LINKED} SELECT run, count(*) FILTER (WHERE origin <> 'unknown') > 0 AND count(*) FILTER (WHERE origin IN ('link', 'ported_code')) = 0 AS all_harness,
+      run % 3 = 0 AS linker_only FROM mixed GROUP BY 1""",
+)
+def linker_runs(spark, sf):
+    return ops.origin_flags(_linked(spark, sf), ["run"])
+
+
 _DEFS = """
 defs AS (SELECT DISTINCT user_id AS run, event_type,
     CASE event_id % 3 WHEN 0 THEN 's' WHEN 1 THEN 't' ELSE 'u' END || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 7) AS name,

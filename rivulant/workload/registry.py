@@ -14,7 +14,7 @@ _ORACLES: dict[str, str] = {}
 
 GROUPS = (
     "findings", "store", "compare", "numeric", "logs", "quality",
-    "symbols", "telemetry", "files", "streams",
+    "symbols", "telemetry", "files", "streams", "units",
 )
 
 

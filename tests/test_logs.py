@@ -78,7 +78,7 @@ def test_origins(spark):
         "run string, seq int, raw string, line int",
     )
     regions = spark.createDataFrame([("r", 1, 9, "outer"), ("r", 4, 6, "inner")], "run string, start int, end int, name string")
-    placed = ops.locate(diags, regions, ["run"], ["seq"], lines_per_bucket=4)
+    placed = ops.locate(diags, regions, ["run"], ["seq"])
     assert {r.seq: (r.origin, r.region) for r in placed.collect()} == {
         1: ("ported_code", "outer"), 2: ("harness", None), 3: ("unknown", None), 4: ("link", None), 5: ("unknown", None),
     }
