@@ -31,65 +31,89 @@ def _codes(folded: Column) -> Column:
     return F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
 
 
-def letters(folded: Column) -> Column:
-    """The letters of a text, each numbered among its repeats, so that sets compare like bags."""
+def _numbered(codes: Column) -> Column:
+    """The elements, each numbered among its repeats, so that sets compare like bags."""
     return let(
-        F.array_sort(_codes(folded)),
-        lambda cs: F.transform(cs, lambda c, i: c * F.lit(1 << 32) + i - F.array_position(cs, c)),
+        F.array_sort(codes), lambda cs: F.transform(cs, lambda c, i: F.struct(c.alias("c"), (i - F.array_position(cs, c)).alias("k")))
     )
 
 
-def _tokens(folded: Column, short_limit: int) -> Column:
-    """Blocking tokens of a folded name: its letter pairs, its letters if short, -1 if empty."""
-
-    def build(cs: Column) -> Column:
-        n = F.size(cs)
-        pairs = F.zip_with(
-            F.slice(cs, F.lit(1), F.greatest(n - 1, F.lit(0))),
-            F.slice(cs, F.lit(2), F.greatest(n - 1, F.lit(0))),
-            lambda x, y: (x + 1) * F.lit(1 << 32) + y,
+def letters(folded: Column) -> Column:
+    """The letters of a text as a bag."""
+    return _numbered(_codes(folded))
+
+
+def letter_pairs(folded: Column) -> Column:
+    """The pairs of neighbouring letters of a text as a bag; told from letters by their size."""
+    return _numbered(
+        let(
+            _codes(folded),
+            lambda cs: F.zip_with(
+                F.slice(cs, F.lit(1), F.greatest(F.size(cs) - 1, F.lit(0))),
+                F.slice(cs, F.lit(2), F.greatest(F.size(cs) - 1, F.lit(0))),
+                lambda x, y: (x + 1) * F.lit(1 << 32) + y,
+            ),
         )
-        singles = F.when(n <= short_limit, cs).otherwise(F.array().cast("array<bigint>"))
-        empty = F.array(F.lit(-1).cast("bigint"))
-        return F.when(n == 0, empty).otherwise(F.array_distinct(F.concat(pairs, singles)))
-
-    return let(_codes(folded), build)
+    )
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], threshold: float) -> DataFrame:
     """(on, name, match, similarity) of all pairs at or above the threshold.
 
-    Exact, without comparing all names of a group.  A ratio r over total length
-    s means r*s/2 matched letters in at most 1 + (1-r)*s runs, so beyond
-    s = 1 / (1.5*r - 1) some run has two letters and both names share a letter
-    pair; shorter names meet on single letters.  Lengths must also agree within
-    r / (2 - r).  Needs a threshold above 2/3; both inputs hold distinct names.
+    Exact, without comparing all names of a group.  A ratio r over total length s means
+    r*s/2 letters in common, in at most 1 + (1-r)*s runs, so at least (1.5*r - 1)*s - 1
+    letter pairs in common; lengths agree within r / (2 - r).  From its own length a name
+    knows the least number of tokens it shares with any match and puts out only as many of its
+    rarest tokens (by their number over all names) as must hit one of these: letter pairs,
+    or letters where a short name may be a partner.  Names alone pass the join on tokens;
+    lengths and the numbers of common letters and pairs are checked before the exact ratio.
+    Needs a threshold above 2/3; both inputs hold distinct names.
     """
     if not threshold > 2 / 3:
         raise ValueError("blocking on shared letter pairs needs a threshold above 2/3")
-    on = list(on)
-    short_limit = int(1 / (1.5 * threshold - 1)) + 1
-    band = threshold / (2 - threshold)
+    on, tiny = list(on), 1e-9
+    band, gain = threshold / (2 - threshold), 1.5 * threshold - 1
+    long_from = (2 - tiny) / (gain * (1 + band))  # from this length on a match shares at least two pairs less one
+    n = F.length("_f")
+
+    def tokens(df: DataFrame) -> DataFrame:
+        base = df.select(*on, "name", fold_name(F.col("name")).alias("_f"))
+        bag = F.concat(
+            F.when(n >= long_from, letter_pairs(F.col("_f"))).otherwise(F.array().cast("array<struct<c:bigint,k:bigint>>")),
+            F.when(band * n < long_from + 1, letters(F.col("_f"))).otherwise(F.array().cast("array<struct<c:bigint,k:bigint>>")),
+            F.when(n == 0, F.array(F.struct(F.lit(-1).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("k")))).otherwise(
+                F.array().cast("array<struct<c:bigint,k:bigint>>")
+            ),
+        )
+        return base.select(*on, "name", n.alias("_n"), F.explode(bag).alias("_tok")).filter("name IS NOT NULL")
+
+    sides = [settle(tokens(left)), settle(tokens(right))]
+    rarity = sides[0].select("_tok").unionAll(sides[1].select("_tok")).groupBy("_tok").agg(F.count("*").alias("_uses"))
+    rarity = settle(rarity)
 
-    def prepared(df: DataFrame, name: str, folded: str) -> DataFrame:
-        base = df.select(*on, F.col("name").alias(name), fold_name(F.col("name")).alias(folded))
-        tokens = _tokens(F.col(folded), short_limit)
-        return base.withColumns({f"{folded}_t": tokens, f"{folded}_l": letters(F.col(folded))}).withColumn(
-            "_tok", F.explode_outer(f"{folded}_t")
-        ).filter("_tok IS NOT NULL")
+    def prefix(side: DataFrame) -> DataFrame:
+        is_pair = F.col("_tok.c") >= F.lit(1 << 32)
+        known = side.join(rarity, "_tok").withColumn("_pairs", is_pair)
+        per_name = known.groupBy(*on, "name", "_n", "_pairs").agg(
+            F.array_sort(F.collect_list(F.struct("_uses", "_tok"))).alias("_by")  # as many as the name has letters
+        )
+        shared = F.when(F.col("_pairs"), F.ceil(gain * (1 + band) * F.col("_n") - 1 - tiny)).otherwise(
+            F.ceil(threshold / (2 - threshold) * F.col("_n") - tiny)
+        )
+        size = F.least(F.size("_by"), (F.size("_by") - F.greatest(shared, F.lit(1)) + 1).cast("int"))
+        return per_name.select(*on, "name", F.explode(F.slice("_by", F.lit(1), F.greatest(size, F.lit(1)))["_tok"]).alias("_tok"))
 
-    a, b = prepared(left, "name", "_fa"), prepared(right, "match", "_fb")
+    a, b = prefix(sides[0]), prefix(sides[1]).withColumnRenamed("name", "match")
+    met = a.join(b, [*on, "_tok"]).select(*on, "name", "match").distinct()
+    met = met.withColumns({"_fa": fold_name(F.col("name")), "_fb": fold_name(F.col("match"))})
     la, lb = F.length("_fa"), F.length("_fb")
-    near_length = F.least(la, lb) >= F.lit(band) * F.greatest(la, lb) - F.lit(1e-9)
-    # A pair is kept at the first of its shared tokens only, so it is seen once.
-    once = F.col("_tok") == F.get(F.array_intersect("_fa_t", "_fb_t"), F.lit(0))
-    # No more letters can match than both names have in common.
-    in_common = 2 * F.size(F.array_intersect("_fa_l", "_fb_l")) >= F.lit(threshold) * (la + lb) - F.lit(1e-9)
+    total = la + lb
+    near_length = F.least(la, lb) >= F.lit(band) * F.greatest(la, lb) - F.lit(tiny)
+    in_common = lambda bag: F.size(F.array_intersect(bag(F.col("_fa")), bag(F.col("_fb"))))
     return (
-        a.join(b, [*on, "_tok"])
-        .filter(near_length)
-        .filter(once)
-        .filter(in_common)
+        met.filter(near_length)
+        .filter(in_common(letter_pairs) >= F.lit(gain) * total - F.lit(1 + tiny))
+        .filter(2 * in_common(letters) >= F.lit(threshold) * total - F.lit(tiny))
         .withColumn("similarity", matcher_ratio(F.col("_fa"), F.col("_fb")))
         .filter(F.col("similarity") >= threshold)
         .select(*on, "name", "match", "similarity")

@@ -152,12 +152,62 @@ def _names_by_group(spark, sf):
     return removed, added
 
 
-@query("J4_rename_candidates")
+def _longest(a: str, b: str) -> str:
+    """SQL: struct (k, i) of the longest common block of two texts, the earliest in the first one."""
+    return f"""list_max(list_transform(list_filter(flatten(list_transform(range(1, len({a}) + 1),
+      lambda i: list_transform(range(1, len({a}) - i + 2), lambda k: {{'k': k, 'i': -i}}))),
+      lambda z: contains({b}, substring({a}, CAST(-z.i AS BIGINT), z.k))), lambda z: {{'k': z.k, 'i': z.i}}))"""
+
+
+_FOLD = "replace(replace(replace(replace(lower({0}), '_', ''), 'warp', 'wave'), 'wavefront', 'wave'), 'cuda', 'hip')"
+# The ratio's definition: the longest common block, then the same on both sides of it.
+_SIMILAR = f"""
+labels AS (SELECT DISTINCT p_type AS path, replace(p_name, ' ', '_') || '_' || (p_partkey % 23) AS name, p_size <= 25 AS old FROM part),
+removed AS (SELECT path, name, {_FOLD.format('name')} AS f FROM labels l WHERE old AND NOT EXISTS (SELECT 1 FROM labels m WHERE m.path = l.path AND m.name = l.name AND NOT m.old)),
+added AS (SELECT path, name, {_FOLD.format('name')} AS f FROM labels l WHERE NOT old AND NOT EXISTS (SELECT 1 FROM labels m WHERE m.path = l.path AND m.name = l.name AND m.old)),
+both_names AS (
+  SELECT path, removed.name, added.name AS match, removed.f AS fa, added.f AS fb, len(removed.f) + len(added.f) AS total
+  FROM removed JOIN added USING (path) WHERE 2.0 * least(len(removed.f), len(added.f)) >= 0.72 * (len(removed.f) + len(added.f))),
+blocks AS (
+  SELECT path, name, match, fa, fb, {_longest('fa', 'fb')} AS b FROM both_names
+  UNION ALL
+  SELECT path, name, match, x.fa, x.fb, {_longest('x.fa', 'x.fb')} FROM (
+    SELECT path, name, match, unnest([
+      {{'fa': substring(fa, 1, CAST(-b.i - 1 AS BIGINT)), 'fb': substring(fb, 1, instr(fb, substring(fa, CAST(-b.i AS BIGINT), b.k)) - 1)}},
+      {{'fa': substring(fa, CAST(-b.i AS BIGINT) + b.k), 'fb': substring(fb, instr(fb, substring(fa, CAST(-b.i AS BIGINT), b.k)) + b.k)}}]) AS x
+    FROM blocks WHERE b IS NOT NULL)
+  WHERE x.fa <> '' AND x.fb <> ''),
+scored AS (
+  SELECT path, name, match, 2.0::DOUBLE * coalesce(sum(b.k), 0) / any_value(total) AS similarity
+  FROM blocks JOIN both_names USING (path, name, match) GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "J4_rename_candidates",
+    f"""WITH RECURSIVE {_SIMILAR},
+    pairs AS (SELECT * FROM scored WHERE similarity >= 0.72),
+    turns AS (SELECT path, name, row_number() OVER (PARTITION BY path ORDER BY name) AS i FROM (SELECT DISTINCT path, name FROM pairs)),
+    served AS (
+      SELECT DISTINCT path, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS old, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS new FROM turns
+      UNION ALL
+      SELECT s.path, t.i, t.name,
+        CASE WHEN count(p.match) = 0 THEN any_value(s.used) ELSE list_append(any_value(s.used), arg_min(p.match, (-p.similarity, p.match))) END,
+        arg_min(p.match, (-p.similarity, p.match))
+      FROM served s JOIN turns t ON t.path = s.path AND t.i = s.i + 1
+        LEFT JOIN pairs p ON p.path = s.path AND p.name = t.name AND NOT list_contains(s.used, p.match)
+      GROUP BY s.path, t.i, t.name)
+    SELECT s.path, s.old, s.new, round_even(p.similarity, 4) AS similarity
+    FROM served s JOIN pairs p ON p.path = s.path AND p.name = s.old AND p.match = s.new""",
+)
 def rename_candidates(spark, sf):
     return similarity.rename_candidates(*_names_by_group(spark, sf), ["path"], 0.72)
 
 
-@query("J4_nearest_name")
+@query(
+    "J4_nearest_name",
+    f"""WITH RECURSIVE {_SIMILAR} SELECT path, name, match, round(similarity, 4) AS similarity FROM scored WHERE similarity >= 0.82
+    QUALIFY row_number() OVER (PARTITION BY path, name ORDER BY similarity DESC, match) = 1""",
+)
 def nearest_name(spark, sf):
     out = similarity.best_match(*_names_by_group(spark, sf), ["path"], 0.82)
     return out.withColumn("similarity", F.round("similarity", 4))
