@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rivulant.functions.text import normalize_error, normalize_unknown, short_digest, strip
 from rivulant.operators.similarity import best_match
+from rivulant.plans.digest import ordered_digest
 from rivulant.plans.joins import interval_join, lookup_join
 from rivulant.plans.scratch import settle
 from rivulant.plans.scan import CHUNK, running, segmented_sums, with_halo
@@ -95,36 +96,35 @@ def identity(diags: DataFrame) -> Column:
 
 
 def failure_signature(diags: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`compile:` + 12 hex of the SHA-256 over the sorted distinct identities per key.
-
-    Only distinct identities reach a group; the digest needs all of them.
-    """
+    """`compile:` + 12 hex of the SHA-256 over the sorted distinct identities per key."""
     keys = list(keys)
     distinct = diags.select(*keys, identity(diags).alias("i")).distinct()
-    joined = F.array_join(
-        F.transform(
-            F.array_sort(F.collect_list("i")),
-            lambda i: F.concat_ws(":", i["kind"], i["symbol"], i["owner"]),
-        ),
-        "|",
-    )
-    return distinct.groupBy(*keys).agg(
-        F.concat(F.lit("compile:"), short_digest(joined, 12)).alias("failure_signature")
+    said = distinct.withColumn("_s", F.concat_ws(":", "i.kind", "i.symbol", "i.owner"))
+    out = ordered_digest(said, keys, ["i"], "_s", prefix="compile:")
+    return out.withColumnRenamed("digest", "failure_signature")
+
+
+def attempt_signature(attempts: DataFrame, keys: Sequence[str], seq: str, raw: str = "raw") -> DataFrame:
+    """One signature per attempt of a compiler: empty for one without errors (`raw` null throughout), the
+    typed one where an error can be parsed, else the digest of all its messages without their place."""
+    keys = list(keys)
+    failed = attempts.filter(F.col(raw).isNotNull())
+    typed = failure_signature(parse_diagnostics(failed, keys, seq, raw), keys)
+    untyped = failed.join(typed.select(*keys), keys, "left_anti")
+    bare = untyped.select(*keys, strip(F.regexp_replace(F.col(raw), shapes.MESSAGE_PLACE, "")).alias("_s"))
+    plain = ordered_digest(bare, keys, ["_s"], "_s", prefix="compile:").withColumnRenamed("digest", "failure_signature")
+    known = typed.unionByName(plain)
+    return attempts.select(*keys).distinct().join(known, keys, "left").select(
+        *keys, F.coalesce("failure_signature", F.lit("")).alias("failure_signature")
     )
 
 
 def structural_signature(errors: DataFrame, keys: Sequence[str], text: str = "error") -> DataFrame:
     """A15 for attempts a structural gate stopped: digest over the sorted error texts."""
     # Equal texts travel once, with their count.
-    counted = errors.groupBy(*keys, F.col(text).alias("_e")).agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    repeated = F.transform(
-        F.array_sort(F.collect_list(F.struct("_e", "_n"))), lambda p: F.array_repeat(p["_e"], p["_n"])
-    )
-    return counted.groupBy(*keys).agg(
-        F.concat(
-            F.lit("structural:"), short_digest(F.array_join(F.flatten(repeated), "|"), 12)
-        ).alias("failure_signature")
-    )
+    counted = errors.groupBy(*keys, F.col(text).alias("_e")).agg(F.count(F.lit(1)).alias("_n"))
+    out = ordered_digest(counted, keys, ["_e"], "_e", F.col("_n"), prefix="structural:")
+    return out.withColumnRenamed("digest", "failure_signature")
 
 
 def scan_tool_log(log: DataFrame, totals: DataFrame, key: str = "path", raw: str = "raw") -> DataFrame:
@@ -285,10 +285,34 @@ def iteration_sets(errors: DataFrame, keys: Sequence[str] = ("run", "iteration")
     keys = list(keys)
     lines = errors.filter(F.col(raw).rlike(r"\S"))
     per_text = lines.groupBy(*keys, normalize_error(F.col(raw)).alias("e")).agg(F.count(F.lit(1)).alias("n"))
-    return per_text.groupBy(*keys).agg(
-        F.sum("n").alias("n_errors"),
-        short_digest(F.array_join(F.array_sort(F.collect_list("e")), "\n"), 16).alias("error_set"),
-    )
+    per_text = settle(per_text)
+    counts = per_text.groupBy(*keys).agg(F.sum("n").alias("n_errors"))
+    sets = ordered_digest(per_text, keys, ["e"], "e", separator="\n", length=16)
+    return counts.join(sets.withColumnRenamed("digest", "error_set"), keys)
+
+
+def _counts(empty: Column) -> Column:
+    """Rows that belong to a trend: the first iteration and those with errors."""
+    return F.coalesce((F.col("iteration") == 0) | (F.col("n_errors") > 0), empty)
+
+
+def trend_state(rows: DataFrame, trend: DataFrame) -> DataFrame:
+    """What a later `iteration_trend` needs of each run: its last rows and, on the last one, the counters.
+
+    `rows` are earlier state rows and new iterations, `trend` is the result over them.
+    """
+    latest = Window.partitionBy("run").orderBy(F.desc("iteration"))
+    kept = rows.filter(_counts(F.lit(False))).withColumn("_back", F.row_number().over(latest))
+    kept = kept.filter(F.col("_back") <= shapes.CYCLE_REACH)
+    last = trend.groupBy("run").agg(F.max_by(F.struct("stagnation", "plateau"), "iteration").alias("_c"))
+    joined = kept.join(last, "run", "left")
+
+    def carried(counter: str) -> Column:
+        seed = F.coalesce(f"_c.{counter}", f"seed_{counter}", F.lit(0))
+        return F.when(F.col("_back") == 1, seed).otherwise(F.lit(0)).cast("bigint").alias(f"seed_{counter}")
+
+    return joined.select("run", "iteration", F.coalesce("n_errors", F.lit(0)).cast("bigint").alias("n_errors"), "error_set",
+                         carried("stagnation"), carried("plateau"))
 
 
 def iteration_trend(
@@ -304,10 +328,15 @@ def iteration_trend(
     errors is left out.  Stagnation falls to zero on an improving iteration and
     grows by 1 otherwise, by 2 more when the error set is one of the last four;
     plateau counts consecutive repeats of the set.  Long runs are cut by position.
+
+    A run that goes on is given its last rows (`trend_state`) with `seed_stagnation` and
+    `seed_plateau` set; these rows carry the counters on and are not part of the result.
     """
-    rows = iterations.filter((F.col("iteration") == 0) | (F.col("n_errors") > 0)).select(
+    seeds = [c for c in ("seed_stagnation", "seed_plateau") if c in iterations.columns]
+    is_seed = F.col("seed_stagnation").isNotNull() if seeds else F.lit(False)
+    rows = iterations.filter(_counts(F.lit(False))).select(
         "run", "iteration", F.coalesce("n_errors", F.lit(0)).alias("n_errors"),
-        F.when(F.col("iteration") > 0, F.col("error_set")).alias("error_set"),
+        F.when(F.col("iteration") > 0, F.col("error_set")).alias("error_set"), *seeds,
     )
     by_number = F.floor(F.col("iteration") / F.lit(rows_per_chunk)).cast("bigint")
     placed = running(
@@ -322,7 +351,7 @@ def iteration_trend(
         seen = seen | F.coalesce(F.col("error_set") == earlier, F.lit(False))
     flagged = (
         tiled.select(
-            "run", "iteration", "n_errors", "error_set", "_pos", "_own",
+            "run", "iteration", "n_errors", "error_set", "_pos", "_own", *seeds,
             (F.lag("n_errors", 1, 0).over(w) - F.col("n_errors")).alias("delta"),
             seen.alias("cycle"),
             F.coalesce(F.col("error_set") == back[0], F.lit(False)).alias("_again"),
@@ -334,12 +363,18 @@ def iteration_trend(
         flagged, ["run"], ["_pos"], F.floor(F.col("_pos") / F.lit(rows_per_chunk)).cast("bigint"),
         {
             "stagnation": (
-                (F.col("delta") <= 0).cast("int") + 2 * F.col("cycle").cast("int"),
-                F.col("delta") > 0,
+                F.when(is_seed, F.col("seed_stagnation") if seeds else F.lit(0)).otherwise(
+                    (F.col("delta") <= 0).cast("int") + 2 * F.col("cycle").cast("int")
+                ),
+                is_seed | (F.col("delta") > 0),
+            ),
+            "plateau": (
+                F.when(is_seed, F.col("seed_plateau") if seeds else F.lit(0)).otherwise(F.col("_again").cast("int")),
+                is_seed | ~F.col("_again"),
             ),
-            "plateau": (F.col("_again").cast("int"), ~F.col("_again")),
         },
     )
+    counted = counted.filter(~is_seed).drop(*seeds)
     state = (
         F.when(F.col("stagnation") >= stagnation_limit, F.lit("stagnant"))
         .when(F.col("plateau") >= plateau_limit, F.lit("plateau"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulant.plans.scratch import settle
-from rivulant.plans.scan import running
+from rivulant.plans.scan import range_rank, running
 
 ROWS_PER_CHUNK = 4096
 
@@ -271,11 +271,7 @@ def next_version(version: Column) -> Column:
 
 def rank_providers(health: DataFrame, position: str = "position") -> DataFrame:
     """K3: place by failure rate, then by the listed order."""
-    return running(
-        health, [], ["failure_rate", position],
-        F.struct("failure_rate", F.floor(F.col(position) / F.lit(ROWS_PER_CHUNK)).alias("c")),
-        sums={"place": F.lit(1).cast("bigint")},
-    )
+    return range_rank(health, ["failure_rate", position])
 
 
 def rank_fixes(fixes: DataFrame, key: str = "run", position: str = "position", default: int = 99) -> DataFrame:

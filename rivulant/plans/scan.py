@@ -182,3 +182,20 @@ def with_halo(df: DataFrame, position: Column, width: int, before: int, after: i
         .withColumn("_own", F.col("_home") == F.col(CHUNK))
         .drop("_home")
     )
+
+
+def range_rank(df: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
+    """Adds the 1-based place of each row in the order of all rows (ties in any order).
+
+    Rows are dealt to sorted ranges; a range's offset comes from the counts of the ranges
+    before it, so the only unkeyed window runs over one row per range.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = settle(placed.withColumns({"_pid": F.spark_partition_id(), "_row": row}))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(F.col("_pid").alias("_p")).agg(F.count("*").alias("_n")).select(
+        "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    )
+    joined = placed.join(offsets, F.col("_pid") == F.col("_p"))
+    return joined.select(*df.columns, (F.col("_offset") + F.col("_row") + 1).cast("bigint").alias(name))

@@ -5,6 +5,7 @@ Fixed values: the patterns and tables must equal what users of the parser expect
 
 # --- fixed values: a diagnostic line, and the message shapes in priority order ----------
 DIAGNOSTIC_LINE = r"(?:^|\s)([^\s:]+):(\d+):(\d+):\s*(?:fatal\s+)?(error|warning):\s*(.*)$"
+MESSAGE_PLACE = r"^[^:\n]+:\d+:\d+:\s*"
 NOTE_LINE = r":\d+:\d+:\s*(?:note|remark):"
 
 _Q = r"""['"]?"""

@@ -12,7 +12,7 @@ from rivulant.functions.text import lines_of
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def list_files(spark: SparkSession, path: str, glob: str = "*", since: datetime | None = None) -> DataFrame:
+def list_files(spark: SparkSession, path: str | list[str], glob: str = "*", since: datetime | None = None) -> DataFrame:
     """(path, modificationTime, length, content) of the files under `path`; columns not selected are not read.
 
     With `since` only files changed then or later are opened; the source takes that
@@ -30,7 +30,7 @@ def list_files(spark: SparkSession, path: str, glob: str = "*", since: datetime
 
 
 def read_corpus(
-    spark: SparkSession, path: str, glob: str = "*", require_files: bool = True, since: datetime | None = None
+    spark: SparkSession, path: str | list[str], glob: str = "*", require_files: bool = True, since: datetime | None = None
 ) -> DataFrame:
     """One row (path, source, mtime, size) per readable text file under `path`.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rivulant.operators.telemetry import pending
+from rivulant.plans import files as fs
 from rivulant.plans.scratch import scratch_path, settle
 from rivulant.sources.corpus import list_files, read_corpus
 
@@ -39,16 +41,37 @@ def watch_corpus(
     )
 
 
+def _generation(spark: SparkSession, state_path: str) -> int:
+    """The newest complete generation of the state; one that a compaction did not finish does not count."""
+    names = [n for n in fs.children(spark, state_path) if n.startswith("gen=")]
+    whole = [n for n in names if fs.exists(spark, f"{state_path}/{n}/_SUCCESS")]
+    return max((int(n.split("=")[1]) for n in whole), default=0)
+
+
 def current_state(spark: SparkSession, state_path: str) -> DataFrame:
-    """The latest record of each file; the log is append-only."""
-    log = spark.read.schema(STATE_SCHEMA).parquet(state_path)
+    """The latest record of each file; the log is append-only between compactions."""
+    log = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/gen={_generation(spark, state_path)}")
     rest = F.struct("mtime", "size", "batch", "processed_at", "status", "result")
     return log.groupBy("path").agg(F.max_by(rest, F.struct("processed_at", "batch")).alias("s")).select("path", "s.*")
 
 
 def init_state(spark: SparkSession, state_path: str) -> None:
     """Create an empty state log if there is none."""
-    spark.createDataFrame([], STATE_SCHEMA).write.mode("ignore").parquet(state_path)
+    if not fs.exists(spark, f"{state_path}/gen=0/_SUCCESS") and not _generation(spark, state_path):
+        spark.createDataFrame([], STATE_SCHEMA).write.mode("ignore").parquet(f"{state_path}/gen=0")
+
+
+def compact_state(spark: SparkSession, state_path: str) -> int:
+    """One row per path in a new generation, which counts once its success marker is there; older ones go.
+
+    Run by the process that owns the state, between passes.
+    """
+    now = _generation(spark, state_path)
+    current_state(spark, state_path).write.mode("overwrite").parquet(f"{state_path}/gen={now + 1}")
+    for name in fs.children(spark, state_path):
+        if name.startswith("gen=") and int(name.split("=")[1]) <= now:
+            fs.delete(spark, f"{state_path}/{name}")
+    return now + 1
 
 
 def process_pending(
@@ -58,26 +81,27 @@ def process_pending(
     fn: Callable[[DataFrame], DataFrame],
     glob: str = "*",
     batch: int = 0,
+    max_files: int = 10_000,
 ) -> int:
-    """One pass over the directory; returns how many files were processed.
-
-    The listing is a batch read, so an edited file counts as pending again.  `fn`
-    maps (path, source, mtime, size) rows to (path, status, result).  Files that
-    cannot be read or decoded and other failures are recorded as errors and not
-    tried again until the file changes.  The listing reads no contents; then only
-    files as new as the oldest pending one are opened.  State is
-    appended after the work, so a pass that dies is repeated, not lost.
+    """One pass over the directory; returns how many files were processed.
+
+    The listing is a batch read, so an edited file counts as pending again; it reads no
+    contents.  The first `max_files` pending files by name are admitted (a further pass takes
+    the next ones) and exactly these are opened.  `fn` maps (path, source, mtime, size) rows to
+    (path, status, result).  Files that cannot be read or decoded and other failures are
+    recorded as errors and not tried again until the file changes.  State is appended after
+    the work, so a pass that dies is repeated, not lost.
     """
     init_state(spark, state_path)
     listing = list_files(spark, path, glob).select(
         "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size")
     )
-    todo = settle(pending(listing, current_state(spark, state_path)))
-    if todo.isEmpty():
+    todo = settle(pending(listing, current_state(spark, state_path)).orderBy("path").limit(max_files))
+    names = [r.path for r in todo.select("path").collect()]  # `max_files` at most
+    if not names:
         return 0
-    oldest = todo.agg(F.min("mtime")).first()[0]
-    files = read_corpus(spark, path, glob, require_files=False, since=oldest)
-    outcome = fn(files.join(todo.select("path"), "path", "left_semi")).select("path", "status", "result")
+    files = read_corpus(spark, [_escaped(n) for n in names], require_files=False)
+    outcome = fn(files).select("path", "status", "result")
     record = todo.join(outcome, "path", "left").select(
         "path",
         "mtime",
@@ -87,8 +111,13 @@ def process_pending(
         F.coalesce("status", F.lit("error")).alias("status"),
         "result",
     )
-    record.write.mode("append").parquet(state_path)
-    return todo.count()
+    record.write.mode("append").parquet(f"{state_path}/gen={_generation(spark, state_path)}")
+    return len(names)
+
+
+def _escaped(path: str) -> str:
+    """A path in which nothing is read as a pattern."""
+    return re.sub(r"([\[\]{}*?\\\\])", r"\\\1", path)
 
 
 def watch_pending(

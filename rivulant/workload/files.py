@@ -160,6 +160,21 @@ def gated_write(spark, sf):
     return passed.unionByName(spark.read.parquet(bad).select("path", F.col("gate").alias("outcome"), "reason"))
 
 
+@query(
+    "S6_gated_commit",
+    """SELECT doc_id AS path, CASE WHEN n_chars > 50 THEN 'passed' ELSE 'length' END AS outcome, CASE WHEN n_chars > 50 THEN NULL ELSE n_chars || ' characters' END AS reason,
+      text AS source FROM documents""",
+)
+def gated_commit(spark, sf):
+    """The second run's pair is what a reader sees; the first run judged by another gate."""
+    docs, path, n = v.corpus(spark, sf), scratch_path(spark, "pair"), F.length("source")
+    gated.gated_commit(docs, [("length", n > 9, F.lit("short"))], path)
+    gated.gated_commit(docs, [("length", n > 50, F.concat(n, F.lit(" characters")))], path)
+    good, bad = gated.read_gated(spark, path)
+    passed = good.select("path", F.lit("passed").alias("outcome"), F.lit(None).cast("string").alias("reason"), "source")
+    return passed.unionByName(bad.select("path", F.col("gate").alias("outcome"), "reason", "source"))
+
+
 @query(
     "S7_write_report",
     f"WITH {v.RISK} SELECT risk_level, count(*) AS n_docs FROM risk GROUP BY 1",

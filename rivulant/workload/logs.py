@@ -77,6 +77,28 @@ def failure_signature(spark, sf):
     return ops.failure_signature(ops.parse_diagnostics(rows, keys, "event_id"), keys)
 
 
+@query(
+    "A15_attempt_signature",
+    f"""WITH {v.ITERATIONS}, every AS (
+      SELECT run, iteration, event_id, CASE WHEN run % 4 = 0 THEN 'u.o:' || (event_id % 9) || ':' || (event_id % 5) || ': undefined symbol ' || (event_id % 3) ELSE raw END AS raw,
+        run % 4 = 0 AS linked, CASE event_id % 4 WHEN 0 THEN 'undeclared' WHEN 1 THEN 'unknown-type' WHEN 2 THEN 'missing-include' ELSE 'unknown' END AS kind,
+        CASE WHEN event_id % 4 < 3 THEN regexp_extract(raw, '''([a-z0-9.]+)''', 1) ELSE '' END AS symbol
+      FROM iter_err WHERE raw IS NOT NULL),
+    typed AS (SELECT run, iteration, kind, symbol, arg_min(raw, event_id) AS raw FROM every WHERE NOT linked GROUP BY run, iteration, kind, symbol, event_id % 90),{_IDENTITY.format(keys='run, iteration', source='typed')},
+    bare AS (SELECT run, iteration, 'compile:' || substring(sha256(string_agg(regexp_replace(raw, '^[^:]+:[0-9]+:[0-9]+: ', ''), '|'
+      ORDER BY regexp_replace(raw, '^[^:]+:[0-9]+:[0-9]+: ', ''))), 1, 12) AS failure_signature FROM every WHERE linked GROUP BY 1, 2)
+    SELECT n.run, n.iteration, coalesce(s.failure_signature, b.failure_signature, '') AS failure_signature FROM numbered n
+      LEFT JOIN sig s ON s.run = n.run AND s.iteration = n.iteration LEFT JOIN bare b ON b.run = n.run AND b.iteration = n.iteration""",
+)
+def attempt_signature(spark, sf):
+    """Runs whose number divides by 4 fail at the linker, whose messages no typed shape fits."""
+    e = F.col("event_id")
+    linker = F.concat(F.lit("u.o:"), e % 9, F.lit(":"), e % 5, F.lit(": undefined symbol "), e % 3)
+    rows = v.iteration_errors(spark, sf)
+    rows = rows.withColumn("raw", F.when((F.col("run") % 4 == 0) & F.col("raw").isNotNull(), linker).otherwise(F.col("raw")))
+    return ops.attempt_signature(settle(rows), ["run", "iteration"], "event_id")
+
+
 @query(
     "A15_structural_signature",
     f"""WITH {v.ERR_LOG}, r AS (SELECT run, regexp_replace(raw, '^[A-Za-z0-9_./-]+:[0-9]+:[0-9]+:\\s*', '') AS error FROM err_log)

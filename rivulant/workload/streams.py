@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from rivulant.plans.scratch import scratch_path
 from rivulant.rules.portable import TEXT_RULES
 from rivulant.sources.events import read_events
-from rivulant.sources.store import read_version
 from rivulant.streaming import monitors, watch
 from rivulant.workload import views as v
 from rivulant.workload.files import stage_texts
@@ -19,8 +18,8 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def _in_pieces(df, column, pieces):
-    """Stage `df` as one file set per range of `column`, lowest first; a stream reads them in that order."""
+def _in_pieces(df, column, pieces, start):
+    """Write `df` in ranges of `column`, lowest first, and after each run a stream over the folder to its end."""
     spark = df.sparkSession
     whole, path = scratch_path(spark, "whole"), scratch_path(spark, "pieces")
     df.write.parquet(whole)
@@ -28,8 +27,10 @@ def _in_pieces(df, column, pieces):
     span = staged.agg(F.max(column)).first()[0] + 1
     piece = F.floor(F.col(column) * pieces / span)
     for i in range(pieces):
-        staged.filter(piece == i).coalesce(1).write.mode("append").parquet(path)
-    return path
+        staged.filter(piece == i).write.mode("append").parquet(path)
+        run = start(spark.readStream.schema(df.schema).parquet(path))
+        run.awaitTermination()
+    return run
 
 
 @query(
@@ -98,12 +99,10 @@ def stream_events(spark, sf):
 )
 def stream_merge_store(spark, sf):
     batch = v.store_batch(spark, sf, v.staged_signatures(spark, sf))
-    source, target = _in_pieces(batch, "seq", 3), scratch_path(spark, "store")
-    arriving = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    q = monitors.stream_merge_store(arriving, target, scratch_path(spark, "cp"))
-    q.awaitTermination()
+    target, cp = scratch_path(spark, "store"), scratch_path(spark, "cp")
+    q = _in_pieces(batch, "seq", 3, lambda arriving: monitors.stream_merge_store(arriving, target, cp))
     last = q.lastProgress.batchId + 1
-    return read_version(spark, target, last).select(
+    return monitors.read_store(spark, target, last).select(
         "signature", "verified_fix", "confidence", "failure_count", "verified"
     )
 
@@ -115,10 +114,54 @@ def stream_merge_store(spark, sf):
 )
 def stream_stagnation(spark, sf):
     rows = v.iterations(spark, sf)
-    source, out = _in_pieces(rows, "iteration", 3), scratch_path(spark, "trend")
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    trend = monitors.stream_stagnation(arriving)
-    trend.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "cp")).trigger(
-        availableNow=True
-    ).start(out).awaitTermination()
-    return spark.read.schema(trend.schema).parquet(out)
+    out, state, cp = scratch_path(spark, "trend"), scratch_path(spark, "runs"), scratch_path(spark, "cp")
+    _in_pieces(rows, "iteration", 3, lambda arriving: monitors.stream_trend(arriving, out, state, cp, rows_per_chunk=8))
+    return spark.read.schema(monitors.TREND_SCHEMA).parquet(out).drop("batch")
+
+
+@query(
+    "T1_name_order",
+    """WITH d AS (SELECT doc_id // 50 AS folder, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY 1),
+    n AS (SELECT *, row_number() OVER (ORDER BY folder) - 1 AS place FROM d)
+    SELECT folder, chars, CAST(place // 7 AS BIGINT) AS arrival FROM n""",
+)
+def name_order(spark, sf):
+    """Files are admitted seven a pass by name, whenever they were written."""
+    folder, state = scratch_path(spark, "named"), scratch_path(spark, "state")
+    docs = v.table(spark, sf, "documents").select(
+        F.lpad(F.floor(F.col("doc_id") / 50).cast("string"), 12, "0").alias("d"), F.col("text").alias("value")
+    )
+    docs.repartition("d").write.partitionBy("d").text(folder)
+
+    def measure(found):
+        return found.select("path", F.lit("ok").alias("status"), F.length("source").cast("string").alias("result"))
+
+    batch = 0
+    while watch.process_pending(spark, folder, state, measure, "*.txt", batch, max_files=7):
+        batch += 1
+        if batch % 10 == 0:
+            watch.compact_state(spark, state)
+    done = watch.current_state(spark, state)
+    number = F.regexp_extract("path", r"d(?:=|%3D)(\d+)/", 1).cast("bigint")
+    return done.select(number.alias("folder"), F.col("result").cast("bigint").alias("chars"), F.col("batch").alias("arrival"))
+
+
+@query(
+    "T3_reset_rule_counts",
+    f"""WITH {v.RULES}, half AS (SELECT max(doc_id) // 2 AS h FROM documents), late AS (SELECT * FROM documents, half WHERE doc_id >= h),
+    {v.hits_cte(source='late')}
+    SELECT r.rule, CAST(coalesce(sum(h.n), 0) AS BIGINT) AS n_matches, (SELECT count(*) FROM late) AS scanned
+    FROM rules r LEFT JOIN hits h ON h.rule = r.rule GROUP BY 1""",
+)
+def reset_rule_counts(spark, sf):
+    docs = v.table(spark, sf, "documents")
+    control, out, cp = scratch_path(spark, "control"), scratch_path(spark, "counts"), scratch_path(spark, "cp")
+    docs.agg(F.floor(F.max("doc_id") / 2).cast("bigint").alias("seq")).write.parquet(control)
+
+    def count(arriving):
+        texts = arriving.select("doc_id", F.col("text").alias("source"))
+        counts = monitors.reset_rule_counts(texts, spark.read.parquet(control), TEXT_RULES, "doc_id")
+        return monitors.to_versions(counts, out, cp)
+
+    _in_pieces(docs, "doc_id", 3, count)
+    return monitors.current_counts(monitors.latest_version(spark, out))
