@@ -95,11 +95,23 @@ def _rows(names: Column, kind: str) -> Column:
     )
 
 
-def diff_inventory(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
+# fixed values: host functions that a port of the device part never has
+HOST_ONLY = r"^(?:main|shuffle_.*_test)$"
+
+
+def diff_inventory(old: DataFrame, new: DataFrame, key: str = "path", modes: DataFrame | None = None) -> DataFrame:
     """(key, kind, name, status): missing, added, changed (other body) or preserved.
 
+    `modes` (key, port_mode) tells which ports hold the device part only: of those, host-only
+    functions of the old version do not count as missing and have no row.
     The join key holds the name, so one large inventory is spread by its names.
     """
+    if modes is not None:
+        subset = modes.filter("port_mode = 'DEVICE_SUBSET'").select(key).distinct().withColumn("_subset", F.lit(True))
+        driver = (F.col("kind") == "function") & F.col("name").rlike(HOST_ONLY)
+        known = new.select(key, "kind", "name", F.lit(True).alias("_new")).distinct()
+        old = old.join(subset, key, "left").join(known, [key, "kind", "name"], "left")
+        old = old.filter(~F.coalesce(driver & F.col("_subset") & F.col("_new").isNull(), F.lit(False))).drop("_subset", "_new")
     a = old.select(key, "kind", "name", F.struct("body").alias("_a"))
     b = new.select(key, "kind", "name", F.struct("body").alias("_b"))
     status = (

@@ -14,6 +14,52 @@ def parse_diagnostics(spark, sf):
     return v.diagnostics(spark, sf)
 
 
+# (message of event e, kind, symbol, suggestion, owner); a null kind is a line that yields nothing
+_SHAPES = (
+    ("error: 'sub/x{e}.cuh' file not found", "missing-include", "sub/x{e}.cuh", "", ""),
+    ("error: no member named 'm{e}' in 'Box<int>'", "no-member", "m{e}", "", "Box<int>"),
+    ("error: use of undeclared identifier 'id{e}'; did you mean 'other_{e}'?", "undeclared", "id{e}", "other_{e}", ""),
+    ("error: unknown type name 'T{e}'; did you mean 'Tee'?", "unknown-type", "T{e}", "Tee", ""),
+    ("error: no template named 'tmpl{e}'", "unknown-type", "tmpl{e}", "", ""),
+    ("error: implicit instantiation of undefined template 'std::in::tup{e}'", "undefined-template", "tup{e}", "", ""),
+    ("error: 'z{e}' was not declared in this scope", "unknown-type", "z{e}", "", ""),
+    ("fatal error: no matching function for call to 'f{e}'", "no-matching-function", "f{e}", "", ""),
+    ("error: too few arguments to function 'g{e}'", "arg-count", "g{e}", "", ""),
+    ("error: something odd {e}", "unknown", "", "", ""),
+    ("warning: unused variable 'w{e}'", None, "", "", ""),
+    ("note: expanded from macro 'n{e}'", None, "", "", ""),
+)
+
+
+def _of_shape(i: int) -> str:
+    """SQL: field `i` of the shape of an event, its number put in."""
+    said = lambda t: "NULL" if t is None else " || event_id || ".join(v.sql_text(x) for x in t.split("{e}"))
+    return f"CASE event_id % {len(_SHAPES)} " + " ".join(f"WHEN {k} THEN {said(row[i])}" for k, row in enumerate(_SHAPES)) + " END"
+
+
+@query(
+    "F10_all_shapes",
+    f"""WITH x AS (SELECT user_id AS run, event_id AS seq, {_of_shape(1)} AS kind, {_of_shape(2)} AS symbol, {_of_shape(3)} AS suggestion, {_of_shape(4)} AS owner,
+      CAST(event_id % 90 + 1 AS INTEGER) AS line, event_id % {len(_SHAPES)} = 9 AS odd FROM events)
+    SELECT run, min(seq) AS seq, kind, symbol, arg_min(suggestion, seq) AS suggestion, owner, line FROM x WHERE kind IS NOT NULL GROUP BY run, kind, symbol, owner, line""",
+)
+def all_shapes(spark, sf):
+    """Every shape of message, notes and warnings among them; every fifth line has a path of several folders."""
+    e = F.col("event_id")
+    message = None
+    for k, row in enumerate(_SHAPES):
+        pieces = row[0].split("{e}")
+        terms = [F.lit(pieces[0])]
+        for piece in pieces[1:]:
+            terms += [e.cast("string"), F.lit(piece)]
+        hit = e % len(_SHAPES) == k
+        message = F.when(hit, F.concat(*terms)) if message is None else message.when(hit, F.concat(*terms))
+    place = F.concat(F.when(e % 5 == 0, F.lit("src/a/u.cpp:")).otherwise(F.lit("u.cpp:")), e % 90 + 1, F.lit(":7: "))
+    log = v.table(spark, sf, "events").select(F.col("user_id").alias("run"), "event_id", F.concat(place, message).alias("raw"))
+    out = ops.parse_diagnostics(log, ["run"], "event_id")
+    return out.select("run", "seq", "kind", "symbol", "suggestion", "owner", "line")
+
+
 @query(
     "F11_normalize_error",
     f"""WITH {v.ERR_LOG}, n AS (

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rivulant.operators import store as ops
 from rivulant.operators.findings import scan_rules
+from rivulant.plans.scratch import settle
 from rivulant.rules.portable import TEXT_RULES
 from rivulant.workload import views as v
 from rivulant.workload.registry import query
@@ -45,6 +46,17 @@ def merge_store(spark, sf):
     return merged.select("signature", "sig_id", "verified_fix", "confidence", "failure_count", "verified")
 
 
+@query(
+    "J2_merge_store_times",
+    f"""WITH {v.STORE} SELECT signature, CAST(0 AS BIGINT) AS times_retrieved,
+      CAST(coalesce(max_by(seq % 7 / 4.0, seq) FILTER (WHERE ok), 0) AS DOUBLE) AS llm_time_s FROM accepted GROUP BY 1""",
+)
+def merge_store_times(spark, sf):
+    """The time kept is that of the surviving fix."""
+    batch = v.store_batch(spark, sf, v.staged_signatures(spark, sf)).withColumn("llm_time_s", F.col("seq") % 7 / 4)
+    return ops.merge_store(None, batch).select("signature", "times_retrieved", "llm_time_s")
+
+
 @query(
     "J2_merge_store_metadata",
     f"""WITH {v.STORE},
@@ -96,5 +108,5 @@ def count_retrievals(spark, sf):
 )
 def store_stats(spark, sf):
     sigs = v.staged_signatures(spark, sf)
-    store = ops.merge_store(None, v.store_batch(spark, sf, sigs))
+    store = settle(ops.merge_store(None, v.store_batch(spark, sf, sigs)))  # looked up in and counted
     return ops.store_stats(store, ops.lookup(v.store_requests(spark, sf, sigs), store))

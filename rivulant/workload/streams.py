@@ -93,6 +93,18 @@ def stream_events(spark, sf):
     return read_events(spark, out).select("seq", "run", "event", "value")
 
 
+@query("T4_stream_times", "SELECT event_id AS seq, CAST(ts AS DATE) AS day, hour(ts) AS hour, minute(ts) AS minute FROM events")
+def stream_times(spark, sf):
+    """Times survive the way through the JSON log."""
+    events = _stream(spark, sf, "events").select(
+        F.col("user_id").alias("run"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("event"), "value"
+    )
+    out = scratch_path(spark, "events")
+    watch.stream_events(events, out, scratch_path(spark, "cp")).awaitTermination()
+    hours = [F.hour("ts").cast("bigint").alias("hour"), F.minute("ts").cast("bigint").alias("minute")]
+    return read_events(spark, out).select("seq", F.to_date("ts").alias("day"), *hours)
+
+
 @query(
     "T5_stream_merge_store",
     f"WITH {v.STORE} SELECT signature, verified_fix, confidence, failure_count, verified FROM store",

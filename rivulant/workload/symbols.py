@@ -85,6 +85,71 @@ def diff_inventory(spark, sf):
     return symbols.diff_inventory(*_inventories(spark, sf)).select("path", "kind", "name", "status")
 
 
+@query(
+    "J3_bodies",
+    f"""WITH {_INV} SELECT d.*, a.body AS old_body, b.body AS new_body FROM diff d
+      LEFT JOIN a ON a.path = d.path AND a.name = d.name LEFT JOIN b ON b.path = d.path AND b.name = d.name""",
+)
+def diff_bodies(spark, sf):
+    return symbols.diff_inventory(*_inventories(spark, sf))
+
+
+@query(
+    "J3_device_subset",
+    """WITH f AS (
+      SELECT DISTINCT l_suppkey AS path, CASE l_partkey % 9 WHEN 0 THEN 'main' WHEN 1 THEN 'shuffle_' || l_partkey % 4 || '_test' ELSE 'f' || l_partkey % 50 END AS name,
+        l_shipdate < TIMESTAMP '1998-01-01' AS old FROM lineitem),
+    a AS (SELECT path, name FROM f WHERE old), b AS (SELECT path, name FROM f WHERE NOT old)
+    SELECT coalesce(a.path, b.path) AS path, 'function' AS kind, coalesce(a.name, b.name) AS name,
+      CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'added' ELSE 'preserved' END AS status
+    FROM a FULL JOIN b ON a.path = b.path AND a.name = b.name
+    WHERE NOT (b.path IS NULL AND a.path % 2 = 0 AND (a.name = 'main' OR a.name LIKE 'shuffle%test'))""",
+)
+def device_subset(spark, sf):
+    """Suppliers with an even number port the device part only."""
+    part = F.col("l_partkey")
+    name = F.when(part % 9 == 0, F.lit("main")).when(
+        part % 9 == 1, F.concat(F.lit("shuffle_"), part % 4, F.lit("_test"))
+    ).otherwise(F.concat(F.lit("f"), part % 50))
+    rows = v.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("path"), F.lit("function").alias("kind"), name.alias("name"), F.lit("").alias("body"),
+        (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("old"),
+    ).distinct()
+    mode = F.when(F.col("path") % 2 == 0, F.lit("DEVICE_SUBSET")).otherwise(F.lit("WHOLE_PROGRAM"))
+    modes = rows.select("path").distinct().withColumn("port_mode", mode)
+    columns = ["path", "kind", "name", "body"]
+    out = symbols.diff_inventory(rows.filter("old").select(*columns), rows.filter("NOT old").select(*columns), modes=modes)
+    return out.select("path", "kind", "name", "status")
+
+
+_HEADS = (
+    "__global__ void k{p}(const float* __restrict__ in, float* out, int n = {s})",
+    "__global__  void k{p}(float *y, const int* idx)",
+    "__global__ void k{p}(unsigned int n, double* data /* {s} */)",
+    "__global__ void k{p}(int* result, float x)",
+    "__global__ void k{p}()",
+)
+
+
+@query(
+    "F18_shapes",
+    """WITH shapes(m, position, name, type, direction) AS (VALUES
+      (0, 1, 'in', 'const float* __restrict__', 'in'), (0, 2, 'out', 'float*', 'out'), (0, 3, 'n', 'int', 'scalar'),
+      (1, 1, 'y', 'float*', 'out'), (1, 2, 'idx', 'const int*', 'in'),
+      (2, 1, 'n', 'unsigned int', 'scalar'), (2, 2, 'data', 'double*', 'in'),
+      (3, 1, 'result', 'int*', 'out'), (3, 2, 'x', 'float', 'scalar'))
+    SELECT p_partkey AS path, CAST(0 AS INTEGER) AS function_no, 'k' || p_partkey AS function, CAST(position AS INTEGER) AS position, name, type, direction
+    FROM part JOIN shapes ON m = p_partkey % 5""",
+)
+def signature_shapes(spark, sf):
+    """Five kinds of head: no parameter, a star on either side, comments, defaults, names that say output."""
+    key, head = F.col("p_partkey"), None
+    for i, text in enumerate(_HEADS):
+        made = F.format_string(text.replace("{p}", "%1$s").replace("{s}", "%2$s") + " { }", key.cast("string"), F.col("p_size").cast("string"))
+        head = F.when(key % 5 == i, made) if head is None else head.when(key % 5 == i, made)
+    return symbols.signature_params(v.table(spark, sf, "part").select(key.alias("path"), head.alias("source")))
+
+
 @query(
     "J3_diff_summary",
     f"""WITH {_INV} SELECT path, kind, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'added') AS added,

@@ -4,8 +4,11 @@ from pyspark.sql import functions as F
 
 from rivulant.operators import definitions as defs
 from rivulant.operators.diagnostics import parse_diagnostics, resolve
+from rivulant.operators.findings import order_findings
 from rivulant.plans.scratch import settle
-from rivulant.rules.device import HEADER_MAP, STANDARD_HEADERS
+from rivulant.operators.rewrite import rewrite
+from rivulant.operators.static import all_source_findings
+from rivulant.rules.device import DEVICE_RENAMES, HEADER_MAP, STANDARD_HEADERS
 from rivulant.workload import views as v
 from rivulant.workload.registry import query
 
@@ -171,3 +174,74 @@ def repairs(spark, sf):
     old, new = settle(defs.definitions(units(parts))), settle(defs.definitions(ported(parts)).select("path", "kind", "name"))
     out = resolve(diags, old, new, HEADER_MAP, STANDARD_HEADERS)
     return out.select("path", "seq", "strategy", "root_cause", "inserted_text", "applicable", "confidence")
+
+
+# line of a device source, the same line after the port, and the change log it adds: (label, times)
+DEVICE_LINES = (
+    ("  cudaMalloc(&p, {s});", "  hipMalloc(&p, {s});", (("cudaMalloc→hipMalloc", 1),)),
+    ("  cudaGetDevice(&d); // {s}", "  hipGetDevice(&d); // {s}", (("cudaGetDevice→hipDeviceGet", 1),)),
+    ("  checkCudaErrors( cudaFree(p) );", "  (void)( hipFree(p) );", (("cudaFree→hipFree", 1), ("checkCudaErrors→(void)(", 1))),
+    ("  __shared__ float4 t[{s}];", "  __shared__ float t[{s}];", (("float4→float (shared)", 1),)),
+    ("  float4 q = f(uint2 z, uint2* w);", "  float q = f(unsigned int z, unsigned int* w);", (("vector type float4", 1), ("vector type unsigned int4", 2))),
+    ("  v = __shfl_xor_sync(0x1f, v, {s});", "  v = __shfl_xor_sync(0x3f, v, {s});", (("__shfl_xor_sync mask 0x1f→0x3f", 1),)),
+    ("  v = __shfl_down_sync(0xffffffff, v, 2); __syncwarp();", "  v = __shfl_down_sync(0xffffffffffffffffULL, v, 2); __syncthreads();",
+     (("__shfl mask 0xffffffff→0xffffffffffffffffULL", 1), ("__syncwarp()→__syncthreads()", 1))),
+    ("  int n = warpSize + WARP_SIZE + warpSize;", "  int n = 64 + WAVEFRONT_SIZE + 64;", (("warpSize→64", 2), ("WARP_SIZE→WAVEFRONT_SIZE", 1))),
+    ("  // my_cudaMalloc stays, so does x.float4 {s}", "  // my_cudaMalloc stays, so does x.float4 {s}", ()),
+    ("  cudaEventElapsedTime(&ms, a, b); cudaDeviceProp q;", "  hipEventElapsedTime(&ms, a, b); hipDeviceProp_t q;",
+     (("cudaEventElapsedTime→hipEventElapsedTime", 1), ("cudaDeviceProp→hipDeviceProp_t", 1))),
+    ("  cudaMemcpy(d, h, {s}, cudaMemcpyHostToDevice);", "  hipMemcpy(d, h, {s}, hipMemcpyHostToDevice);",
+     (("cudaMemcpy→hipMemcpy", 1), ("cudaMemcpyHostToDevice→hipMemcpyHostToDevice", 1))),
+    ("  cudaError_t e = cudaGetLastError();", "  hipError_t e = hipGetLastError();", (("cudaError_t→hipError_t", 1), ("cudaGetLastError→hipGetLastError", 1))),
+)
+_SIZED = lambda t: " || CAST(p_size AS VARCHAR) || ".join(v.sql_text(x) for x in t.split("{s}"))
+_LINES_SQL = f"""
+lines AS (SELECT p_partkey AS p, p_partkey // 30 AS path, CASE p_partkey % {len(DEVICE_LINES)} {' '.join(f"WHEN {i} THEN {_SIZED(row[1])}" for i, row in enumerate(DEVICE_LINES))} END AS line FROM part),
+logged(m, label, n) AS (VALUES {', '.join(f"({i}, {v.sql_text(label)}, {n})" for i, row in enumerate(DEVICE_LINES) for label, n in row[2])})"""
+
+
+def device_sources(spark, sf):
+    """Sources of thirty lines under a device header, one more header that the port drops."""
+    key, line = F.col("p_partkey"), None
+    for i, (text, _, _) in enumerate(DEVICE_LINES):
+        made = F.format_string(text.replace("%", "%%").replace("{s}", "%1$s"), F.col("p_size").cast("string"))
+        line = F.when(key % len(DEVICE_LINES) == i, made) if line is None else line.when(key % len(DEVICE_LINES) == i, made)
+    rows = v.table(spark, sf, "part").select(F.floor(key / 30).cast("bigint").alias("path"), key.alias("p"), line.alias("line"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda r: r["line"]), "\n")
+    head = F.lit('#include <cuda_runtime.h>\n#include "extra.cuh"\n#include <vector>\n')
+    return rows.groupBy("path").agg(F.concat(head, body).alias("source"))
+
+
+@query(
+    "F13_device_rewrite",
+    f"""WITH {_LINES_SQL} SELECT path, '#include <hip/hip_runtime.h>' || chr(10) || '#include <vector>' || chr(10) || '#define WAVEFRONT_SIZE 64' || chr(10)
+      || string_agg(line, chr(10) ORDER BY p) AS new_source FROM lines GROUP BY 1""",
+)
+def device_rewrite(spark, sf):
+    return rewrite(device_sources(spark, sf), DEVICE_RENAMES).select("path", "new_source")
+
+
+@query(
+    "F13_device_changes",
+    f"""WITH {_LINES_SQL}, n AS (
+      SELECT path, label, CAST(sum(n) AS BIGINT) AS n FROM lines JOIN logged ON m = p % {len(DEVICE_LINES)} GROUP BY 1, 2
+      UNION ALL SELECT DISTINCT path, unnest(['cuda_runtime.h→hip/hip_runtime.h', 'local .cuh headers removed', '#define WAVEFRONT_SIZE 64 added']), CAST(1 AS BIGINT) FROM lines)
+    SELECT path, label, n FROM n""",
+)
+def device_changes(spark, sf):
+    changed = rewrite(device_sources(spark, sf), DEVICE_RENAMES).select("path", F.inline("changes"))
+    return changed.groupBy("path", "label").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "F21_all_findings",
+    f"""WITH {OLD_SQL}, f AS (SELECT path, name, p, lines + 1 AS line, count(*) OVER (PARTITION BY path, name) AS n,
+        row_number() OVER (PARTITION BY path, name ORDER BY p) AS nth FROM placed WHERE m IN (2, 3, 7))
+    SELECT path, 'duplicate-definition' AS rule, 'error' AS severity, CAST(line AS BIGINT) AS line, name AS evidence,
+      row_number() OVER (PARTITION BY path ORDER BY line) AS position FROM f WHERE n > 1 AND nth = 2""",
+)
+def all_findings(spark, sf):
+    """All static rules in one report, each unit's findings in their order."""
+    found = all_source_findings(units(named_parts(spark, sf)))
+    placed = order_findings(found).select("path", "rule", "severity", F.col("line").cast("bigint").alias("line"), "evidence", "position")
+    return placed
