@@ -64,6 +64,13 @@ def passages(data: bytes, size: int = PASSAGE_BYTES) -> np.ndarray:
     return np.sqrt(np.maximum(out, 0))
 
 
+def spread(rows: np.ndarray, count: int) -> np.ndarray:
+    """At most `count` of the rows, evenly spaced, the first and the last among them."""
+    if len(rows) <= count:
+        return rows
+    return rows[np.linspace(0, len(rows) - 1, count).round().astype(np.int64)]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -185,19 +192,21 @@ def quality_classifier(
     per_class: int = 1000,
     parts: int = 5,
     part: int = 0,
+    per_text: int = 64,
 ) -> DataFrame:
     """Score every row: doc_id, held_out, score (0 to 1), predicted, top_attention, n_passages.
 
     Every passage of a text is encoded; learned gated attention weighs the codes and
     the weighted mean is scored.  Only rows of `marks` whose crc32(doc_id as text)
     modulo `parts` is not `part` are learned from, at most `per_class` texts of each
-    class, whose passage features go to the driver.  Scores come from the text alone.
+    class and of each text at most `per_text` evenly spaced passages, whose features go to
+    the driver.  Scores come from the text alone.
     A null text scores as an empty one, which is one empty passage.
     """
     sample = training_rows(docs, marks, label, id_col, text_col, parts, part, per_class)
     found = map_texts(
         sample, ["target"], "text",
-        lambda texts: [pa.array([passages(t).astype("<f2").tobytes() for t in texts], pa.binary())], "rows binary",
+        lambda texts: [pa.array([spread(passages(t), per_text).astype("<f2").tobytes() for t in texts], pa.binary())], "rows binary",
     ).collect()
     target = np.array([r["target"] for r in found], np.int64)
     rows = [np.frombuffer(bytes(r["rows"]), "<f2").reshape(-1, FEATURES).astype(np.float32) for r in found]

@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rivulant.llm.quality_classifier import Network, fit as fit_network, passages, quality_classifier
+from rivulant.llm.quality_classifier import _KIND, FEATURES, KINDS, Network, fit as fit_network, passages, quality_classifier, spread
 from rivulant.llm.quality_rules import MEASURES, fit_accuracies, measure, quality_filter, quality_rules
-from rivulant.llm.toxicity import fit, grams, toxicity
+from rivulant.llm.toxicity import bucket_counts, evidence, fit, grams, toxicity
 
 SF = "/root/testdata/sf0.1"
 LINES = ["", "a", "a b c", "a b c a b c", "x\nx\n \n\x0b\nx", "É ü\tÉ ü é #$%&|<>*", "one two three four " * 3, "AB!! C1!", "x " * 400]
@@ -158,3 +158,107 @@ def test_long_text_goes_through_in_blocks(monkeypatch):
     monkeypatch.setattr("rivulant.llm.quality_classifier.BLOCK_PASSAGES", 2)
     for (a, _, n), (b, _, m) in zip(whole, map(net.score, texts)):
         assert n == m and a == pytest.approx(b, abs=1e-6)
+
+
+def slow_grams(text, sizes=(4, 5, 6), bits=20):
+    """Every n-gram of characters on its own."""
+    low = "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else " " if c in "\t\n\x0b\x0c\r" else c for c in f" {text} ")
+    out = set()
+    for size in sizes:
+        for i in range(len(low) - size + 1):
+            h = 0
+            for step, c in enumerate(low[i : i + size], 1):
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ (ord(c) + step & 0xFFFFFFFF)
+            h = (h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF
+            h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+            out.add(h >> 32 - bits)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("text", ["", "a", "Ab\tC d", "naïve Größe ÄÖÜ", "токсичный текст и ещё", "有毒的文本也是如此", "mixed 😀 emoji 😀 text", "x" * 50])
+def test_grams_of_characters(text):
+    want = slow_grams(text)
+    assert grams(text.encode()).tolist() == want
+    for block in (1, 3, 7):
+        assert grams(text.encode(), block=block).tolist() == want
+
+
+def test_counts_in_tasks_choose_the_same_buckets(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["good", "nice", "vile", "é", "bad"], 30)) for _ in range(60)]
+    target = np.array([int("vile bad" in t) for t in texts])
+    df = spark.createDataFrame(list(zip(target.tolist(), texts)), "target int, text string")
+    seen, toxic = bucket_counts(df, (4, 5, 6), 16)
+    want = np.zeros((2, 1 << 16), int)
+    for t, y in zip(texts, target):
+        want[0][slow_grams(t, bits=16)] += 1
+        want[1][slow_grams(t, bits=16)] += y
+    assert (seen == want[0]).all() and (toxic == want[1]).all()
+    rows = [grams(t.encode(), bits=16) for t in texts]
+    whole = fit(rows, target, np.ones(60), bits=16, features=50)
+    assert whole.buckets.tolist() == evidence(seen, toxic, 60, int(target.sum()), 50, 1.0).kept.tolist()
+
+
+def slow_passages(data, size=512):
+    """The features of each passage, counted byte by byte."""
+    out = []
+    for lo in range(0, max(1, len(data)), size):
+        part = data[lo : lo + size]
+        n, row = max(1, len(part)), [0.0] * FEATURES
+        kinds = [int(_KIND[b]) for b in part]
+        for a, b in zip(kinds, kinds[1:]):
+            row[a * KINDS + b] += 1 / n
+        for k in kinds:
+            row[KINDS * KINDS + k] += 1 / n
+        blanks = sum(k in (3, 4, 5) for k in kinds)
+        quads = [part[i : i + 4] for i in range(len(part) - 3)]
+        row[-4:] = n / size, (n - blanks) / (blanks + 1) / 16, (len(quads) - len(set(quads))) / n, len(data) / (len(data) + 2000)
+        out.append(row)
+    return np.sqrt(np.array(out))
+
+
+def test_passages_by_hand():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 3, 4, 511, 512, 513, 1500):
+        data = bytes(rng.choice(list("aZ5 .\n|é#".encode()), n).astype(np.uint8))
+        assert passages(data) == pytest.approx(slow_passages(data), abs=2e-3)
+    rows = np.arange(100)[:, None]
+    assert spread(rows, 5).ravel().tolist() == [0, 25, 50, 74, 99] and len(spread(rows, 200)) == 100
+
+
+def test_posterior_in_spark_equals_plain_votes(spark):
+    """kept and posterior of every row, worked out from the measures by hand with a plain EM over all texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = quality_rules(docs).collect()
+
+    def cast(r):
+        w, letters = r.n_words, r.word_chars
+        v = lambda good, bad: -1 if bad else 1 if good else 0
+        return {
+            "symbols": v(w > 0 and r.n_symbols * 100 <= w, w > 0 and r.n_symbols * 10 > w),
+            "repetition": v(w >= 50 and r.n_repeat_words * 10 <= w, w > 0 and r.n_repeat_words * 10 > w * 3),
+            "symbol_density": v(w > 0 and r.n_symbols * 200 <= letters, w > 0 and r.n_symbols * 50 > letters),
+        }
+
+    for r in rows:
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert r.base_failed == failed and r.kept == (not failed and r.posterior >= 0.5)
+    passing = [r for r in rows if not r.base_failed]
+    worse = [r for r in passing if any(x < 0 for x in cast(r).values())]
+    better = [r for r in passing if all(x > 0 for x in cast(r).values())]
+    assert better and np.mean([r.posterior for r in better]) > 0.9
+    if worse:
+        assert np.mean([r.posterior for r in worse]) < np.mean([r.posterior for r in better])
+
+
+def test_posterior_follows_bayes():
+    rng = np.random.default_rng(11)
+    patterns = rng.integers(-1, 2, (40, 3))
+    counts = rng.integers(1, 50, 40)
+    prior, chances = fit_accuracies(patterns, counts)
+    for row in patterns:
+        bad, good = 1 - prior, prior
+        for rule, vote in enumerate(row):
+            bad, good = bad * chances[rule, 0, vote + 1], good * chances[rule, 1, vote + 1]
+        logit = np.log(prior / (1 - prior)) + sum(np.log(chances[i, 1, v + 1] / chances[i, 0, v + 1]) for i, v in enumerate(row))
+        assert 1 / (1 + np.exp(-logit)) == pytest.approx(good / (good + bad))
