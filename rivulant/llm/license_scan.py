@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Sequence
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from rivulant.llm.common import map_texts
 from rivulant.llm.license_pack import RULES, SENTENCES
 
-MAX_BETWEEN = 4
+BETWEEN = 4
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _STEP = re.compile(rb"[a-z0-9\x80-\xff]+|\n|[.!?:;](?=[ \t\r\n]|\Z)")
 _END = re.compile(rb"\n|[.!?:;](?=[ \t\r\n]|\Z)")
@@ -26,8 +27,12 @@ def normal_words(sentence: bytes) -> list[bytes]:
 class Scanner:
     """Known sentences as a tree of words, and the ordered rules."""
 
-    def __init__(self, sentences: Sequence[tuple[str, str]] = SENTENCES, rules: Sequence[tuple[str, tuple[str, ...]]] = RULES):
+    def __init__(
+        self, sentences: Sequence[tuple[str, str]] = SENTENCES, rules: Sequence[tuple[str, tuple[str, ...]]] = RULES,
+        between: int | None = BETWEEN,
+    ):
         self.tree: dict = {}
+        self.between = between
         for name, sentence in sentences:
             node = self.tree
             for word in normal_words(sentence.encode()):
@@ -66,13 +71,14 @@ class Scanner:
                 out.append((hit[0], m.start(1), hit[1]))
         return out
 
+    def _ends(self, text: bytes, start: int, after: int) -> int:
+        """Line and sentence ends between two places, counted up to one more than are allowed."""
+        return sum(1 for _ in itertools.islice(_END.finditer(text, start, after), self.between + 1))
+
     def licences(self, text: bytes, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """(licence, start, end) by the rules, from left to right; more than MAX_BETWEEN line or sentence ends part a sequence."""
+        """(licence, start, end) by the rules, from left to right; more than `between` line or sentence ends part a sequence."""
         out, i = [], 0
-        near = [
-            len(_END.findall(text, a[2], min(b[1], a[2] + 4096))) <= MAX_BETWEEN and b[1] - a[2] <= 4096
-            for a, b in zip(found, found[1:])
-        ]
+        near = [self.between is None or self._ends(text, a[2], b[1]) <= self.between for a, b in zip(found, found[1:])]
         while i < len(found):
             step = 1
             for licence, wanted in self.rules:
@@ -91,15 +97,17 @@ def license_scan(
     text_col: str = "text",
     sentences: Sequence[tuple[str, str]] = SENTENCES,
     rules: Sequence[tuple[str, tuple[str, ...]]] = RULES,
+    between: int | None = BETWEEN,
 ) -> DataFrame:
     """Per row: doc_id, n_sentences (known ones), sentences (their identifiers) and licences, in order.
 
     `licences` has one struct (licence, start, end) per match, with byte offsets of the
-    whole text.  A sentence may run over line ends.  Null and empty texts have none;
+    whole text.  A sentence may run over line ends.  The sentences of one rule may have up to
+    `between` other line or sentence ends between one and the next, any number if None.  Null and empty texts have none;
     repeated rows give equal results; other columns are not read.  One pass, no shuffle:
     the pack is a few kB and travels with the function.
     """
-    scanner = Scanner(sentences, rules)
+    scanner = Scanner(sentences, rules, between)
 
     def run(texts: list[bytes]) -> list[pa.Array]:
         found = [scanner.sentences(t) for t in texts]

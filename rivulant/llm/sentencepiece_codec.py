@@ -17,7 +17,6 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from rivulant.llm.common import map_texts
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-LONG_WORD = 48
+LONG_WORD = 48  # longer words are cut where no piece reaches across, longer parts are filled up to share a batch
 CACHE_WORDS = 300_000
 BLOCK_BYTES = 4 << 20
 _WORDS = re.compile(rb" +[^ ]*")
@@ -126,6 +125,8 @@ class PieceTable:
         self.scores = np.array([model["scores"][i] for i in normal], np.float64)
         self.unknown = (self.scores.min() if len(normal) else 0.0) - 10.0
         self.longest = max((len(t) for t in self.token), default=1)
+        joints = {ord(x) << 32 | ord(y) for t in self.token for x, y in zip(t, t[1:])}
+        self.joints = np.array(sorted(joints), np.uint64)
         keys = {int(_prefix(_codes([t]))[0, -1]) ^ len(t): i for t, i in self.token.items()}
         self.keys = np.array(sorted(keys), np.uint64)
         self.likely = np.zeros(int(_SIEVE) + 1, bool)
@@ -173,38 +174,26 @@ class PieceTable:
             alive, a, b = alive[go], na[go], nb[go]
         return good
 
-    @lru_cache(maxsize=200_000)  # noqa: B019 - one table per worker
-    def _pair(self, a: int, b: int) -> bool:
-        return bool(self.compatible(np.array([a]), np.array([b]))[0])
-
-    def encode_long(self, word: str) -> list[int]:
-        """The same recurrence for one long word, character by character."""
-        best, back, last = [0.0], [0], [-1]
-        for end in range(1, len(word) + 1):
-            top = None
-            for size in range(1, min(self.longest, end) + 1):
-                t = self.token.get(word[end - size : end], -1)
-                if t < 0 and size > 1:
-                    continue
-                before = last[end - size]
-                if self.bpe and t >= 0 and before >= 0 and not self._pair(before, t):
-                    continue
-                value = best[end - size] + (self.scores[t] if t >= 0 else self.unknown)
-                if top is None or value > top[0]:
-                    top = (value, size, t)
-            best.append(top[0])
-            back.append(top[1])
-            last.append(top[2])
-        out, end = [], len(word)
-        while end:
-            t = last[end]
-            out.append([int(self.ids[t])] if t >= 0 else self.byte_ids[list(word[end - 1].encode())].tolist())
-            end -= back[end]
-        return [i for part in reversed(out) for i in part]
+    def cut(self, word: str) -> list[str]:
+        """The word in parts between which no piece reaches: no piece holds the two signs side by side.
+
+        Merges and paths of one part then do not depend on the others.
+        """
+        codes = _codes([word])[0]
+        pair = codes[:-1] << np.uint64(32) | codes[1:]
+        at = np.minimum(np.searchsorted(self.joints, pair), max(0, len(self.joints) - 1))
+        apart = np.flatnonzero(self.joints[at] != pair) + 1 if len(self.joints) else np.arange(1, len(word))
+        edges = [0, *apart.tolist(), len(word)]
+        return [word[i:j] for i, j in zip(edges, edges[1:])]
 
     def encode_equal(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in a row, ids per word) of sorted words of one length, advancing together."""
-        codes = _codes(words)
+        """(ids in a row, ids per word) of sorted words of about one length, advancing together.
+
+        Shorter words are filled up at the end, which their own paths never reach.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        longest = int(lengths.max())
+        codes = _codes(words if (lengths == longest).all() else [w.ljust(longest, "\x00") for w in words])
         count, n = codes.shape
         prefix = _prefix(codes)
         power = np.ones(n + 1, np.uint64)
@@ -241,7 +230,7 @@ class PieceTable:
             piece, step = np.full(len(lead), -1, np.int64), np.ones(len(lead), np.int64)
             top[rows], piece[rows], step[rows] = value[order], token[order], size[order]
             best[end], last[end], back[end] = top[owner], piece[owner], step[owner]
-        at = np.full(count, n)
+        at = lengths.copy()
         steps, rows = [], np.arange(count)
         while at.any():
             live = at > 0
@@ -290,23 +279,40 @@ class Codec:
         texts = b"\x00".join(words).decode("utf-8", "replace").replace(" ", SPACE).split("\x00")
         if len(texts) != len(words):  # a word with a zero byte
             texts = [w.decode("utf-8", "replace").replace(" ", SPACE) for w in words]
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        parts, held = [], np.ones(len(texts), np.int64)  # the parts of all words in a row, and how many each has
+        for i, text in enumerate(texts):
+            if len(text) <= LONG_WORD or self.table.bpe and text.startswith(SPACE * 2):
+                parts.append(text)
+            else:
+                cut = self.table.cut(text)
+                parts += cut
+                held[i] = len(cut)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        long = np.flatnonzero(sizes > LONG_WORD)
+        sizes[long] = 1 << np.ceil(np.log2(sizes[long])).astype(np.int64)  # long parts advance with those up to twice as long
         if self.table.bpe:  # runs of blanks share one score: merges in their defined order
-            sizes[[t.startswith(SPACE * 2) for t in texts]] = -1
-        sizes[sizes > LONG_WORD] = -2
+            sizes[[t.startswith(SPACE * 2) for t in parts]] = -1
         order = np.argsort(sizes, kind="stable")
         kinds, begins = np.unique(sizes[order], return_index=True)
+        found, counts, places = [np.zeros(0, np.int32)], [], []
         for kind, group in zip(kinds.tolist(), np.split(order, begins[1:])):
-            group = sorted(group.tolist(), key=texts.__getitem__)
-            of_kind = [texts[i] for i in group]
+            group = sorted(group.tolist(), key=parts.__getitem__)
+            of_kind = [parts[i] for i in group]
             if kind > 0:
                 ids, count = self.table.encode_equal(of_kind)
             else:
-                coded = [self._merged(t) if kind == -1 else self.table.encode_long(t) for t in of_kind]
+                coded = [self._merged(t) for t in of_kind]
                 ids, count = np.array([i for c in coded for i in c], np.int32), np.array([len(c) for c in coded])
-            self.seen.update(zip([words[i] for i in group], range(len(self.seen), len(self.seen) + len(group))))
-            self.pool = np.concatenate([self.pool, ids])
-            self.lengths = np.concatenate([self.lengths, count])
+            found.append(ids)
+            counts.append(count)
+            places += group
+        count, ids = np.concatenate(counts), np.concatenate(found)
+        back = np.argsort(np.array(places))  # from the order of the groups to that of the parts
+        begin, size = (np.cumsum(count) - count)[back], count[back]
+        ids = ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        self.seen.update(zip(words, range(len(self.seen), len(self.seen) + len(words))))
+        self.pool = np.concatenate([self.pool, ids])
+        self.lengths = np.concatenate([self.lengths, np.add.reduceat(size, np.cumsum(held) - held)])
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def _merged(self, text: str) -> list[int]:

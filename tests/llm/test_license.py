@@ -49,6 +49,35 @@ def test_sequences():
     assert names("\n".join([bsd[1], bsd[0], bsd[2]])) == []
 
 
+def test_gaps_are_a_parameter():
+    bsd = [BY_NAME[w] for w in ("bsd-use", "bsd-source", "bsd-binary")]
+    text = "\n".join([*bsd[:2], *["other words."] * 900, bsd[2]]).encode()
+    for between, want in ((None, ["BSD-2-Clause"]), (4, []), (2000, ["BSD-2-Clause"])):
+        s = Scanner(between=between)
+        assert [x[0] for x in s.licences(text, s.sentences(text))] == want
+    wide = "\n".join([*bsd[:2], "w " * 9000, bsd[2]]).encode()  # far apart, few ends
+    assert [x[0] for x in Scanner().licences(wide, Scanner().sentences(wide))] == ["BSD-2-Clause"]
+
+
+@pytest.mark.parametrize("licence, words", [
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-more", "lgpl-copy")), ("AGPL-3.0-or-later", ("agpl3-free", "gpl-hope", "agpl-more", "agpl-copy", "gpl-else")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-more", "gpl-copy", "gpl-else")), ("MPL-2.0", ("mpl2-terms", "mpl2-copy")),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant", "zlib-origin", "zlib-product", "zlib-altered", "zlib-notice")),
+    ("0BSD", ("0bsd-grant", "isc-as-is", "isc-liable")), ("ISC", ("isc-grant", "isc-as-is", "isc-liable")), ("CC0-1.0", ("cc0-waiver", "cc0-warranty")),
+])
+def test_whole_notices_inside_comments(licence, words):
+    notice = " ".join(BY_NAME[w] for w in words)
+    lines = [notice[i : i + 60] for i in range(0, len(notice), 60)]
+    wrapped = "\n".join(" * " + line.strip() for line in notice.replace(". ", ".\n * ").split("\n"))
+    assert names("/*\n" + wrapped + "\n */\nint main() {}\n") == [licence] and lines
+
+
+def test_spdx_lines_and_titles():
+    assert names("// SPDX-License-Identifier: LGPL-3.0-or-later\n# SPDX-License-Identifier: MIT-0\n") == ["LGPL-3.0-or-later", "MIT-0"]
+    assert names("MIT License\n\nCopyright (c) 2020 A B\n") == ["MIT"]
+    assert names("SPDX-License-Identifier: Nonsense-1.0\n") == []
+
+
 def plain(text):
     """All unit starts against all sentences, longest first."""
     lines, out = text.split("\n"), []

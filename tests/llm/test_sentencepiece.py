@@ -37,6 +37,33 @@ def test_ids_are_the_library_s(codec, library):
     assert [t.decode() for t in codec.decode(ids, sizes)] == [t.replace("▁", " ") for t in cases]
 
 
+def test_long_words_go_in_batches(codec, library, monkeypatch):
+    """Texts without blanks and long runs: cut where no piece reaches, ids as the library's, no word by itself."""
+    rnd = random.Random(9)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 900)] + list("，。、")
+    cases = ["".join(rnd.choices(signs, k=n)) for n in (60, 800, 5000)]
+    cases += ["-" * 700 + "=" * 333, "ab" * 400, "https://x.org/" + "".join(rnd.choices("abcdef0123456789/%", k=1500)), "é" * 90, "\x00" * 60]
+    cases += ["".join(rnd.choices(["the", "ing", "日", "xyz", "--", "\t"], k=rnd.randint(20, 300))) for _ in range(60)]
+    calls, real = [], codec.table.encode_equal
+    monkeypatch.setattr(codec.table, "encode_equal", lambda words: calls.append(len(words)) or real(words))
+    codec._forget()
+    ids, sizes = codec.encode([t.encode() for t in cases])
+    at = np.append(0, np.cumsum(sizes))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == library.encode(cases)
+    assert sum(calls) > 10 * len(calls)
+    for word in cases:
+        parts = codec.table.cut(word)
+        assert "".join(parts) == word and all(parts)
+        assert not any(a[-1] + b[0] in piece for a, b in zip(parts[:20], parts[1:20]) for piece in codec.table.token)
+
+
+def test_indented_source(codec, library):
+    lines = ["    " * (i % 7) + f"if value_{i} > {i % 13}:" + "\t" * (i % 3) + " " * (i % 11) + "return x" for i in range(2000)]
+    text = "\n".join(lines)
+    ids, _ = codec.encode([text.encode()])
+    assert ids.tolist() == library.encode(text)
+
+
 def test_words_are_forgotten(library, monkeypatch):
     monkeypatch.setattr("rivulant.llm.sentencepiece_codec.CACHE_WORDS", 5)
     monkeypatch.setattr("rivulant.llm.sentencepiece_codec.BLOCK_BYTES", 40)
