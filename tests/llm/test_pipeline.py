@@ -65,6 +65,31 @@ def test_pipeline(spark, folder):
     assert Counter((r.doc_id, r.source, str(r.token_ids)) for r in got) == plain(docs)
 
 
+def test_training_order_reaches_the_end(spark, folder):
+    """position is the place in the mix's order, pass counts a document's turns in that order."""
+    from pyspark.sql import functions as F
+
+    from rivulant.llm.mixing import mix
+    from rivulant.plans.scratch import scratch_path
+
+    path, docs = folder, spark.read.parquet(f"{folder[0]}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = scratch_path(spark, "stage")
+        stage(spark, docs, path[0]).write.parquet(out)
+        docs = spark.read.parquet(out)
+    takes = mix(docs).select("doc_id", F.explode("positions").alias("p")).select("doc_id", "p.position", "p.pass").collect()
+    want = [(r.doc_id, r["pass"]) for r in sorted(takes, key=lambda r: (r.position, r.doc_id))]
+    rows = sorted(corpus_pipeline.run(spark, path[0]).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(1, len(rows) + 1))
+    assert [(r.doc_id, r["pass"]) for r in rows] == want and max(r["pass"] for r in rows) == 2
+
+
+def test_rows_without_files_have_no_place(spark):
+    df = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    row = corpus_pipeline.tokens(spark, df, "").first()
+    assert row.position is None and row["pass"] is None and row.round_trip
+
+
 def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
