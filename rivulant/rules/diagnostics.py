@@ -8,21 +8,18 @@ DIAGNOSTIC_LINE = r"(?:^|\s)([^\s:]+):(\d+):(\d+):\s*(?:fatal\s+)?(error|warning
 MESSAGE_PLACE = r"^[^:\n]+:\d+:\d+:\s*"
 NOTE_LINE = r":\d+:\d+:\s*(?:note|remark):"
 
-_Q = r"""['"]?"""
 MISSING_HEADER = r"""['"]([^'"]+\.[Hh](?:pp|xx|h)?|[^'"]+\.cuh)['"] file not found"""
-NO_MEMBER = rf"no member named {_Q}([A-Za-z_]\w*){_Q} in {_Q}([A-Za-z_][\w:<>]*){_Q}"
+NO_MEMBER = r"""no member named ['"]?([A-Za-z_]\w*)['"]? in ['"]?([A-Za-z_][\w:<>]*)['"]?"""
 UNDECLARED = (
-    rf"use of undeclared identifier {_Q}([A-Za-z_]\w*){_Q}"
-    rf"(?:.*?;?\s*did you mean {_Q}([A-Za-z_]\w*){_Q})?"
+    r"""use of undeclared identifier ['"]?([A-Za-z_]\w*)['"]?"""
+    r"""(?:.*?;?\s*did you mean ['"]?([A-Za-z_]\w*)['"]?)?"""
 )
-UNKNOWN_TYPE = (
-    rf"unknown type name {_Q}([A-Za-z_]\w*){_Q}(?:.*?did you mean {_Q}([A-Za-z_:<>]+){_Q})?"
-)
-NO_TEMPLATE = rf"no template named {_Q}([A-Za-z_]\w*){_Q}"
+UNKNOWN_TYPE = r"""unknown type name ['"]?([A-Za-z_]\w*)['"]?(?:.*?did you mean ['"]?([A-Za-z_:<>]+)['"]?)?"""
+NO_TEMPLATE = r"""no template named ['"]?([A-Za-z_]\w*)['"]?"""
 UNDEFINED_TEMPLATE = r"""implicit instantiation of undefined template ['"]([A-Za-z_][\w:]*)"""
-NOT_A_TYPE = rf"{_Q}([A-Za-z_]\w*){_Q} (?:does not name a type|was not declared in this scope)"
-NO_MATCHING = rf"no matching function for call to {_Q}([A-Za-z_]\w*){_Q}"
-ARG_COUNT = rf"(too few|too many) arguments to (?:function call|function {_Q}([A-Za-z_]\w*){_Q})"
+NOT_A_TYPE = r"""['"]?([A-Za-z_]\w*)['"]? (?:does not name a type|was not declared in this scope)"""
+NO_MATCHING = r"""no matching function for call to ['"]?([A-Za-z_]\w*)['"]?"""
+ARG_COUNT = r"""(too few|too many) arguments to (?:function call|function ['"]?([A-Za-z_]\w*)['"]?)"""
 
 # (kind, pattern, group of the symbol, group of the suggestion, group of the owner)
 MESSAGE_SHAPES = (

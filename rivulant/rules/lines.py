@@ -36,6 +36,7 @@ CODE_MARKS = (
     "--", "+=", "-=", "*=", "/=",
 )
 
+# --- fixed values: shapes of prose lines -------------------------------------------------
 REASONING = r"(?i)^\s*(?:" + "|".join(REASONING_LEADS) + ")"
 SECTION_HEADING = r"(?i)^\s*(?:" + "|".join(HEADINGS) + r")\s*:\s*(?:$|[A-Z])"
 MARKDOWN_HEADING = r"^\s*#{1,6}\s+[A-Za-z]"
@@ -58,6 +59,7 @@ PROSE_KINDS = (
     ("prose-sentence", SENTENCE, True),
 )
 
+# --- fixed values: reject labels and their patterns
 # (reason, pattern over the whole text) — the first match rejects the text
 WHOLE_TEXT_REJECTS = (
     ("markdown code fence", "(?m)" + MARKDOWN_FENCE),
@@ -67,6 +69,7 @@ WHOLE_TEXT_REJECTS = (
     ("markdown bold", "(?m)" + MARKDOWN_BOLD),
 )
 
+# --- fixed values: marks of a cut text ---------------------------------------------------
 TRUNCATION_MARK = (
     r"(?im)^\s*(?://\s*\.\.\.\s*(?:rest|remaining|truncated|omitted)|/\*\s*\.\.\.\s*\*/"
     r"|//\s*TRUNCATED|<!--\s*TRUNCATED|#\s*\.\.\.|\.\.\.\s*$)"
