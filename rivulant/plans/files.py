@@ -37,10 +37,14 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    target = _at(spark, path)[1]
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(there, target)
+    # a rename that replaces its target in one step, where a delete and a rename would leave a moment without either
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    kind = getattr(hadoop, "Options$Rename")
+    over = gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    target = fs.makeQualified(_at(spark, path)[1])
+    context = hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(there), target, over)
 
 
 def get_text(spark: SparkSession, path: str) -> str | None:
