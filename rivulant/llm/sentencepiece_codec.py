@@ -10,6 +10,11 @@ A unigram model takes the path of highest score.  A BPE model replays merges ins
 and the best-scoring path is not its result; there a piece may only follow one that
 BPE itself could put before it (`PieceTable.compatible`), which leaves exactly one
 path, the model's own.  Characters without a piece become their UTF-8 bytes.
+
+Runs of blanks share one score in such a model, the worst of all: letters merge first,
+then each blank joins the run before it while a piece allows.  The last piece of a run
+of n blanks is thus one more backpointer, by n alone, and words that begin with several
+blanks go with the others.
 """
 
 from __future__ import annotations
@@ -139,6 +144,40 @@ class PieceTable:
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_len = np.array([len(s) for s in spelled], np.int64)
         self.spelled_at = np.cumsum(self.spelled_len) - self.spelled_len
+        self._find_blanks(model, rank)
+
+    def _find_blanks(self, model: dict, rank: dict[str, tuple]) -> None:
+        """Pieces of blanks only, and whether they merge after all others and hold no letter (`blanks_last`)."""
+        runs = {len(t): i for t, i in self.token.items() if not t.strip(SPACE)}
+        self.run_ids = np.zeros(max(runs, default=0) + 1, np.int32)
+        for size, i in runs.items():
+            self.run_ids[size] = self.ids[i]
+        self.run_sizes = frozenset(runs)
+        worst = max((r for t, r in rank.items() if t.strip(SPACE)), default=(-np.inf,))
+        shared = {r for t, r in rank.items() if not t.strip(SPACE)}
+        apart = not any(SPACE in t[1:] and t.strip(SPACE) for t in self.token)
+        self.blanks_last = self.bpe and 1 in runs and apart and len(shared) <= 1 and all(r > worst for r in shared)
+        self.run_back = bytearray(1) if max(runs, default=0) < 256 else [0]  # size of the last piece of n blanks
+
+    def runs(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, ids per run) of runs of so many blanks, walked back together.
+
+        Of equal ranks the leftmost pair merges first, so right of the place at work lie single blanks: the next
+        one joins the piece before it if both are a piece, and what comes of it the piece before that.
+        """
+        back, known = self.run_back, self.run_sizes
+        for n in range(len(back), int(lengths.max()) + 1):
+            size = 1
+            while size < n and size + back[n - size] in known:
+                size += back[n - size]
+            back.append(size)
+        steps, at, table = [], lengths.copy(), np.array(back, np.int64)
+        while at.any():
+            steps.append(table[at])
+            at -= steps[-1]
+        sizes = np.stack(steps[::-1], axis=1)
+        used = sizes > 0
+        return self.run_ids[sizes[used]], used.sum(axis=1)
 
     @staticmethod
     def _last_merge(text: str, rank: dict[str, tuple]) -> tuple[str, str] | None:
@@ -280,41 +319,64 @@ class Codec:
         if len(texts) != len(words):  # a word with a zero byte
             texts = [w.decode("utf-8", "replace").replace(" ", SPACE) for w in words]
         parts, held = [], np.ones(len(texts), np.int64)  # the parts of all words in a row, and how many each has
+        runs: dict[int, int] = {}  # parts that are blanks before a word's last one, and how many
+        by_itself = self.table.bpe and not self.table.blanks_last
         for i, text in enumerate(texts):
-            if len(text) <= LONG_WORD or self.table.bpe and text.startswith(SPACE * 2):
+            start = len(parts)
+            if self.table.blanks_last and text.startswith(SPACE * 2):
+                blanks = len(text) - len(text.lstrip(SPACE))
+                runs[start] = blanks - 1
+                parts.append("")
+                text = text[blanks - 1 :]
+            if len(text) <= LONG_WORD or by_itself and text.startswith(SPACE * 2):
                 parts.append(text)
             else:
-                cut = self.table.cut(text)
-                parts += cut
-                held[i] = len(cut)
+                parts += self.table.cut(text)
+            held[i] = len(parts) - start
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         long = np.flatnonzero(sizes > LONG_WORD)
         sizes[long] = 1 << np.ceil(np.log2(sizes[long])).astype(np.int64)  # long parts advance with those up to twice as long
-        if self.table.bpe:  # runs of blanks share one score: merges in their defined order
+        if by_itself:  # blanks merge before some letters: merges in their defined order
             sizes[[t.startswith(SPACE * 2) for t in parts]] = -1
         order = np.argsort(sizes, kind="stable")
         kinds, begins = np.unique(sizes[order], return_index=True)
-        found, counts, places = [np.zeros(0, np.int32)], [], []
+        found, total = [np.zeros(0, np.int32)], 0
+        begin, size = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+
+        def place(group: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+            nonlocal total
+            begin[group], size[group] = total + np.cumsum(count) - count, count
+            found.append(ids)
+            total += len(ids)
+
         for kind, group in zip(kinds.tolist(), np.split(order, begins[1:])):
             group = sorted(group.tolist(), key=parts.__getitem__)
             of_kind = [parts[i] for i in group]
             if kind > 0:
-                ids, count = self.table.encode_equal(of_kind)
-            else:
+                place(group, *self.table.encode_equal(of_kind))
+            elif kind < 0:
                 coded = [self._merged(t) for t in of_kind]
-                ids, count = np.array([i for c in coded for i in c], np.int32), np.array([len(c) for c in coded])
-            found.append(ids)
-            counts.append(count)
-            places += group
-        count, ids = np.concatenate(counts), np.concatenate(found)
-        back = np.argsort(np.array(places))  # from the order of the groups to that of the parts
-        begin, size = (np.cumsum(count) - count)[back], count[back]
+                place(group, np.array([i for c in coded for i in c], np.int32), np.array([len(c) for c in coded]))
+        if runs:
+            self._lead(np.array(list(runs)), np.array(list(runs.values())), begin, size, np.concatenate(found), place)
+        ids = np.concatenate(found)
         ids = ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         self.seen.update(zip(words, range(len(self.seen), len(self.seen) + len(words))))
         self.pool = np.concatenate([self.pool, ids])
         self.lengths = np.concatenate([self.lengths, np.add.reduceat(size, np.cumsum(held) - held)])
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    def _lead(self, at: np.ndarray, blanks: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray, place) -> None:
+        """Runs of blanks before words: where a word's own blank stayed alone it belongs to the run."""
+        alone = ids[begin[at + 1]] == self.table.run_ids[1]
+        begin[at[alone] + 1] += 1
+        size[at[alone] + 1] -= 1
+        blanks = blanks + alone
+        spread = np.ceil(np.log2(blanks)).astype(np.int64)  # those of about one length together
+        for kind in np.unique(spread).tolist():
+            some = np.flatnonzero(spread == kind)
+            place(at[some], *self.table.runs(blanks[some]))
+
     def _merged(self, text: str) -> list[int]:
         out = []
         for part in merge_word(text, self.table.rank):

@@ -57,6 +57,30 @@ def test_long_words_go_in_batches(codec, library, monkeypatch):
         assert not any(a[-1] + b[0] in piece for a, b in zip(parts[:20], parts[1:20]) for piece in codec.table.token)
 
 
+def test_runs_of_blanks_go_in_batches(codec, library, monkeypatch):
+    """Runs of any length, before letters, signs without a piece and at the end: the library's ids, no word by itself."""
+    rests = ["foo", "", "日本", "𝔘x", "\n", "\t\tx", "x" * 70, "éé", "=", "\x00", "語" * 60]
+    cases = [" " * n + rest for n in [*range(0, 70), 255, 256, 1000, 5003] for rest in rests]
+    cases += [(" " * n).join(rests) + " " * (n + 1) for n in range(1, 40)]
+    monkeypatch.setattr("rivulant.llm.sentencepiece_codec.merge_word", None)
+    codec._forget()
+    ids, sizes = codec.encode([t.encode() for t in cases])
+    at = np.append(0, np.cumsum(sizes))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == library.encode(cases)
+
+
+def test_other_blank_ranks_merge_by_themselves(monkeypatch):
+    """Where blanks outrank letters, or a piece holds blanks and letters, words keep the defined order of merges."""
+    base = read_pieces(DEFAULT_MODEL)
+    first = base | {"scores": [0.0 if p == "▁▁" else s for p, s in zip(base["pieces"], base["scores"])]}
+    mixed = base | {"pieces": ["▁▁in" if p == "▁▁" * 8 else p for p in base["pieces"]]}
+    for model in (first, mixed):
+        codec = Codec(PieceTable(model))
+        assert not codec.table.blanks_last
+        ids, _ = codec.encode([b"   in  the"])
+        assert codec.decode(ids, np.array([len(ids)])) == [b"   in  the"]
+
+
 def test_indented_source(codec, library):
     lines = ["    " * (i % 7) + f"if value_{i} > {i % 13}:" + "\t" * (i % 3) + " " * (i % 11) + "return x" for i in range(2000)]
     text = "\n".join(lines)
