@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rivulant.functions.text import normalize_error, normalize_unknown, short_digest, strip
 from rivulant.operators.similarity import best_match
 from rivulant.plans.digest import ordered_digest
-from rivulant.plans.joins import interval_join, lookup_join
+from rivulant.plans.joins import hot_keys, interval_join, lookup_join
 from rivulant.plans.scratch import settle
 from rivulant.plans.scan import CHUNK, running, segmented_sums, with_halo
 from rivulant.rules import diagnostics as shapes
@@ -220,7 +220,9 @@ def resolve(
     # One row per (key, symbol) with all that is known of it, so diagnostics are joined once.
     known = old.join(new.select(key, F.col("name").alias("symbol"), F.lit(True).alias("in_new")), [key, "symbol"], "full")
     hints = new.select(key, F.col("name").alias("suggestion"), F.lit(True).alias("hint_in_new"))
-    full = settle(lookup_join(lookup_join(diags, known, [key, "symbol"]), hints, [key, "suggestion"]))
+    by_hint = [key, "suggestion"]
+    full = lookup_join(diags, known, [key, "symbol"])
+    full = settle(lookup_join(full, hints, by_hint, hot=hot_keys(diags, by_hint)))
 
     header = _lookup_map(header_map, F.element_at(F.split("symbol", "/"), -1))
     standard = _lookup_map(standard_headers, F.col("symbol"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,30 +132,41 @@ def best_match(left: DataFrame, right: DataFrame, on: Sequence[str], threshold:
     )
 
 
+UNIONS = 16
+
+
 def greedy_pairs(pairs: DataFrame, on: Sequence[str]) -> DataFrame:
     """One-to-one pairing that equals serving the names in sorted order, each taking its best free match.
 
-    Every match prefers the smaller name, so the serial result is the stable
-    matching of proposals: each name proposes to its best remaining match, the
-    smallest proposer holds it, and every pair of a larger name with a held
-    match is struck out.  Rounds are joins over what is left; a round without
-    strikes ends the loop.
+    Each round looks at undecided pairs only.  A name is served when no smaller undecided name lists its
+    best match; its other pairs and those of its match go, as do pairs of a larger name with a match
+    that is the best of a smaller one.  The smallest name of every group of names tied by matches is
+    served in each round, so rounds follow the longest chain of contested matches while only
+    such chains are still read; all other names are done in the first ones.
     """
     on = list(on)
     choice = F.struct((-F.col("similarity")).alias("s"), F.col("match").alias("m"))
-    left = settle(pairs.select(*on, "name", "match", "similarity"))
+    left, served = settle(pairs.select(*on, "name", "match", "similarity")), []
+    columns = left.columns
     while True:
-        best = left.groupBy(*on, "name").agg(F.min(choice).alias("c")).select(
-            *on, "name", F.col("c.m").alias("match"), (-F.col("c.s")).alias("similarity")
-        )
-        held = best.groupBy(*on, "match").agg(F.min("name").alias("_holder"))
-        kept = settle(
-            left.join(held, [*on, "match"], "left")
-            .withColumn("_lost", F.col("_holder").isNotNull() & (F.col("name") > F.col("_holder")))
+        best = left.groupBy(*on, "name").agg(F.min(choice)["m"].alias("_best"))
+        seen = left.join(best, [*on, "name"])
+        wants = F.col("match") == F.col("_best")
+        # per match: the smallest name that lists it, whether it wants it, and the smallest name that wants it
+        claims = seen.groupBy(*on, "match").agg(
+            F.min(F.struct("name", wants.alias("wants"))).alias("_first"), F.min(F.when(wants, F.col("name"))).alias("_holder")
         )
-        if kept.filter("_lost").isEmpty():
-            return best
-        left = kept.filter("NOT _lost").select(*on, "name", "match", "similarity")
+        won = claims.filter("_first.wants").select(*on, F.col("_first.name").alias("name"), F.col("match").alias("_won"))
+        marked = seen.join(claims, [*on, "match"]).join(won, [*on, "name"], "left")
+        is_won = F.col("_won").isNotNull() & (F.col("match") == F.col("_won"))
+        gone = ~is_won & (F.col("_won").isNotNull() | F.col("_first.wants") | (F.col("name") > F.coalesce("_holder", F.col("name"))))
+        kept = settle(marked.filter(~gone).select(*columns, is_won.alias("_served")))
+        served.append(kept.filter("_served").select(*columns))
+        left = kept.filter("NOT _served").select(*columns)
+        if len(served) > UNIONS:
+            served = [settle(reduce(DataFrame.unionAll, served))]
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, served)
 
 
 def rename_candidates(

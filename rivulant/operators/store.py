@@ -86,7 +86,7 @@ def lookup(requests: DataFrame, store: DataFrame) -> DataFrame:
     """Exact-key lookup; an empty signature is a miss.
 
     The store has one row per signature, requests may repeat one signature
-    without bound, so the join is salted on the request side.
+    without bound; only rows of such signatures are repeated in the store.
     """
     served = store.filter(servable() & (F.col("signature") != "")).select(
         "signature",

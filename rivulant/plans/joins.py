@@ -1,4 +1,7 @@
-"""Joins that survive hot keys.  No broadcast hints: AQE broadcasts on measured size."""
+"""Joins that survive hot keys.
+
+The only broadcast hints are on tables whose size a parameter bounds; AQE broadcasts others on measured size.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+SHARE = 1024
+
+
+def hot_keys(facts: DataFrame, on: Sequence[str], share: int = SHARE) -> DataFrame:
+    """(_code, _copies): the keys that hold over one in `share` of all rows, so fewer than `share` of them.
+
+    A key is given by its hash; one that collides with a hot key is dealt like it.  Its rows are
+    to be cut in `_copies` parts, each of one in `share` of all rows; these add up to twice
+    `share` at most.  Reads the key columns once, with counts per key added up before the shuffle.
+    """
+    counts = facts.groupBy(F.xxhash64(*on).alias("_code")).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))  # one row against the counts
+    hot = counts.join(F.broadcast(total), F.col("_n") * share > F.col("_total"))
+    return hot.select("_code", F.ceil(F.col("_n") * share / F.col("_total")).cast("int").alias("_copies"))
 
 
 def lookup_join(
@@ -15,23 +31,27 @@ def lookup_join(
     dim: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    salts: int = SALTS,
+    share: int = SHARE,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join many fact rows to at most one `dim` row per key.
 
-    Facts of one key are spread over `salts` partitions by a hash of the row
-    and the smaller `dim` side is repeated once per salt, so a key with a third
-    of the facts is shared by several tasks.  The salted key never fits a later
-    grouping on `on`, so AQE stays free to split a skewed partition further.
+    Facts of a hot key are dealt to several partitions by a hash of the row, and the
+    `dim` row of that key alone is repeated, so a key with a third of the facts is shared by
+    many tasks and `dim` grows by twice `share` rows at most, whatever its size.  Facts equal in all
+    columns stay together.  `hot` takes the `hot_keys` of the same key columns where `facts` is costly to read twice.
     """
     on = list(on)
+    hot = F.broadcast(hot_keys(facts, on, share) if hot is None else hot)  # fewer than `share` rows of two numbers
     plain = [c for c, kind in facts.dtypes if "map<" not in kind]
-    salt = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
-    left = facts.withColumn("_salt", salt)
-    right = dim.withColumn(
-        "_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]))
-    )
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    code = F.xxhash64(*on)
+    left = facts.withColumn("_code", code).join(hot, "_code", "left")
+    left = left.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(F.lit(1), *plain), F.col("_copies")), F.lit(0)).cast("int"))
+    kinds = dict(facts.dtypes)  # equal numbers of two types have two hashes
+    same = F.xxhash64(*[F.col(k).try_cast(kinds[k]) for k in on])
+    right = dim.withColumn("_code", same).join(hot, "_code", "left")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)))
+    return left.drop("_code", "_copies").join(right.drop("_code", "_copies"), [*on, "_salt"], how).drop("_salt")
 
 
 def bucket_range_join(

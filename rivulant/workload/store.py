@@ -91,7 +91,7 @@ def lookup(spark, sf):
 )
 def count_retrievals(spark, sf):
     sigs = v.staged_signatures(spark, sf)
-    store = ops.merge_store(None, v.store_batch(spark, sf, sigs))
+    store = settle(ops.merge_store(None, v.store_batch(spark, sf, sigs)))  # looked up in and raised
     found = ops.lookup(v.store_requests(spark, sf, sigs), store)
     return ops.count_retrievals(store, found).select("signature", "times_retrieved")
 

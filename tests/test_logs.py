@@ -192,3 +192,30 @@ def test_resolution_order(spark):
         7: ("apply-compiler-rename", "renamed", "warpReduce", False),
         8: (None, None, None, None),
     }
+
+
+def serial_pairs(rows):
+    """Names in sorted order, each taking its best free match."""
+    out, taken = set(), set()
+    for name in sorted({(g, n) for g, n, _, _ in rows}):
+        free = [(-s, m) for g, n, m, s in rows if (g, n) == name and (g, m) not in taken]
+        if free:
+            s, m = min(free)
+            taken.add((name[0], m))
+            out.add((*name, m, -s))
+    return out
+
+
+def test_pairing_equals_serial(spark, monkeypatch):
+    """Random ties, a chain in which each name waits for the one before, and no pairs at all."""
+    monkeypatch.setattr(similarity, "UNIONS", 3)  # the chain has more rounds than that
+    rnd = random.Random(3)
+    rows = {(f"g{g}", f"n{rnd.randint(0, 20):02}", f"m{rnd.randint(0, 12):02}"): rnd.choice([0.75, 0.8, 0.9]) for g in range(4) for _ in range(70)}
+    rows |= {("chain", f"n{i}", f"m{i}"): 0.9 for i in range(6)} | {("chain", f"n{i}", f"m{i - 1}"): 0.95 for i in range(1, 6)}
+    rows = [(*k, s) for k, s in rows.items()]
+    schema = "path string, name string, match string, similarity double"
+    got = similarity.greedy_pairs(spark.createDataFrame(rows, schema), ["path"])
+    assert got.columns == ["path", "name", "match", "similarity"]
+    got = [tuple(r) for r in got.collect()]
+    assert len(got) == len(set(got)) and set(got) == serial_pairs(rows)
+    assert similarity.greedy_pairs(spark.createDataFrame([], schema), ["path"]).count() == 0

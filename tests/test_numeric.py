@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rivulant.operators import compare, numeric
-from rivulant.plans.joins import bucket_range_join, lookup_join
+from rivulant.plans.joins import bucket_range_join, hot_keys, lookup_join
 from rivulant.plans.scan import running, segmented_sums
 
 
@@ -136,3 +136,20 @@ def test_joins_keep_every_row(spark):
     spans = spark.createDataFrame([("p", 3, 40), ("p", 40, 41), ("q", 0, 99)], "g string, s bigint, e bigint")
     pairs = bucket_range_join(points, spans, ["g"], "at", "s", "e", 7)
     assert pairs.filter("s IS NOT NULL").count() == 38 + 2 and pairs.count() == 100 + 1
+
+
+def test_only_hot_keys_are_repeated(spark):
+    """A third of the rows in one key, a null key, keys of another integer type: few copies, every row once."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id")).cast("int")
+    facts = spark.range(3000).select("id", key.alias("k"))
+    dim = spark.range(-1, 3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("d"))  # k is a bigint here
+    hot = hot_keys(facts, ["k"], share=8)
+    assert sorted(r._copies for r in hot.collect()) == [3, 3]  # -1 and null
+    for given in (None, hot):
+        out = lookup_join(facts, dim, ["k"], share=8, hot=given)
+        assert out.columns == ["k", "id", "d"]
+        got = {r.id: (r.k, r.d) for r in out.collect()}
+        assert out.count() == len(got) == 3000
+        assert all(d == (None if k is None else k * 2) for k, d in got.values())
+    assert lookup_join(facts.limit(0), dim, ["k"]).count() == 0
+    assert lookup_join(facts, dim.limit(0), ["k"]).filter("d IS NULL").count() == 3000
