@@ -322,6 +322,7 @@ def iteration_trend(
     rows_per_chunk: int = ITERATIONS_PER_CHUNK,
     stagnation_limit: int = shapes.STAGNATION_LIMIT,
     plateau_limit: int = shapes.PLATEAU_LIMIT,
+    held: bool = False,
 ) -> DataFrame:
     """Does a series of attempts still improve?
 
@@ -333,6 +334,7 @@ def iteration_trend(
 
     A run that goes on is given its last rows (`trend_state`) with `seed_stagnation` and
     `seed_plateau` set; these rows carry the counters on and are not part of the result.
+    `held`: see `running`.
     """
     seeds = [c for c in ("seed_stagnation", "seed_plateau") if c in iterations.columns]
     is_seed = F.col("seed_stagnation").isNotNull() if seeds else F.lit(False)
@@ -343,7 +345,7 @@ def iteration_trend(
     by_number = F.floor(F.col("iteration") / F.lit(rows_per_chunk)).cast("bigint")
     placed = running(
         rows, ["run"], ["iteration"], by_number,
-        sums={"_pos": F.lit(1).cast("bigint")}, exclusive=True,
+        sums={"_pos": F.lit(1).cast("bigint")}, exclusive=True, held=held,
     )
     tiled = with_halo(placed, F.col("_pos"), rows_per_chunk, before=shapes.CYCLE_REACH)
     w = Window.partitionBy("run", CHUNK).orderBy("_pos")

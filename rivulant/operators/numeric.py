@@ -26,15 +26,15 @@ def block_reduce(vec: DataFrame, block: int = 64, take: int | None = None) -> Da
     )
 
 
-def prefix_sum(vec: DataFrame, range_size: int = RANGE_SIZE) -> DataFrame:
+def prefix_sum(vec: DataFrame, range_size: int = RANGE_SIZE, held: bool = False) -> DataFrame:
     """Inclusive prefix sum of a whole vector.
 
     Each index range is summed by its own task; only one total per range meets
-    in the ordered step.
+    in the ordered step.  `held`: see `running`.
     """
     return running(
         vec, [], ["idx"], F.floor(F.col("idx") / range_size).cast("bigint"),
-        sums={"prefix": F.col("v")},
+        sums={"prefix": F.col("v")}, held=held,
     )
 
 
@@ -58,10 +58,10 @@ def uniform_add(scanned: DataFrame, totals: DataFrame, blocks_per_range: int = R
     )
 
 
-def integral_image(grid: DataFrame, tile: int = RANGE_SIZE) -> DataFrame:
-    """Sum of all cells above and to the left, cell included; row scan, then column scan."""
+def integral_image(grid: DataFrame, tile: int = RANGE_SIZE, held: bool = False) -> DataFrame:
+    """Sum of all cells above and to the left, cell included; row scan, then column scan.  `held`: see `running`."""
     rows = running(
-        grid, ["y"], ["x"], F.floor(F.col("x") / tile).cast("bigint"), sums={"row_sum": F.col("v")}
+        grid, ["y"], ["x"], F.floor(F.col("x") / tile).cast("bigint"), sums={"row_sum": F.col("v")}, held=held
     )
     return running(
         rows, ["x"], ["y"], F.floor(F.col("y") / tile).cast("bigint"), sums={"area": F.col("row_sum")}

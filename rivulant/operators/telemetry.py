@@ -166,18 +166,20 @@ def provider_health(attempts: DataFrame, keys: Sequence[str] = ("provider",)) ->
     )
 
 
-def state_trace(events: DataFrame, chunk: Column, run: str = "run", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+def state_trace(
+    events: DataFrame, chunk: Column, run: str = "run", order: Sequence[str] = ("ts", "seq"), held: bool = False
+) -> DataFrame:
     """Index, previous state, time in it and time since the start of the run.
 
     `chunk` cuts a run along its time (a day, an hour), so that a run with very
-    many events is shared by tasks.
+    many events is shared by tasks.  `held`: see `running`.
     """
     at = micros(F.col("ts"))
     traced = running(
         events.withColumn("_at", at), [run], list(order), chunk,
         sums={"index": F.lit(1).cast("bigint")},
         maxes={"_first": -F.col("_at")},
-        previous={"previous_state": F.col("state"), "_prev": F.col("_at")},
+        previous={"previous_state": F.col("state"), "_prev": F.col("_at")}, held=held,
     )
     return traced.select(
         *events.columns,
@@ -190,16 +192,16 @@ def state_trace(events: DataFrame, chunk: Column, run: str = "run", order: Seque
 
 def pack(
     items: DataFrame, max_chars: int, keys: Sequence[str], position: str, length: str,
-    header: int = 0, rows_per_chunk: int = ROWS_PER_CHUNK,
+    header: int = 0, rows_per_chunk: int = ROWS_PER_CHUNK, held: bool = False,
 ) -> DataFrame:
     """Keep items in order while the running length stays within the budget.
 
     The length counts the newlines before an item.  It never falls, so every
-    item after the first that does not fit is out as well.
+    item after the first that does not fit is out as well.  `held`: see `running`.
     """
     sized = running(
         items, keys, [position], F.floor(F.col(position) / F.lit(rows_per_chunk)).cast("bigint"),
-        sums={"_len": F.col(length) + 1},
+        sums={"_len": F.col(length) + 1}, held=held,
     )
     return sized.withColumn("running_length", F.lit(header) + F.col("_len") - 1).withColumn(
         "kept", F.col("running_length") <= max_chars

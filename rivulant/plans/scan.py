@@ -39,17 +39,22 @@ def running(
     maxes: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
     exclusive: bool = False,
+    held: bool = False,
 ) -> DataFrame:
     """Add running sums, running maxima and previous-row values.
 
     `chunk` must not decrease along `order` inside a group; (keys, order) must
     be unique for a reproducible result.  With `exclusive` the running values
-    cover the rows before the current one only.  The input is written once to the
-    checkpoint folder, since its rows and its chunk sums are both read from it.
+    cover the rows before the current one only.  Rows and chunk sums are both read from the
+    input, which is therefore written once to the checkpoint folder.  An input that is `held` (columns and
+    filters over files, or over a frame already written) is read twice instead, for the sums without
+    the columns they do not need; it must give the same rows each time.
     """
     sums, maxes, previous = dict(sums or {}), dict(maxes or {}), dict(previous or {})
     keys, order = list(keys), list(order)
-    base = settle(df.withColumn(CHUNK, chunk))
+    base = df.withColumn(CHUNK, chunk)
+    if not held:
+        base = settle(base)
     part = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     upto = part.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
 

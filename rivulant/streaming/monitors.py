@@ -148,7 +148,7 @@ def stream_trend(
         before = bucketed.read_version(spark, state_path, STATE_SCHEMA, number, changed)
         rows = fresh.withColumns({c: F.lit(None).cast("bigint") for c in ("seed_stagnation", "seed_plateau")})
         rows = settle(rows if before is None else before.unionByName(rows))
-        trend = settle(iteration_trend(rows, rows_per_chunk))
+        trend = settle(iteration_trend(rows, rows_per_chunk, held=True))
         trend.write.mode("overwrite").parquet(f"{path}/batch={number}")
         bucketed.write_version(trend_state(rows, trend), "run", state_path, number + 1, changed, buckets)
         bucketed.expire(spark, state_path)

@@ -60,7 +60,7 @@ _PREFIX = f"WITH {_VEC} SELECT idx, CAST(sum(v) OVER (ORDER BY idx) AS DOUBLE) A
 
 @query("N3_prefix_sum", _PREFIX)
 def prefix_sum(spark, sf):
-    out = ops.prefix_sum(vec(spark, sf), range_size=1024)
+    out = ops.prefix_sum(vec(spark, sf), range_size=1024, held=True)
     return out.select("idx", F.col("prefix").cast("double").alias("prefix"))
 
 

@@ -292,16 +292,19 @@ def malformed_declarations(spark, sf):
     c AS (SELECT l.path, l.line, regexp_matches(s, 'ing|eau|ción|ung') AS code FROM l JOIN f ON f.path = l.path AND l.line >= f.first WHERE s <> ''),
     g AS (SELECT *, sum(code::INT) OVER (PARTITION BY path ORDER BY line) AS grp FROM c),
     k AS (SELECT *, sum((NOT code)::INT) OVER (PARTITION BY path, grp ORDER BY line) AS streak FROM g),
-    z AS (SELECT path, min(line) AS stop FROM k WHERE grp > 0 AND NOT code AND streak = 3 GROUP BY 1)
-    SELECT k.path, CAST(f.first AS INTEGER) AS first_line, CAST(max(k.line) AS INTEGER) AS last_line
-    FROM k JOIN f ON f.path = k.path LEFT JOIN z ON z.path = k.path WHERE k.code AND (z.stop IS NULL OR k.line < z.stop) GROUP BY 1, 2""",
+    z AS (SELECT path, min(line) AS stop FROM k WHERE grp > 0 AND NOT code AND streak = 3 GROUP BY 1),
+    b AS (SELECT k.path, f.first, max(k.line) AS last
+      FROM k JOIN f ON f.path = k.path LEFT JOIN z ON z.path = k.path WHERE k.code AND (z.stop IS NULL OR k.line < z.stop) GROUP BY 1, 2)
+    SELECT b.path, CAST(first AS INTEGER) AS first_line, CAST(last AS INTEGER) AS last_line,
+      sha256(trim(string_agg(l.text, chr(10) ORDER BY l.line), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10)) AS window_sha256
+    FROM b JOIN l ON l.path = b.path AND l.line BETWEEN b.first AND b.last GROUP BY b.path, first, last""",
 )
 def code_window(spark, sf):
     out = extraction.code_window(
         v.corpus(spark, sf), "source", anchor="tion",
         strict=lambda bare: bare.rlike("^(?:The|De|An|La|En)"), lenient="ing|eau|ción|ung",
     )
-    return out.filter("last_line IS NOT NULL").select("path", "first_line", "last_line")
+    return out.filter("last_line IS NOT NULL").select("path", "first_line", "last_line", F.sha2("window", 256).alias("window_sha256"))
 
 
 _RESPONSES = r"""

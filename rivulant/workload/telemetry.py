@@ -251,7 +251,7 @@ def state_trace(spark, sf):
     e = v.table(spark, sf, "events").select(
         F.col("user_id").alias("run"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("state")
     )
-    return ops.state_trace(e, F.to_date("ts")).drop("ts")
+    return ops.state_trace(e, F.to_date("ts"), held=True).drop("ts")
 
 
 _PACK = """
@@ -264,7 +264,7 @@ p AS (SELECT source, doc_id, n_chars, 40 + sum(n_chars + 1) OVER (PARTITION BY s
 )
 def pack(spark, sf):
     docs = v.table(spark, sf, "documents").select("source", "doc_id", "n_chars")
-    return ops.pack(docs, 20000, ["source"], "doc_id", "n_chars", header=40, rows_per_chunk=256)
+    return ops.pack(docs, 20000, ["source"], "doc_id", "n_chars", header=40, rows_per_chunk=256, held=True)
 
 
 @query(
@@ -273,7 +273,7 @@ def pack(spark, sf):
 )
 def pack_summary(spark, sf):
     docs = v.table(spark, sf, "documents").select("source", "doc_id", "n_chars")
-    return ops.pack_summary(ops.pack(docs, 20000, ["source"], "doc_id", "n_chars", header=40), ["source"])
+    return ops.pack_summary(ops.pack(docs, 20000, ["source"], "doc_id", "n_chars", header=40, held=True), ["source"])
 
 
 @query(

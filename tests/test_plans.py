@@ -4,7 +4,7 @@ import uuid
 
 import pytest
 
-from rivulant.operators.numeric import softmax
+from rivulant.operators.numeric import prefix_sum, softmax
 from rivulant.operators.symbols import undefined_launches
 from rivulant.workload import all_queries
 
@@ -50,3 +50,15 @@ def test_words_that_launch_nothing(spark):
     calls = spark.createDataFrame([("a", n) for n in ("if", "hipLaunchKernelGGL", "static_cast", "ghost", "known")], "path string, name string")
     defs = spark.createDataFrame([("a", "known")], "path string, name string")
     assert [r.name for r in undefined_launches(calls, defs, ["path", "name"]).collect()] == ["ghost"]
+
+
+def test_held_input_is_read_twice_and_not_written(spark, tmp_path):
+    """A prefix sum over files: same result, no table written, and the sums leave out columns they do not need."""
+    path = str(tmp_path / "vec")
+    spark.range(5000).selectExpr("id AS idx", "id % 13 AS v", "cast(id AS string) AS name").write.parquet(path)
+    vec = spark.read.parquet(path)
+    lazy, written = prefix_sum(vec, 64, held=True), prefix_sum(vec, 64)
+    assert sorted(lazy.collect()) == sorted(written.collect())
+    plan = plan_of(lazy)
+    assert "ExistingRDD" not in plan and "ExistingRDD" in plan_of(written)
+    assert "ReadSchema: struct<idx:bigint,v:bigint>" in plan and "ReadSchema: struct<idx:bigint,v:bigint,name:string>" in plan
