@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rivulant.operators.telemetry import pending
 from rivulant.plans import files as fs
+from rivulant.plans.scan import range_rank
 from rivulant.plans.scratch import scratch_path, settle
 from rivulant.sources.corpus import list_files, read_corpus
 
@@ -92,12 +93,56 @@ def process_pending(
     recorded as errors and not tried again until the file changes.  State is appended after
     the work, so a pass that dies is repeated, not lost.
     """
+    first = _waiting(spark, path, state_path, glob).orderBy("path").limit(max_files)
+    return _admit(spark, state_path, settle(first.withColumn("batch", F.lit(batch).cast("bigint"))), fn)
+
+
+def process_passes(
+    spark: SparkSession,
+    path: str,
+    state_path: str,
+    fn: Callable[[DataFrame], DataFrame],
+    glob: str = "*",
+    batch: int = 0,
+    max_files: int = 10_000,
+    at_once: int = 10_000,
+) -> int:
+    """All files pending now, in passes of `max_files` by name; returns how many passes they made.
+
+    The records equal those of `process_pending` called with `batch`, `batch` + 1, … on a folder that
+    rests.  The directory is listed once and ranked over all tasks; whole passes that make up
+    `at_once` files (one pass at least) are opened together and recorded together, so a
+    death repeats these alone.  What arrives after the listing is left to the next call.
+    """
+    together = max(1, at_once // max_files) * max_files
+    place = F.col("_place") - 1
+    ranked = range_rank(_waiting(spark, path, state_path, glob), ["path"], "_place").select(
+        "path", "mtime", "size",
+        (F.lit(batch) + F.floor(place / F.lit(max_files))).cast("bigint").alias("batch"),
+        F.floor(place / F.lit(together)).cast("bigint").alias("part"),
+    )
+    plan = scratch_path(spark, "passes")
+    ranked.write.partitionBy("part").parquet(plan)
+    schema, done = ranked.drop("part").schema, 0
+    parts = [n for n in fs.children(spark, plan) if n.startswith("part=")]
+    for name in sorted(parts, key=lambda n: int(n.split("=")[1])):
+        done += _admit(spark, state_path, spark.read.schema(schema).parquet(f"{plan}/{name}"), fn)
+    fs.delete(spark, plan)
+    return -(-done // max_files)
+
+
+def _waiting(spark: SparkSession, path: str, state_path: str, glob: str) -> DataFrame:
+    """(path, mtime, size) of the files that are new or changed since they were recorded."""
     init_state(spark, state_path)
     listing = list_files(spark, path, glob).select(
         "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size")
     )
-    todo = settle(pending(listing, current_state(spark, state_path)).orderBy("path").limit(max_files))
-    names = [r.path for r in todo.select("path").collect()]  # `max_files` at most
+    return pending(listing, current_state(spark, state_path))
+
+
+def _admit(spark: SparkSession, state_path: str, todo: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> int:
+    """Open the files of `todo`, which is written already, and append what became of them to the state."""
+    names = [r.path for r in todo.select("path").collect()]  # the caller bounds them
     if not names:
         return 0
     files = read_corpus(spark, [_escaped(n) for n in names], require_files=False)
@@ -106,7 +151,7 @@ def process_pending(
         "path",
         "mtime",
         "size",
-        F.lit(batch).cast("bigint").alias("batch"),
+        "batch",
         F.current_timestamp().alias("processed_at"),
         F.coalesce("status", F.lit("error")).alias("status"),
         "result",

@@ -149,10 +149,9 @@ def name_order(spark, sf):
         return found.select("path", F.lit("ok").alias("status"), F.length("source").cast("string").alias("result"))
 
     batch = 0
-    while watch.process_pending(spark, folder, state, measure, "*.txt", batch, max_files=7):
-        batch += 1
-        if batch % 10 == 0:
-            watch.compact_state(spark, state)
+    while passes := watch.process_passes(spark, folder, state, measure, "*.txt", batch, max_files=7):
+        batch += passes
+        watch.compact_state(spark, state)
     done = watch.current_state(spark, state)
     number = F.regexp_extract("path", r"d(?:=|%3D)(\d+)/", 1).cast("bigint")
     return done.select(number.alias("folder"), F.col("result").cast("bigint").alias("chars"), F.col("batch").alias("arrival"))

@@ -111,6 +111,34 @@ def test_names_decide_the_order_and_only_pending_files_are_opened(spark, tmp_pat
     assert sorted(n for n in os.listdir(state) if n.startswith("gen=")) == ["gen=2"]
 
 
+def test_passes_that_share_a_job_equal_single_passes(spark, tmp_path, monkeypatch):
+    folder, opened, listed = tmp_path / "in", [], []
+    folder.mkdir()
+    for i in range(23):
+        (folder / f"{i * 7 % 23:02d}.txt").write_text(f"t{i}")
+    (folder / "odd[x].txt").write_bytes(b"\xff\xfe\x00")
+    read, listing = watch.read_corpus, watch.list_files
+    monkeypatch.setattr(watch, "read_corpus", lambda s, p, **k: opened.append(len(p)) or read(s, p, **k))
+    monkeypatch.setattr(watch, "list_files", lambda *a, **k: listed.append(1) or listing(*a, **k))
+
+    def judge(found):
+        return found.select("path", F.lit("ok").alias("status"), F.col("source").alias("result"))
+
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    done = lambda state: {(r.path, r.batch, r.status, r.result) for r in watch.current_state(spark, state).collect()}
+    n = 0
+    while watch.process_pending(spark, str(folder), one, judge, "*.txt", n, max_files=5):
+        n += 1
+    opened.clear(), listed.clear()
+    run = lambda batch: watch.process_passes(spark, str(folder), many, judge, "*.txt", batch, max_files=5, at_once=12)
+    assert run(0) == n == 5 and opened == [10, 10, 4] and len(listed) == 1  # two whole passes at a time
+    assert done(many) == done(one) and len(done(many)) == 24
+    assert run(5) == 0 and opened == [10, 10, 4]
+    (folder / "03.txt").write_text("changed")
+    (folder / "02a.txt").write_text("new")
+    assert run(5) == 1 and {r[3] for r in done(many) if r[1] == 5} == {"changed", "new"}
+
+
 def test_an_unfinished_compaction_does_not_count(spark, tmp_path):
     state = str(tmp_path / "state")
     watch.init_state(spark, state)
