@@ -17,6 +17,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where) and fs.getFileStatus(where).isDirectory()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names of the entries of a folder, sorted; none if it is missing."""
     fs, where = _at(spark, path)

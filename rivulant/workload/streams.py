@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rivulant.plans import files as fs
 from rivulant.plans.scratch import scratch_path
 from rivulant.rules.portable import TEXT_RULES
 from rivulant.sources.events import read_events
@@ -13,9 +14,12 @@ from rivulant.workload.registry import query
 
 
 def _stream(spark, sf, name):
-    """A table's file as a stream of its rows."""
-    schema = v.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream of its rows, be it one file or a folder of files."""
+    path = f"{sf}/{name}.parquet"
+    reader = spark.readStream.schema(v.table(spark, sf, name).schema)
+    if fs.is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)  # a stream starts at a folder
 
 
 def _in_pieces(df, column, pieces, start):

@@ -34,3 +34,10 @@ def test_entry(spark):
 
 def test_keys_agree():
     assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name, table", [("T3_stream_rule_counts", "documents"), ("T4_stream_events", "events")])
+def test_streams_read_tables_that_are_folders(spark, tmp_path, name, table):
+    spark.read.parquet(f"{SF}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    rows = lambda sf: sorted(map(tuple, all_queries()[name](spark, sf).collect()))
+    assert rows(str(tmp_path)) == rows(SF) != []
