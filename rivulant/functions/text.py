@@ -75,11 +75,15 @@ def running_total(arr: Column, block: int = 128) -> Column:
         )
 
     def split_blocks(a: Column) -> Column:
-        last = F.floor((F.size(a) - 1) / F.lit(block)).cast("int")
-        starts = F.when(F.size(a) > 0, F.sequence(F.lit(0), last)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda b: F.slice(a, b * block + 1, F.lit(block)))
+        def cut(size: Column) -> Column:
+            last = F.floor((F.size(a) - 1) / size).cast("int")
+            starts = F.when(F.size(a) > 0, F.sequence(F.lit(0), last)).otherwise(
+                F.array().cast("array<int>")
+            )
+            return F.transform(starts, lambda b: F.slice(a, b * size + 1, size))
+
+        # a short array is cut at its root, a long one at `block`
+        return let(F.least(F.lit(block), F.ceil(F.sqrt(F.greatest(F.size(a), F.lit(1))))).cast("int"), cut)
 
     return let(arr, lambda a: let(split_blocks(a), over_blocks))
 

@@ -169,7 +169,7 @@ def build_log(parts):
 )
 def repairs(spark, sf):
     """Every strategy occurs, and diagnostics without a repair."""
-    parts = settle(named_parts(spark, sf))
+    parts = settle(named_parts(spark, sf).repartition("path"))  # a small file is one task, and its rows cost much
     diags = settle(parse_diagnostics(build_log(parts), ["path"], "seq"))
     old, new = settle(defs.definitions(units(parts))), settle(defs.definitions(ported(parts)).select("path", "kind", "name"))
     out = resolve(diags, old, new, HEADER_MAP, STANDARD_HEADERS)

@@ -1,13 +1,16 @@
 """Definition and region index on small sources, and the interval join against loops."""
 
 import random
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
-from rivulant.operators.definitions import definitions, device_words_outside, enclosing_region, regions
+from rivulant.functions.text import running_total
+from rivulant.operators.definitions import definitions, device_words_outside, enclosing_region, matches, regions
 from rivulant.operators.diagnostics import locate, parse_diagnostics, resolve
 from rivulant.plans.joins import interval_join
+from rivulant.rules import definitions as shapes
 from rivulant.rules.device import HEADER_MAP, STANDARD_HEADERS
 
 SOURCE = """#include <cuda_runtime.h>
@@ -143,3 +146,30 @@ def test_repairs_come_from_the_original(spark, corpus_of):
     assert got[4] == ("apply-compiler-rename", True, "helper_of")
     assert got[5] == ("insert-include", True, "#include <hip/hip_runtime.h>") and got[6] == ("insert-include", True, "#include <cstdio>")
     assert got[7] == ("apply-compiler-rename", False, "") and got[8][0] is None
+
+
+def test_matches_in_one_pass_equal_those_of_marked_texts(spark):
+    """A text that holds the marking sign is cut the longer way; both must give the same."""
+    rng = random.Random(5)
+    pieces = ["struct a1 {", "\n", "};", "  class Bb {\n", "enum class c {", "x$1", "\\$0", "é", "😀", "struct", " int f(int a) {", "", "\r\n"]
+    texts = ["", "\n", "struct a {", *["".join(rng.choices(pieces, k=rng.randrange(1, 40))) for _ in range(200)]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i long, t string")
+    for pattern in (shapes.RECORD, shapes.FUNCTION, r"(struct)|x"):
+        quick = matches(F.col("t"), pattern)
+        slow = matches(F.concat("t", F.lit("\n\x01;")), pattern)
+        got = rows.select("i", quick.alias("q"), slow.alias("s")).filter("i >= 0").collect()
+        assert len(got) == len(texts) and sum(len(r.q) for r in got) > 50 and all(r.q == r.s for r in got)
+        assert rows.filter("i < 0").select(quick.alias("q")).first().q == []
+
+
+def test_matches_read_a_text_once(spark):
+    """One pass of the pattern over a text without the marking sign; before, hits, names and pieces took one each."""
+    plan = str(matches(F.col("t"), "(q+)"))
+    assert "regexp_replace(t, '(q+)'" in plan
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 15, 16, 17, 128, 1000, 20000])
+def test_running_totals_of_any_length(spark, n):
+    row = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda x: (x * 7) % 11 - 5).alias("a"))
+    row = row.select(F.slice("a", 1, n).alias("a")).select("a", running_total(F.col("a")).alias("t")).first()
+    assert row.t == list(accumulate(row.a))
